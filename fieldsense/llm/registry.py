@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from fieldsense.llm.byte_bpe import op9_byte_bpe
+from fieldsense.llm.sharding import op7_sharding
 from fieldsense.llm.source_mixing import op10_source_mixing
+from fieldsense.llm.token_counts import op4_token_counts
 
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
+    "op7_sharding": op7_sharding,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {}
