@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from fieldsense.llm.byte_bpe import op9_byte_bpe
+from fieldsense.llm.language_id import op3_language_id
 from fieldsense.llm.sharding import op7_sharding
 from fieldsense.llm.source_mixing import op10_source_mixing
 from fieldsense.llm.token_counts import op4_token_counts
+from fieldsense.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
