@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from fieldsense.llm.byte_bpe import op9_byte_bpe
 from fieldsense.llm.language_id import op3_language_id
+from fieldsense.llm.ngram_jaccard import SQL as JACCARD_SQL
+from fieldsense.llm.ngram_jaccard import op6_ngram_jaccard_join
 from fieldsense.llm.sharding import op7_sharding
 from fieldsense.llm.source_mixing import op10_source_mixing
 from fieldsense.llm.token_counts import op4_token_counts
@@ -12,9 +14,12 @@ from fieldsense.llm.toxicity import op8_toxicity
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_ngram_jaccard_join": JACCARD_SQL,
+}
