@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from fieldsense.llm.byte_bpe import op9_byte_bpe
+from fieldsense.llm.embedding_neardup import SQL as NEARDUP_SQL
+from fieldsense.llm.embedding_neardup import op5_embedding_neardup
+from fieldsense.llm.exact_topk import SQL as TOPK_SQL
+from fieldsense.llm.exact_topk import op2_exact_topk
 from fieldsense.llm.language_id import op3_language_id
 from fieldsense.llm.ngram_jaccard import SQL as JACCARD_SQL
 from fieldsense.llm.ngram_jaccard import op6_ngram_jaccard_join
@@ -12,8 +16,10 @@ from fieldsense.llm.token_counts import op4_token_counts
 from fieldsense.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op2_exact_topk": op2_exact_topk,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op5_embedding_neardup": op5_embedding_neardup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
@@ -21,5 +27,7 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op2_exact_topk": TOPK_SQL,
+    "op5_embedding_neardup": NEARDUP_SQL,
     "op6_ngram_jaccard_join": JACCARD_SQL,
 }
