@@ -31,6 +31,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, AFTER_SPACE, ONE_LEFT, TWO_LE
 #: Code points of white space (fixed values of the Unicode property White_Space).
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 ROW = 64
+NO_RANK = 1 << 60
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +125,15 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     if len(piece) > 40:
         return _merge_long(piece, ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, rank = -1, None
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (rank is None or r < rank):
-                best, rank = i, r
-        if rank is None:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    rank = [ranks.get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+    while rank and (best := min(rank)) != NO_RANK:
+        i = rank.index(best)
+        parts[i] += parts.pop(i + 1)
+        del rank[i]
+        if i < len(rank):
+            rank[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
+        if i:
+            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
     return tuple(map(ranks.__getitem__, parts))
 
 
@@ -167,15 +168,16 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class _Merged(dict):
-    """Ids by piece; forgets all when it holds too many."""
+    """Ids by piece. When it holds `most` pieces they become the older ones, which are forgotten at the next time."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
-        self.ranks, self.most = ranks, most
+    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+        self.ranks, self.most, self.older = ranks, most, {}
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        ids = merge(piece, self.ranks)
+        ids = self.older.get(piece) or merge(piece, self.ranks)
         if len(piece) <= 64:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
