@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +30,41 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+#: Folders written by materialize() inside a group() block, by its name.
+_written: dict[str, list[str]] = {}
+_open: list[str] = []
+
+
+@contextmanager
+def group(name: str) -> Iterator[None]:
+    _open.append(name)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fieldsense/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _open:
+        _written.setdefault(_open[-1], []).append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def forget(spark: SparkSession, name: str) -> None:
+    """Delete the folders of a group. Only for a caller that has written all results that read them."""
+    paths = _written.pop(name, [])
+    if paths:
+        jvm = spark.sparkContext._jvm
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_slices(column, rows: int = 256):
+    """Values of an Arrow column, a few rows at a time as Python objects."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()

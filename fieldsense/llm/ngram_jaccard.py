@@ -9,6 +9,8 @@ Only components are asked for, so candidates come in two passes. The first links
 its smallest holder: as many pairs as there are holders. The second takes all pairs of holders that the first left in
 different components, so a group of thousands of near copies costs no pairs and no link between components is lost.
 The common order puts rare shingles first; it decides how many candidates there are, not which links are found.
+Before whole texts are compared, candidates must pass a bound on their intersection from parity bitmaps: two sets whose
+bitmaps differ in x bits differ in x elements at least.
 
 Defined cases: null and empty texts have no shingles and link with nothing; rows that repeat an id are one document,
 which links as any of its texts does; a null id takes no part and gets a null component; an empty table gives an
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import DOCUMENT_COLUMNS, materialize
+from fieldsense.llm.common import DOCUMENT_COLUMNS, in_slices, materialize
 from fieldsense.llm.components import connected_components
 from fieldsense.llm.shingles import Shingler, mixed
 
@@ -40,9 +42,9 @@ class Settings:
 
     words: int = 3
     percent: int = 90
-    frequent: int = 100_000
-    noted: int = 4
-    chunk: int = 2_000_000
+    frequent: int = 400_000
+    noted: int = 3
+    chunk: int = 1_000_000
 
 
 def frequent_shingles(docs: DataFrame, settings: Settings) -> np.ndarray:
@@ -57,7 +59,7 @@ def frequent_shingles(docs: DataFrame, settings: Settings) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in in_slices(batch.column(0)):
                 held.append(shingle(text))
                 n += len(held[-1])
                 if n >= settings.chunk:
@@ -88,8 +90,25 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent:
     return np.concatenate([rare, head[often][np.argsort(rank[late])]])[:most]
 
 
+def parity_bitmap(hashes: np.ndarray) -> bytes:
+    """Bit i is set if an odd number of hashes falls on i; at least as many bits as hashes, a power of two."""
+    size = max(64, 1 << (len(hashes) - 1).bit_length())
+    at = (mixed(hashes + np.uint64(191)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Elements in which the sets of two bitmaps differ at least. The larger bitmap is folded: bit i of the smaller
+    one is the parity over i, i + size, ... of the larger."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    # Bits are numbered through the bytes, and only the low bits of a hash tell its place, so halves fold together.
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def fingerprints(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix): size, 128-bit fingerprint and prefix of each row's set."""
+    """(doc_id, n, f1, f2, prefix, bits): size, 128-bit fingerprint, prefix and parity bitmap of each row's set."""
     ordered = frequent_shingles(docs, settings)
     by_value = np.argsort(ordered)
     shared = docs.sparkSession.sparkContext.broadcast((ordered[by_value], by_value))
@@ -97,19 +116,38 @@ def fingerprints(docs: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(settings.words)
         for batch in batches:
-            n, f1, f2, prefixes = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            n, f1, f2, prefixes, bits = [], [], [], [], []
+            for text in in_slices(batch.column(1)):
                 h = shingle(text)
                 n.append(len(h))
                 f1.append(int(mixed(h).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 f2.append(int(np.bitwise_xor.reduce(mixed(h + np.uint64(77))).view(np.int64)) if len(h) else 0)
                 prefixes.append(prefix(h, *shared.value, settings.percent).view(np.int64) if len(h) else [])
+                bits.append(parity_bitmap(h) if len(h) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "f1", "f2", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["doc_id", "n", "f1", "f2", "prefix", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary")
+
+
+def possible(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps leave room for enough similarity."""
+    side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            keep = []
+            for n_a, n_b, x, y in zip(*columns, strict=True):
+                shared = -(-settings.percent * (n_a + n_b) // (100 + settings.percent))  # at least, if similar enough
+                keep.append(n_a + n_b - 2 * shared >= least_difference(x, y))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
@@ -126,7 +164,7 @@ def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
         shingle = Shingler(settings.words)
         for batch in batches:
             similar, last = [], {}
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(in_slices(batch.column(2)), in_slices(batch.column(3)), strict=True):
                 last = {t: last[t] if t in last else shingle(t) for t in (x, y)}
                 shared = len(np.intersect1d(last[x], last[y], assume_unique=True))
                 similar.append(100 * shared >= settings.percent * (len(last[x]) + len(last[y]) - shared) > 0)
@@ -143,7 +181,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     usable = rows.filter("n > 0 and doc_id is not null")
     t = settings.percent / 100
 
-    classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("cid"), F.any_value("prefix").alias("prefix"))
+    classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("cid"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
     classes = materialize(classes.withColumn("group", F.xxhash64("prefix")), "classes")
     groups = classes.groupBy("n", "group").agg(F.min("cid").alias("gid"), F.min_by("prefix", "cid").alias("prefix"))
     members = classes.select("cid", "n", "group").join(groups.select("n", "group", "gid"), ["n", "group"]).select("gid", "cid", "n")
@@ -151,19 +189,23 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     held = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = held.groupBy("token").agg(F.count("*").alias("holders"), F.min("gid").alias("star")).filter("holders > 1")
-    held = materialize(held.join(shared.select("token", "star"), "token"), "holders")
+    held = materialize(held.join(shared, "token"), "holders")
 
     star = held.filter("gid <> star").select(F.col("star").alias("a"), F.col("gid").alias("b"), F.col("n").alias("n_b")).distinct()
     star_sizes = held.filter("gid = star").select(F.col("gid").alias("a"), F.col("n").alias("n_a")).distinct()
     star = star.join(star_sizes, "a").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t - 1e-9)).select("a", "b")
     inside = members.filter("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     first = materialize(star.union(inside).distinct(), "pairs")
-    links = materialize(verify(docs, first, settings), "links")
+    links = materialize(verify(docs, materialize(possible(first, classes, settings), "pairs"), settings), "links")
     found = materialize(connected_components(links), "components")
 
     placed = members.join(found, F.col("cid") == F.col("id"), "left").select("gid", "cid", F.coalesce("component", "cid").alias("component"))
     placed = materialize(placed, "placed")
     units = placed.select("gid", "component").distinct()
+    # An element with two holders has been dealt with, unless a holder is a group of several members.
+    several = placed.filter("cid <> gid").select("gid").distinct()
+    again = held.join(several, "gid", "left_semi").select("token").distinct().withColumn("again", F.lit(True))
+    held = held.join(again, "token", "left").filter("holders > 2 or again")
     open_tokens = held.select("token", "gid").join(units, "gid").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_tokens = open_tokens.filter("low <> high").select("token")
     opened = held.join(open_tokens, "token").join(units, "gid").select("token", "gid", "n", "pos", "component")
@@ -171,16 +213,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     x = opened.select("token", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "pos", "component")))
     y = opened.select("token", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "component")))
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    possible = (
+    near = (
         (F.col("component_a") < F.col("component_b"))
         & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t - 1e-9))
         & (rest >= (F.col("n_a") + F.col("n_b")) * (t / (1 + t)) - 1e-6)
     )
-    crossing = x.join(y, "token").filter(possible).select("gid_a", "component_a", "gid_b", "component_b").distinct()
+    crossing = x.join(y, "token").filter(near).select("gid_a", "component_a", "gid_b", "component_b").distinct()
     side = lambda s, c: placed.select(F.col("gid").alias(f"gid_{s}"), F.col("component").alias(f"component_{s}"), F.col("cid").alias(c))
     second = crossing.join(side("a", "a"), ["gid_a", "component_a"]).join(side("b", "b"), ["gid_b", "component_b"])
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(verify(docs, materialize(second, "pairs"), settings), "links")
+    second = materialize(possible(materialize(second, "pairs"), classes, settings), "pairs")
+    more = materialize(verify(docs, second, settings), "links")
     if not more.isEmpty():
         found = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
 

@@ -8,6 +8,7 @@ from fieldsense.llm.embedding_neardup import op5_embedding_neardup
 from fieldsense.llm.exact_topk import SQL as TOPK_SQL
 from fieldsense.llm.exact_topk import op2_exact_topk
 from fieldsense.llm.language_id import op3_language_id
+from fieldsense.llm.line_dedup import op1_line_dedup
 from fieldsense.llm.ngram_jaccard import SQL as JACCARD_SQL
 from fieldsense.llm.ngram_jaccard import op6_ngram_jaccard_join
 from fieldsense.llm.sharding import op7_sharding
@@ -16,6 +17,7 @@ from fieldsense.llm.token_counts import op4_token_counts
 from fieldsense.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_exact_topk": op2_exact_topk,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
