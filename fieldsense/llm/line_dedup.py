@@ -27,7 +27,7 @@ from fieldsense.llm.common import DOCUMENT_COLUMNS, materialize
 BROADCAST_KEYS = 1_000_000
 _PLACE = 1 << 32
 #: Characters whose counts a candidate's two lines must about share (any choice finds the same lines).
-LETTERS = "etanorishdlucmwg"
+LETTERS = "etanorishdlucm"
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,13 @@ def segment(length: Column, i: int, count: int) -> tuple[Column, Column]:
     return base * i + extra + 1, base + F.when(longer >= count - i, 1).otherwise(0)
 
 
+def characters(wide: Column, start: Column, size: Column) -> Column:
+    """Part of a line in four bytes a character, where any place is found at once."""
+    return wide.substr((start - 1) * 4 + 1, size * 4)
+
+
 def index_keys(line: Column, length: Column, t: int) -> list[Column]:
-    return [F.xxhash64(length, F.lit(i), line.substr(*segment(length, i, t + 1))) for i in range(t + 1)]
+    return [F.xxhash64(length, F.lit(i), characters(line, *segment(length, i, t + 1))) for i in range(t + 1)]
 
 
 def probe_keys(line: Column, length: Column, shorter: int, t: int) -> list[Column]:
@@ -67,7 +72,7 @@ def probe_keys(line: Column, length: Column, shorter: int, t: int) -> list[Colum
     for i in range(t + 1):
         start, size = segment(other, i, t + 1)
         for moved in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
-            keys.append(F.xxhash64(other, F.lit(i), line.substr(start + moved, size)))
+            keys.append(F.xxhash64(other, F.lit(i), characters(line, start + moved, size)))
     return keys
 
 
@@ -153,8 +158,13 @@ def places() -> Column:
     return (F.col("doc_id").cast("decimal(20,0)") * _PLACE + F.col("line_no")).cast("decimal(32,0)")
 
 
+def line_hash() -> Column:
+    """A short name of a line: 40 bits, so lines may share one; whole lines are compared in the end."""
+    return F.xxhash64("line").bitwiseAND(F.lit((1 << 40) - 1))
+
+
 def letter_counts(line: Column) -> Column:
-    """Counts of sixteen characters, modulo 16, in the digits of one number."""
+    """Counts of some characters, modulo 16, in one number."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))
@@ -174,18 +184,21 @@ def counts_apart(a: Column, b: Column) -> Column:
 def candidates(docs: DataFrame, settings: Settings) -> DataFrame:
     """(a, b), a < b: hashes of different lines that share a segment where it may stand and have about the same letters."""
     # What is derived from a line is computed once, before rows multiply.
-    derived = {"h": F.xxhash64("line"), "letters": letter_counts(F.col("line")), "length": F.char_length("line")}
-    long_enough = lines(docs).filter(F.char_length("line") >= settings.least).select("line", *(v.alias(k) for k, v in derived.items()))
-    different = long_enough.groupBy("line").agg(*(F.min(k).alias(k) for k in derived))
-    length = F.col("length")
-    own = _by_allowance(length, settings, lambda t: index_keys(F.col("line"), length, t))
+    long_enough = lines(docs).filter(F.char_length("line") >= settings.least).select("line", letter_counts(F.col("line")).alias("letters"))
+    different = long_enough.groupBy("line").agg(F.min("letters").alias("letters"))
+    different = different.select(F.encode("line", "UTF-32").alias("wide"), line_hash().alias("h"), "letters", F.char_length("line").alias("length"))
+    wide, length = F.col("wide"), F.col("length")
+    own = _by_allowance(length, settings, lambda t: index_keys(wide, length, t))
     probes = [
-        _by_allowance(length - shorter, settings, lambda t, d=shorter: probe_keys(F.col("line"), length, d, t) if d <= t else [])
+        _by_allowance(length - shorter, settings, lambda t, d=shorter: probe_keys(wide, length, d, t) if d <= t else [])
         for shorter in range(settings.edits + 1)
     ]
-    carried = lambda s: (F.col("h").alias(f"h_{s}"), F.col("letters").alias(f"letters_{s}"))
-    index = different.select(own.alias("keys"), *carried("i")).select(F.explode("keys").alias("key"), "h_i", "letters_i")
-    probe = different.select(F.concat(*probes).alias("keys"), *carried("p")).select(F.explode("keys").alias("key"), "h_p", "letters_p")
+    index = different.select(own.alias("keys"), F.col("letters").alias("letters_i"), F.col("h").alias("h_i"))
+    probe = different.select(F.concat(*probes).alias("keys"), F.col("letters").alias("letters_p"), F.col("h").alias("h_p"))
+    # From explode() Spark would infer a filter on the arrays and push it, with all it takes to compute them, below
+    # the shuffle; from explode_outer() it doesn't. Lines too short for keys have a null key, which joins nothing.
+    index = index.select(F.explode_outer("keys").alias("key"), "letters_i", "h_i")
+    probe = probe.select(F.explode_outer("keys").alias("key"), "letters_p", "h_p")
     alike = (F.col("h_i") != F.col("h_p")) & (counts_apart(F.col("letters_i"), F.col("letters_p")) <= 2 * settings.edits)
     pairs = index.join(probe, "key").filter(alike)
     return pairs.select(F.least("h_i", "h_p").alias("a"), F.greatest("h_i", "h_p").alias("b")).distinct()
@@ -196,7 +209,7 @@ def near_lines(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFra
     keys = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "line-keys")
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    texts = lines(docs).filter(F.char_length("line") >= settings.least).join(keys, F.xxhash64("line") == F.col("key"))
+    texts = lines(docs).filter(F.char_length("line") >= settings.least).join(keys, line_hash() == F.col("key"))
     texts = materialize(texts.groupBy("key", "line").agg(F.min(places()).alias("place")), "lines")
     side = lambda s: texts.select(F.col("key").alias(s), F.col("line").alias(f"line_{s}"), F.col("place").alias(f"place_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
