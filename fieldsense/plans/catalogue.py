@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from fieldsense.plans import content, data, evaluation, windows  # noqa: F401  registers them
+from fieldsense.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
