@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldsense.functions import attributes as A
 from fieldsense.functions import geo
 from fieldsense.functions import text as T
 from fieldsense.functions import vectors as V
@@ -86,11 +87,11 @@ def q_review_staleness(spark, sf_dir):
 
 
 @query(f"""WITH {REC} SELECT recording_id, CASE recording_id % 3 WHEN 0 THEN 'herps:' || label || ':' || CASE WHEN n_chars % 2 = 0 THEN source ELSE 'unknown' END
-  WHEN 1 THEN 'aru:' || label || ':' || lpad(CAST(n_chars % 1000 AS VARCHAR), 3, '0') ELSE 'inat:' || lower(trim(source)) END AS split_group FROM rec""")
+  WHEN 1 THEN 'aru:' || label || ':b' || lpad(CAST(n_chars % 90 AS VARCHAR), 2, '0') ELSE 'inat:' || lower(trim(source)) END AS split_group FROM rec""")
 def q_split_groups(spark, sf_dir):
     kind = F.element_at(F.array(F.lit("herps"), F.lit("aru"), F.lit("inat")), (F.col("recording_id") % 3 + 1).cast("int"))
-    county = F.when(F.col("n_chars") % 2 == 0, F.col("source"))
-    return recordings(spark, sf_dir).select("recording_id", T.split_group(kind, F.col("label"), county, F.col("n_chars") % 1000, F.col("source")).alias("split_group"))
+    county = F.when(F.col("n_chars") % 2 == 0, F.col("source")).otherwise("unknown")
+    return recordings(spark, sf_dir).select("recording_id", T.split_group(kind, F.col("label"), county, F.col("n_chars") % 90, F.col("source")).alias("split_group"))
 
 
 @query("""SELECT s_suppkey, coalesce(n_name, r_name) AS label, CASE WHEN n_name IS NOT NULL THEN 'nation' WHEN r_name IS NOT NULL THEN 'region' END AS rank FROM supplier
@@ -142,11 +143,15 @@ def q_html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.clean(F.regexp_replace("html", "<[^>]*>", " ")).alias("text"))
 
 
+CALLS = ["A high-pitched trill lasting up to 2 seconds.", "Not very loud, a series of croaks.", "This is a loud clip.", "A moderately loud peep, 3 - 5 notes per second.", "A low-pitched snore under water."]
+
+
 @query()
 def q_attributes_e2e(spark, sf_dir):
-    text = F.col("text")
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(F.slice(F.array_sort(F.collect_set(F.substring(text, 1, 80))), 1, 50), " ").alias("text")).select(
-        "lang", T.single_value(text, PITCH).alias("pitch"), T.loudness(text, HALF, WHOLE).alias("loudness"), T.found_values(text, STRUCTURE).alias("structure"))
+    """Attributes by class of sentences dealt to documents."""
+    dealt = F.element_at(F.array(*map(F.lit, CALLS)), (F.col("doc_id") % len(CALLS) + 1).cast("int"))
+    said = read(spark, sf_dir, "documents").select("source", A.described(dealt).alias("s")).groupBy("source").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    return said.select("source", *(c.alias(k) for k, c in A.attributes(F.col("s")).items()))
 
 
 def _points(spark, sf_dir):
@@ -241,7 +246,7 @@ def q_manifest_e2e(spark, sf_dir):
     r = recordings(spark, sf_dir).filter("duration_s >= 0.2").withColumn("md5", F.md5("caption")).drop("caption")
     kept = dedupe.keep_first(r, ["md5"], "recording_id")
     kind = F.when(F.col("recording_id") % 2 == 0, "herps").otherwise("inat")
-    return kept.select("recording_id", "label", T.split_group(kind, F.col("label"), F.lit(None).cast("string"), F.lit(0), F.col("source")).alias("split_group"))
+    return kept.select("recording_id", "label", T.split_group(kind, F.col("label"), F.lit("unknown"), F.lit(0), F.col("source")).alias("split_group"))
 
 
 @query(f"""WITH {UNITS} SELECT unit_id, 'focal' AS kind, class, fold FROM units WHERE domain = 'focal' UNION ALL SELECT unit_id, 'aru', class, -1 FROM units WHERE domain = 'aru'""")

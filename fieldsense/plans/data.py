@@ -23,7 +23,7 @@ def q_validity(spark, sf_dir):
     return recordings(spark, sf_dir).filter(~(F.col("duration_s").isNull() | (F.col("duration_s") < 2.5))).select("recording_id", "duration_s")
 
 
-@query(f"""WITH {REC} SELECT recording_id, CASE WHEN n_chars % 13 = 0 OR regexp_matches(coalesce(caption, ''), '(?i)under\\s?water|hydrophone')
+@query(f"""WITH {REC} SELECT recording_id, CASE WHEN n_chars % 13 = 0 OR regexp_matches(coalesce(caption, ''), '(?i)underwater|under water|hydrophone')
   THEN 'underwater' ELSE 'air' END AS medium FROM rec""")
 def q_medium(spark, sf_dir):
     types = F.when(F.col("n_chars") % 13 == 0, F.array(F.lit("underwater"))).otherwise(F.array(F.lit("call")))

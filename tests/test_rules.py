@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldsense.functions import attributes as A
 from fieldsense.functions import geo
 from fieldsense.functions import text as T
 from fieldsense.functions import vectors as V
@@ -123,6 +124,35 @@ def test_text_rules(spark):
     assert T.match_names("Two red frogs", {"red": "R", "red frog": "RF"}) == ["RF"]
 
 
+def attributes_of(spark, text):
+    df = spark.createDataFrame([(1, text)], "id int, text string").select("id", A.described(F.col("text")).alias("s"))
+    return df.select(*(c.alias(k) for k, c in A.attributes(F.col("s")).items())).first(), df
+
+
+def test_attributes(spark):
+    r, df = attributes_of(spark, "A high-pitched trill of 2 - 3.5 seconds. It is not very loud. This is a low-pitched clip. Its release call is a grunt. Peeps come at 3-5 notes per second, rising.")
+    assert (r["pitch"], r["loudness"], r["duration_s"], r["notes_per_s"]) == ("high", "quiet", [2.0, 3.5], [3.0, 5.0])
+    assert (r["structure"], r["rising_pitch"], r["underwater"]) == (["trill", "peep_plink"], True, None)
+    found = A.evidence(df, "id", "s").collect()
+    assert all(e["match"] in e["sentence"] for e in found) and {e["field"] for e in found} >= {"pitch", "structure", "duration_s"}
+    r, _ = attributes_of(spark, "High-pitched or low-pitched. Moderately loud, then loud. Lasting up to one second. From quiet waters.")
+    assert (r["pitch"], r["loudness"], r["duration_s"], r["structure"]) == (None, None, [None, 1.0], None)
+    r, _ = attributes_of(spark, "Calls about 1/2 second, called under water.")
+    assert (r["duration_s"], r["underwater"]) == ([0.5, 0.5], True)
+
+
+def test_captions_counties_taxa(spark):
+    rows = [("A 2.5-second call, courtesy of Ann Lee. Napa County", "Chorus"), ("1 minute of release", None), ("none", None)]
+    df = spark.createDataFrame(rows, "c string, section string")
+    types = T.call_types(F.col("c"), F.col("section"), ["chorus", "release", "call"])
+    got = df.select(T.caption_duration(F.col("c")), T.caption_recordist(F.col("c")), T.county(F.col("section"), F.col("c")), types).collect()
+    assert [tuple(r) for r in got] == [(2.5, "Ann Lee", "Napa", ["call", "chorus"]), (60.0, None, "unknown", ["release"]), (None, None, "unknown", ["unspecified"])]
+    species = spark.createDataFrame([("AA", "Alpha one"), ("BB", "Beta two two"), ("CC", "Alpha three four")], "code string, scientific string")
+    names = T.taxon_names(species, {"Alpha": ["Omega"]}, {"alpha three": "GG"})
+    asked = spark.createDataFrame([(1, "Omega", "one", None), (2, "Beta", "two", "x"), (3, "Alpha", "three", "four"), (4, "Alpha", "three", ""), (5, "No", "one", None)], "id int, gen string, sp string, ssp string")
+    assert {r["id"]: (r["label"], r["rank"]) for r in T.classify(asked, names).collect()} == {1: ("AA", "species"), 2: ("BB", "species"), 3: ("CC", "species"), 4: ("GG", "group"), 5: (None, None)}
+
+
 def test_geo(spark):
     assert spark.range(1).select(geo.range_weight(F.lit(20.0)).alias("w")).first()["w"] == pytest.approx(math.exp(-1))
     x, y = geo.project(F.lit(38.0), F.lit(-120.0))
