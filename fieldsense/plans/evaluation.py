@@ -219,3 +219,16 @@ def q_cross_validate(spark, sf_dir):
     rows = rows.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("vec_id") % 3).cast("int").alias("fold"))
     fitted = [LogisticRegression(maxIter=10, regParam=0.01).fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k)) for k in range(3)]
     return reduce(lambda a, b: a.union(b), fitted).select("vec_id", "fold", "label", "prediction")
+
+
+@query()
+def q_head(spark, sf_dir):
+    """A one-layer network on the vectors, for each held-out fold: (vec_id, fold, label, prediction)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = read(spark, sf_dir, "embeddings").filter("embedding is not null and label is not null")
+    rows = rows.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("vec_id") % 2).cast("int").alias("fold"))
+    net = MultilayerPerceptronClassifier(layers=[64, 32, 10], maxIter=10, seed=1)
+    fitted = [net.fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k)) for k in range(2)]
+    return fitted[0].union(fitted[1]).select("vec_id", "fold", "label", "prediction")

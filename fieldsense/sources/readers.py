@@ -50,6 +50,28 @@ def new_rows(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
+def range_features(spark: SparkSession, path: str, code: str) -> DataFrame:
+    """code, polygons of a GeoJSON file of polygons and multipolygons; all features together are one range."""
+    shapes = spark.read.schema("features array<struct<geometry: struct<type: string, coordinates: string>>>").json(path, multiLine=True)
+    one = shapes.select(F.explode("features.geometry").alias("g"))
+    several = F.from_json("g.coordinates", "array<array<array<array<double>>>>")
+    polygon = F.array(F.from_json("g.coordinates", "array<array<array<double>>>"))
+    parts = one.select(F.explode(F.when(F.col("g.type") == "MultiPolygon", several).otherwise(polygon)).alias("polygon"))
+    return parts.groupBy(F.lit(code).alias("code")).agg(F.collect_list("polygon").alias("polygons"))
+
+
+def path_parts(path: Column, layouts: list[tuple[str, list[str]]]) -> Column:
+    """(site_id, date, recording_id) by the first layout that matches: a pattern and the fields of its groups, in
+    order. Without a match: folder and stem as recording_id."""
+    fields = ["site_id", "date", "recording_id"]
+    stem = F.concat_ws("_", F.element_at(F.split(path, "/"), -2), F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
+    out = F.struct(F.lit(None).cast("string").alias("site_id"), F.lit(None).cast("string").alias("date"), stem.alias("recording_id"))
+    for pattern, names in reversed(layouts):
+        value = lambda f, p=pattern, n=names: F.regexp_extract(path, p, n.index(f) + 1) if f in n else (stem if f == "recording_id" else F.lit(None).cast("string"))
+        out = F.when(path.rlike(pattern), F.struct(*[value(f).alias(f) for f in fields])).otherwise(out)
+    return out
+
+
 def range_edges(features: DataFrame) -> DataFrame:
     """code, part, x1, y1, x2, y2 from (code, polygons array<array<array<array<double>>>>): polygons of rings of points."""
     rings = features.select("code", F.posexplode("polygons").alias("part", "rings")).select("code", "part", F.explode("rings").alias("ring"))

@@ -182,6 +182,16 @@ def test_readers(spark, tmp_path):
     assert [r["frog"] for r in readers.last_answers(answers, "clip", "line").collect()] == [False]
 
 
+def test_ranges_and_paths(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"features": [{"geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}, {"geometry": {"type": "MultiPolygon", "coordinates": [[[[5, 5], [6, 5], [6, 6], [5, 5]]]]}}]}')
+    edges = readers.range_edges(readers.range_features(spark, f"{tmp_path}/r.json", "s"))
+    assert edges.count() == 6 and edges.select("part").distinct().count() == 2
+    layouts = [(r"^(S\d+)/(\d{8})_", ["site_id", "date"]), (r"^(S\d+)/", ["site_id"])]
+    df = spark.createDataFrame([("S1/20200102_x.wav",), ("S2/y.wav",), ("other/z.a.wav",)], "p string")
+    got = [tuple(r[0]) for r in df.select(readers.path_parts(F.col("p"), layouts)).collect()]
+    assert got == [("S1", "20200102", "S1_20200102_x"), ("S2", None, "S2_y"), (None, None, "other_z.a")]
+
+
 def test_streams_equal_tables(spark):
     sf = "/root/testdata/sf0.001"
     for f in (events.daily_counts, events.sessions):
