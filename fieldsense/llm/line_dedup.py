@@ -158,9 +158,14 @@ def places() -> Column:
     return (F.col("doc_id").cast("decimal(20,0)") * _PLACE + F.col("line_no")).cast("decimal(32,0)")
 
 
-def line_hash() -> Column:
-    """A short name of a line: 40 bits, so lines may share one; whole lines are compared in the end."""
-    return F.xxhash64("line").bitwiseAND(F.lit((1 << 40) - 1))
+def line_names() -> tuple[Column, Column]:
+    """Two hashes that name a line among all."""
+    return F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(5), F.col("line")).alias("h2")
+
+
+def short_name(h1: Column) -> Column:
+    """40 bits of a name; lines may share one, whole lines are compared in the end."""
+    return h1.bitwiseAND(F.lit((1 << 40) - 1))
 
 
 def letter_counts(line: Column) -> Column:
@@ -183,23 +188,27 @@ def counts_apart(a: Column, b: Column) -> Column:
 
 def candidates(docs: DataFrame, settings: Settings) -> DataFrame:
     """(a, b), a < b: hashes of different lines that share a segment where it may stand and have about the same letters."""
-    # What is derived from a line is computed once, before rows multiply.
-    long_enough = lines(docs).filter(F.char_length("line") >= settings.least).select("line", letter_counts(F.col("line")).alias("letters"))
-    different = long_enough.groupBy("line").agg(F.min("letters").alias("letters"))
-    different = different.select(F.encode("line", "UTF-32").alias("wide"), line_hash().alias("h"), "letters", F.char_length("line").alias("length"))
+    # Keys are computed where lines are read: they are shorter than most lines, and only they are shuffled. A line is
+    # named by 128 bits of hash here. Both sides use the same columns, so Spark shuffles them once.
+    length, letters = F.char_length("line"), letter_counts(F.col("line"))
+    long_enough = lines(docs).filter(length >= settings.least).select(F.encode("line", "UTF-32").alias("wide"), *line_names(), letters.alias("letters"), length.alias("length"))
     wide, length = F.col("wide"), F.col("length")
     own = _by_allowance(length, settings, lambda t: index_keys(wide, length, t))
     probes = [
         _by_allowance(length - shorter, settings, lambda t, d=shorter: probe_keys(wide, length, d, t) if d <= t else [])
         for shorter in range(settings.edits + 1)
     ]
-    index = different.select(own.alias("keys"), F.col("letters").alias("letters_i"), F.col("h").alias("h_i"))
-    probe = different.select(F.concat(*probes).alias("keys"), F.col("letters").alias("letters_p"), F.col("h").alias("h_p"))
+    n_own = F.when(allowed(length, settings) > 0, allowed(length, settings) + 1).otherwise(0)
+    keyed = long_enough.select("h1", "h2", "letters", n_own.alias("n_own"), F.concat(own, *probes).alias("keys"))
+    different = keyed.groupBy("h1", "h2").agg(*(F.any_value(c).alias(c) for c in ("letters", "n_own", "keys")))
+    different = different.select("keys", "n_own", "letters", short_name(F.col("h1")).alias("h"))
+    index = different.select(F.slice("keys", F.lit(1), F.col("n_own")).alias("keys"), F.col("letters").alias("letters_i"), F.col("h").alias("h_i"))
+    probe = different.select(F.slice("keys", F.col("n_own") + 1, F.size("keys") - F.col("n_own")).alias("keys"), F.col("letters").alias("letters_p"), F.col("h").alias("h_p"))
+    alike = (F.col("h_i") != F.col("h_p")) & (counts_apart(F.col("letters_i"), F.col("letters_p")) <= 2 * settings.edits)
     # From explode() Spark would infer a filter on the arrays and push it, with all it takes to compute them, below
     # the shuffle; from explode_outer() it doesn't. Lines too short for keys have a null key, which joins nothing.
     index = index.select(F.explode_outer("keys").alias("key"), "letters_i", "h_i")
     probe = probe.select(F.explode_outer("keys").alias("key"), "letters_p", "h_p")
-    alike = (F.col("h_i") != F.col("h_p")) & (counts_apart(F.col("letters_i"), F.col("letters_p")) <= 2 * settings.edits)
     pairs = index.join(probe, "key").filter(alike)
     return pairs.select(F.least("h_i", "h_p").alias("a"), F.greatest("h_i", "h_p").alias("b")).distinct()
 
@@ -209,7 +218,7 @@ def near_lines(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFra
     keys = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "line-keys")
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    texts = lines(docs).filter(F.char_length("line") >= settings.least).join(keys, line_hash() == F.col("key"))
+    texts = lines(docs).filter(F.char_length("line") >= settings.least).join(keys, short_name(F.xxhash64("line")) == F.col("key"))
     texts = materialize(texts.groupBy("key", "line").agg(F.min(places()).alias("place")), "lines")
     side = lambda s: texts.select(F.col("key").alias(s), F.col("line").alias(f"line_{s}"), F.col("place").alias(f"place_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -225,8 +234,7 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     pairs = materialize(candidates(docs, settings), "line-pairs")
     near = materialize(near_lines(docs, pairs, settings), "near-lines")
 
-    h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit(5), F.col("line"))
-    held = lines(docs).filter(F.char_length("line") >= settings.least).select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"))
+    held = lines(docs).filter(F.char_length("line") >= settings.least).select("doc_id", "line_no", *line_names())
     first = held.groupBy("h1", "h2").agg(F.min(places()).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
     repeats = held.join(first, ["h1", "h2"]).filter(places() > F.col("first")).select("doc_id", "line_no")
     line_no = F.expr(f"pmod(place, {_PLACE}BD)")
