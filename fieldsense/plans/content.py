@@ -8,7 +8,7 @@ from fieldsense.functions import attributes as A
 from fieldsense.functions import geo
 from fieldsense.functions import text as T
 from fieldsense.functions import vectors as V
-from fieldsense.operators import dedupe, metrics
+from fieldsense.operators import captions, dedupe, metrics
 from fieldsense.plans.registry import query, read
 from fieldsense.plans.stand_ins import REC, UNITS, recordings, units
 from fieldsense.sources import readers
@@ -121,11 +121,8 @@ def q_name_match(spark, sf_dir):
 
 @query()
 def q_assign_labels(spark, sf_dir):
-    """A caption's label: the page's, unless its first sentence names exactly one other; overrides come last."""
-    matched = q_name_match(spark, sf_dir)
-    fixed = spark.createDataFrame([(0, "T")], "doc_id long, override string")
-    label = F.when(F.size("codes") == 1, F.col("codes")[0]).otherwise("page")
-    return matched.join(F.broadcast(fixed), "doc_id", "left").select("doc_id", F.coalesce("override", label).alias("label"), (F.size("codes") > 1).alias("needs_review"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.lit("T").alias("code"), F.concat(F.lit("u/"), F.md5("text"), F.lit(".mp3")).alias("url"), F.col("text").alias("caption"))
+    return captions.assign_labels(docs, {"the and": "TA", "the": "T", "und der": "UD"}).drop("url")
 
 
 @query()

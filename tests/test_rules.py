@@ -10,7 +10,7 @@ from fieldsense.functions import attributes as A
 from fieldsense.functions import geo
 from fieldsense.functions import text as T
 from fieldsense.functions import vectors as V
-from fieldsense.operators import dedupe, metrics, splits, windows
+from fieldsense.operators import captions, dedupe, metrics, splits, windows
 from fieldsense.sources import readers
 from fieldsense.streaming import events
 
@@ -120,7 +120,7 @@ def test_grid_and_digest(spark):
 def test_text_rules(spark):
     values = lambda t: spark.range(1).select(T.single_value(F.lit(t), {"a": "aa", "b": "bb"}).alias("v")).first()["v"]
     assert (values("aa"), values("aa bb"), values("c")) == ("a", None, None)
-    assert T.match_names("Two red frogs and a red-frog, then red.", {"red": "R", "red frog": "RF"}) == ["R", "RF"]
+    assert T.match_names("Two red frogs and a red-frog, then red.", {"red": "R", "red frog": "RF"}) == ["RF", "R"]
     assert T.match_names("Two red frogs", {"red": "R", "red frog": "RF"}) == ["RF"]
 
 
@@ -153,6 +153,30 @@ def test_captions_counties_taxa(spark):
     assert {r["id"]: (r["label"], r["rank"]) for r in T.classify(asked, names).collect()} == {1: ("AA", "species"), 2: ("BB", "species"), 3: ("CC", "species"), 4: ("GG", "group"), 5: (None, None)}
 
 
+def test_labels_from_captions(spark):
+    names = {"Red Frog": "RF", "Dark Red Frog": "DR", "Blue Toad": "BT"}
+    rows = [
+        (1, "RF", "u/a.mp3", "A recording of Dark red-frogs. Blue toads call behind."),
+        (2, "RF", "u/b.mp3", "Red frog and blue toad together."),
+        (3, "RF", "u/c.mp3", "Similar to a blue toad. Red frogs."),
+        (4, "RF", "u/d.mp3", "Blue toad and dark red frog."),
+        (5, "RF", "u/e.mp3?x=1", "Blue toad."),
+        (6, "RF", "u/f.mp3", None),
+        (7, "BT", "u/f.mp3", "No name."),
+    ]
+    fixed = spark.createDataFrame([("e.mp3", "RF", ["DR"])], "file string, label string, secondary array<string>")
+    got = {r["recording_id"]: tuple(r)[:] for r in captions.assign_labels(spark.createDataFrame(rows, "recording_id int, code string, url string, caption string"), names, fixed).select("recording_id", "label", "label_source", "needs_review", "secondary").collect()}
+    assert got == {
+        1: (1, "DR", "caption", True, ["BT"]),
+        2: (2, "RF", "page", False, ["BT"]),
+        3: (3, "RF", "page", False, []),
+        4: (4, "RF", "page", True, ["DR", "BT"]),
+        5: (5, "RF", "override", False, ["DR"]),
+        6: (6, "RF", "page", True, []),
+        7: (7, "BT", "page", True, []),
+    }
+
+
 def test_geo(spark):
     assert spark.range(1).select(geo.range_weight(F.lit(20.0)).alias("w")).first()["w"] == pytest.approx(math.exp(-1))
     x, y = geo.project(F.lit(38.0), F.lit(-120.0))
