@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fieldsense.llm.common import in_slices, releasing
+
 #: Character classes. White space inside or at the end of a run, a space before other text, other white space before
 #: other text, an apostrophe that begins an ending of one letter ('s 't 'm 'd) or two ('re 've 'll).
 LETTER, NUMBER, OTHER, SPACE_RUN, SPACE_LAST, BREAK_LAST, ENDING_1, ENDING_2 = range(8)
@@ -170,7 +172,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 class _Merged(dict):
     """Ids by piece. When it holds `most` pieces they become the older ones, which are forgotten at the next time."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 100_000):
         self.ranks, self.most, self.older = ranks, most, {}
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
@@ -223,7 +225,7 @@ class Codec:
         return np.cumsum([0, *(len(self.bytes_of[i]) for i in ids)]).tolist()
 
 
-def _parts(texts: list[str], most: int) -> Iterator[list[str]]:
+def _parts(texts: Iterable[str], most: int) -> Iterator[list[str]]:
     part, held = [], 0
     for text in texts:
         if part and held + len(text) > most:
@@ -246,7 +248,7 @@ OUTPUTS = {
 }
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "offsets"), batch_chars: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "offsets"), batch_chars: int = 1 << 19) -> DataFrame:
     """(id, *outputs) for each row of docs, outputs from OUTPUTS. ranks_path must be readable on every executor.
 
     batch_chars are classified and scanned at a time; a longer text makes a batch of its own.
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path)
         for batch in batches:
-            texts = ["" if x is None else x for x in batch.column(1).to_pylist()]
+            texts = ("" if x is None else x for x in in_slices(batch.column(1)))
             values: list[list] = [[] for _ in outputs]
             for part in _parts(texts, batch_chars):
                 for ids in codec.encode(part):
@@ -264,7 +266,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, OUTPUTS[k][1]) for k, v in zip(outputs, values, strict=True))], names=[id_col, *outputs])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{k} {OUTPUTS[k][0]}" for k in outputs)]))
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), ", ".join([f"`{id_col}` {kind}", *(f"{k} {OUTPUTS[k][0]}" for k in outputs)]))
 
 
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")

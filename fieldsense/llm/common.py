@@ -68,3 +68,16 @@ def in_slices(column, rows: int = 256):
     """Values of an Arrow column, a few rows at a time as Python objects."""
     for at in range(0, len(column), rows):
         yield from column.slice(at, rows).to_pylist()
+
+
+def releasing(run):
+    """An Arrow function that gives back freed Arrow memory after each batch. Workers serve many tasks and would keep
+    it, beside the executor's heap, while other operators run."""
+    import pyarrow as pa
+
+    def task(batches):
+        for batch in run(batches):
+            yield batch
+            pa.default_memory_pool().release_unused()
+
+    return task

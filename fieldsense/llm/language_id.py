@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldsense.llm.common import releasing
+
 #: Bits of the hash of 1-, 2- and 3-grams.
 BITS = (11, 13, 15)
 STARTS = np.cumsum([0, *(1 << b for b in BITS)])
@@ -105,7 +107,7 @@ def training_flags(labelled: DataFrame, docs: DataFrame, settings: Settings) ->
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], names=["flags", "lang", "place"])
 
     texts = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = texts.select("text", "lang", "place").mapInArrow(flags, "flags binary, lang string, place int").limit(settings.texts).collect()
+    rows = texts.select("text", "lang", "place").mapInArrow(releasing(flags), "flags binary, lang string, place int").limit(settings.texts).collect()
     rows.sort(key=lambda r: (r["place"], r["lang"], r["flags"]))
     return [bytes(r["flags"]) for r in rows], [r["lang"] for r in rows]
 
@@ -137,7 +139,7 @@ def identify(docs: DataFrame, held_out, settings: Settings = Settings()) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(releasing(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

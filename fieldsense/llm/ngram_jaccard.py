@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import DOCUMENT_COLUMNS, in_slices, materialize
+from fieldsense.llm.common import DOCUMENT_COLUMNS, in_slices, materialize, releasing
 from fieldsense.llm.components import connected_components
 from fieldsense.llm.shingles import Shingler, mixed
 
@@ -68,7 +68,7 @@ def frequent_shingles(docs: DataFrame, settings: Settings) -> np.ndarray:
         if held:
             yield counted()
 
-    seen = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    seen = docs.select("text").mapInArrow(releasing(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = seen.orderBy(F.desc("n"), "h").limit(settings.frequent).toPandas()
     return top["h"].to_numpy(np.int64)[::-1].view(np.uint64)
 
@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame, settings: Settings) -> DataFrame:
                 names=["doc_id", "n", "f1", "f2", "prefix", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary")
 
 
 def possible(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -147,7 +147,7 @@ def possible(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFr
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(releasing(run), "a long, b long").distinct()
 
 
 def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
@@ -171,7 +171,7 @@ def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
             keep = pa.array(similar, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -12,7 +12,7 @@ _SHIFT = np.uint64(32)
 class _Words(dict):
     """Hash by word; forgets all when it holds too many."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

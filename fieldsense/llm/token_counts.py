@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fieldsense.llm.common import releasing
+
 #: Distinct pieces whose counts a worker remembers, and the longest of them in bytes.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 48
 
@@ -83,7 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

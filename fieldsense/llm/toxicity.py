@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import DOCUMENT_COLUMNS
+from fieldsense.llm.common import DOCUMENT_COLUMNS, in_slices, releasing
 
 STEMS = (4, 5, 6)
 _BREAKS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -86,8 +86,9 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, share: float, settings: Sett
     if not n1 or not n0:
         return Machine({}, prior if n1 + n0 else -30.0, np.zeros(0), np.zeros((0, settings.factors)))
     size = 1 << settings.bits
-    pos = np.bincount(np.concatenate([t for t, y in zip(texts, toxic, strict=True) if y]), minlength=size)
-    neg = np.bincount(np.concatenate([t for t, y in zip(texts, toxic, strict=True) if not y]), minlength=size)
+    pos, neg = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for t, y in zip(texts, toxic, strict=True):
+        (pos if y else neg)[t] += 1  # a text holds a bucket once
     p, q = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
     z = (p - q) / np.sqrt((p + q) / 2 * (1 / n1 + 1 / n0))
     chosen = np.flatnonzero((np.abs(z) >= settings.least_z) & (pos + neg >= settings.least_texts))
@@ -129,12 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_buckets(t, settings.bits).tobytes() for t in batch.column(1).to_pylist()]
+            found = [text_buckets(t, settings.bits).tobytes() for t in in_slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "terms", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
-    rows = joined.mapInArrow(terms, f"doc_id {kind}, terms binary, toxic boolean").limit(2 * settings.per_label).collect()
+    rows = joined.mapInArrow(releasing(terms), f"doc_id {kind}, terms binary, toxic boolean").limit(2 * settings.per_label).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["terms"])))
     total = sum(counts.values())
     return fit([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], bool), counts.get(True, 0) / total if total else 0.0, settings)
@@ -149,12 +150,12 @@ def score(docs: DataFrame, model: Machine, settings: Settings, keep: tuple[str,
         known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             present = []
-            for text in batch.column(0).to_pylist():
+            for text in in_slices(batch.column(0)):
                 found: set[int] = set()
                 for word in words(text or ""):
                     ids = known.get(word)
                     if ids is None:
-                        if len(known) > 400_000:
+                        if len(known) > 100_000:
                             known.clear()
                         ids = tuple(model.place[b] for b in buckets(word, settings.bits) if b in model.place)
                         if len(word) <= 48:
@@ -166,7 +167,7 @@ def score(docs: DataFrame, model: Machine, settings: Settings, keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(F.col("text").alias("__read"), *keep).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(F.col("text").alias("__read"), *keep).mapInArrow(releasing(run), f"{kinds}, score double")
 
 
 def _usable() -> Column:
