@@ -218,7 +218,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t - 1e-9))
         & (rest >= (F.col("n_a") + F.col("n_b")) * (t / (1 + t)) - 1e-6)
     )
-    crossing = x.join(y, "token").filter(near).select("gid_a", "component_a", "gid_b", "component_b").distinct()
+    crossing = x.join(y, "token").filter(near).select("gid_a", "component_a", "gid_b", "component_b")
+    # Members of one group share its whole prefix, also where no other group holds any of it.
+    unit = lambda s: units.join(several, "gid", "left_semi").select("gid", F.col("component").alias(f"component_{s}"))
+    within = unit("a").join(unit("b"), "gid").filter("component_a < component_b")
+    crossing = crossing.union(within.select(F.col("gid").alias("gid_a"), "component_a", F.col("gid").alias("gid_b"), "component_b")).distinct()
     side = lambda s, c: placed.select(F.col("gid").alias(f"gid_{s}"), F.col("component").alias(f"component_{s}"), F.col("cid").alias(c))
     second = crossing.join(side("a", "a"), ["gid_a", "component_a"]).join(side("b", "b"), ["gid_b", "component_b"])
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")

@@ -235,6 +235,27 @@ def test_ngram_join_equals_brute_force(spark, k, percent):
     assert {r["doc_id"]: r["component_id"] for r in got} == expected and len(set(expected.values())) < 200
 
 
+def triples(n, seed, settings):
+    """Rows (id, text) of A, B, C: sets of n shingles with one prefix, of which only B and C are similar enough, A first."""
+    rnd, shingle, none = random.Random(seed), ngram_jaccard.Shingler(settings.words), np.zeros(0, np.uint64)
+    for at in range(4):
+        while True:
+            words = [f"t{seed}x{n}x{at}w{rnd.randrange(10**9)}" for _ in range(n + settings.words - 1)]
+            off = next(m for m in range(1, n) if 100 * (n - m) < settings.percent * (n + m))
+            texts = [[f"other{w}" for w in words[:off]] + words[off:], words, words[:-1] + ["end"]]
+            found = {tuple(ngram_jaccard.prefix(shingle(" ".join(t)), none, none, settings.percent)) for t in texts}
+            if len(found) == 1:
+                break
+        yield from ((n * 100 + at * 10 + i, " ".join(t)) for i, t in enumerate(texts))
+
+
+def test_ngram_join_links_inside_a_prefix_group(spark):
+    settings = ngram_jaccard.Settings(words=3, percent=90, frequent=0)
+    rows = [r for n in (20, 33, 60) for r in triples(n, 3, settings)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.near_duplicates(table(spark, rows), settings).collect()}
+    assert got == brute_components(rows, 3, 90) and all(got[d] == d - d % 10 + (d % 10 > 0) for d in got)
+
+
 def test_ngram_edges(spark):
     got = ngram_jaccard.near_duplicates(table(spark, ODD)).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (None, None), (5, 5), (6, 6), (7, 4), (8, 8)])
