@@ -2,23 +2,28 @@
 
 Pass one scatters the records by seeded hashes into buckets that fit in a task's memory; pass two puts each bucket in
 order, runs Spark's shuffle() over it (a Fisher-Yates pass with a seed) and lays the buckets of a shard end to end.
+Whole records go through both passes; the query writes them to the shared folder by (shard, bucket) and takes its
+digests from what was written.
 
 The law is `key`: a record's shard is the one of n whose seeded hash of (id, shard) is highest, so id and shard count
 decide alone, and one more shard takes records only into itself.
 
 Defined cases: a null id is an id like any other; null text has size 8; rows that repeat an id share its shard but not
 its bucket, unless they are equal throughout, and each gets a slot of its own; an empty table gives an empty result;
-input columns named shard, grown_shard, slot or law are replaced.
+input columns named shard, bucket, grown_shard, slot or law are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OUTPUTS = ("shard", "grown_shard", "slot", "law")
+from fieldsense.llm.common import DOCUMENT_COLUMNS, shared_folder
+
+OUTPUTS = ("shard", "bucket", "grown_shard", "slot", "law")
 
 
 def highest_hash(key: Column, n_shards: int, seed: int) -> tuple[Column, Column]:
@@ -30,7 +35,7 @@ def highest_hash(key: Column, n_shards: int, seed: int) -> tuple[Column, Column]
 
 
 def two_pass_shuffle(records: DataFrame, id_col: str, size_col: str, n_shards: int = 24, bucket_bytes: int = 32 << 20, seed: int = 29) -> DataFrame:
-    """records -> records + shard, grown_shard, slot (from 0 in each shard), law.
+    """records -> records + shard, bucket, grown_shard, slot (from 0 in each shard), law.
 
     bucket_bytes bounds what one bucket holds on average. The order inside a bucket depends on the records and the
     seed only: buckets are sorted before they are shuffled, and a fixed number of partitions deals them out.
@@ -58,16 +63,21 @@ def two_pass_shuffle(records: DataFrame, id_col: str, size_col: str, n_shards: i
         .withColumn("all", F.shuffle("all", F.lit(seed)))
     )
     dealt = buckets.select("shard", "bucket", F.posexplode("all").alias("place", "one")).join(starts, (F.col("shard") == F.col("of_shard")) & (F.col("bucket") == F.col("of_bucket")))
-    return dealt.select("one.record.*", "shard", F.col("one.grown").alias("grown_shard"), (F.col("start") + F.col("place")).cast("long").alias("slot"), F.lit("key").alias("law"))
+    return dealt.select("one.record.*", "shard", "bucket", F.col("one.grown").alias("grown_shard"), (F.col("start") + F.col("place")).cast("long").alias("slot"), F.lit("key").alias("law"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder a shard; the files of a shard hold its records by slot."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder a shard, in it one a bucket, whose records are in the order of their slots. A bucket is in one task
+    already, so nothing is shuffled again."""
+    sharded.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard", "bucket").parquet(path)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    records = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    return two_pass_shuffle(records, "doc_id", "size").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 8).cast("long")
+    sharded = two_pass_shuffle(docs.select(*DOCUMENT_COLUMNS, size.alias("size")), "doc_id", "size").drop("size")
+    path = f"{shared_folder(spark)}/fieldsense/shards-{uuid.uuid4().hex}"
+    write_shards(sharded, path)
+    written = spark.read.schema(sharded.schema).parquet(path)
+    crc32 = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
+    return written.select("doc_id", size.alias("size"), crc32.alias("text_crc32"), "law", "shard", "slot", "grown_shard")

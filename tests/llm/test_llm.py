@@ -297,6 +297,21 @@ def test_sharding(spark, tmp_path):
     assert order != sorted(order)
 
 
+def test_sharding_writes_whole_documents(spark):
+    small = "/root/testdata/sf0.001"
+    result = sharding.op7_sharding(spark, small)
+    files = result.inputFiles()
+    assert files and all("/shard=" in f and "/bucket=" in f for f in files)
+    written, docs = spark.read.parquet(files[0].split("/shard=")[0]), spark.read.parquet(f"{small}/documents.parquet")
+    assert written.select(docs.columns).exceptAll(docs).isEmpty() and docs.exceptAll(written.select(docs.columns)).isEmpty()
+    digests = {(r["shard"], r["slot"]): (r["doc_id"], r["size"], r["text_crc32"]) for r in result.collect()}
+    rows = {(r["shard"], r["slot"]): (r["doc_id"], len((r["text"] or "").encode()) + 8, crc32((r["text"] or "").encode())) for r in written.collect()}
+    assert digests == rows and len(rows) == docs.count()
+    for f in files:
+        slots = [r["slot"] for r in spark.read.parquet(f).collect()]
+        assert slots == sorted(slots)
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
