@@ -107,8 +107,9 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def fingerprints(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix, bits): size, 128-bit fingerprint, prefix and parity bitmap of each row's set."""
+def fingerprints(docs: DataFrame, settings: Settings, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n, f1, f2, prefix, bits): size, 128-bit fingerprint, prefix and parity bitmap of each row's set; columns
+    of longs to be carried along follow."""
     ordered = frequent_shingles(docs, settings)
     by_value = np.argsort(ordered)
     shared = docs.sparkSession.sparkContext.broadcast((ordered[by_value], by_value))
@@ -125,11 +126,12 @@ def fingerprints(docs: DataFrame, settings: Settings) -> DataFrame:
                 prefixes.append(prefix(h, *shared.value, settings.percent).view(np.int64) if len(h) else [])
                 bits.append(parity_bitmap(h) if len(h) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "prefix", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *batch.columns[2:]],
+                names=["doc_id", "n", "f1", "f2", "prefix", "bits", *carried],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary")
+    schema = "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary" + "".join(f", {c} long" for c in carried)
+    return docs.select("doc_id", "text", *carried).mapInArrow(releasing(run), schema)
 
 
 def possible(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -174,10 +176,10 @@ def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(fingerprints(docs, settings), "fingerprints")
+def near_duplicates(docs: DataFrame, settings: Settings = Settings(), carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) and the carried columns for each row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    rows = materialize(fingerprints(docs, settings, carried), "fingerprints")
     usable = rows.filter("n > 0 and doc_id is not null")
     t = settings.percent / 100
 
@@ -232,9 +234,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         found = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
     of_class = classes.select("n", "f1", "f2", "cid").join(found, F.col("cid") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "cid").alias("component"))
-    joined = rows.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
+    joined = rows.select("doc_id", "n", "f1", "f2", *carried).join(of_class, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *carried)
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -242,11 +244,14 @@ def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of smallest id (if its id repeats, one of its rows), by shingles of
-    five words and a similarity of 0.8; documents without words or id stay."""
-    groups = near_duplicates(docs, Settings(words=5, percent=80))
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*DOCUMENT_COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Of each group the rows of its smallest id stay, by shingles of five words and a similarity of 0.8. Rows are decided
+    one by one: one that goes takes no other text of its id along, and rows without words or id stay."""
+    names = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(5), F.col("text"))}
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    groups = near_duplicates(docs.withColumns(names), Settings(words=5, percent=80), tuple(names))
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone"), "t1", "t2").distinct()
+    same = (F.col("doc_id") == F.col("gone")) & (names["t1"] == F.col("t1")) & (names["t2"] == F.col("t2"))
+    return docs.join(gone, same, "left_anti")
 
 
 SQL = r"""

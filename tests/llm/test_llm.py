@@ -264,6 +264,13 @@ def test_ngram_edges(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(map(str, [1, 2, 3, 4, 4, None, 5, 6, 8]))
 
 
+def test_ngram_stage_decides_by_row(spark):
+    x, y = "one two three four five six seven", "red green blue black white grey brown"
+    rows = [(1, x), (9, x), (9, y), (9, ""), (9, None), (12, y), (12, " "), (None, x)]
+    kept = ngram_jaccard.near_duplicates_stage(spark, table(spark, rows), "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, x), (9, y), (9, ""), (9, None), (12, " "), (None, x)])
+
+
 def test_components(spark):
     rnd = random.Random(4)
     pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
