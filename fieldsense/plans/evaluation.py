@@ -149,7 +149,8 @@ def q_topk_drops(spark, sf_dir):
     return d.orderBy("delta", "class", "split_group").limit(10)
 
 
-N_BOOT = 40
+#: Resamples of the queries that SQL is compared with, then the reference's own: of a run and of a comparison.
+N_BOOT, N_BOOT_RUN, N_BOOT_COMPARE = 40, 500, 1000
 BOOT = f"""g AS (SELECT split_group, row_number() OVER (ORDER BY split_group) - 1 AS place, count(*) OVER () AS g FROM (SELECT DISTINCT split_group FROM units)),
   draws AS (SELECT b AS boot_id, ('0x' || substr(md5(CAST(b AS VARCHAR) || '-' || CAST(j AS VARCHAR)), 1, 8))::BIGINT % (SELECT max(g) FROM g) AS place FROM range({N_BOOT}) x(b), range((SELECT max(g) FROM g)) y(j)),
   w AS (SELECT boot_id, split_group, count(*) AS weight FROM draws JOIN g USING (place) GROUP BY 1, 2)"""
@@ -175,8 +176,20 @@ DELTA = f"""{UNITS}, {BOOT}, dd AS (SELECT class, b.ap - a.ap AS d FROM {boot_sq
   delta AS (SELECT class, round(b.ap - a.ap, 8) AS delta, round(quantile_cont(d, 0.025), 8) AS ci_lo, round(quantile_cont(d, 0.975), 8) AS ci_hi FROM {ap_sql('units', 'class')} a JOIN {ap_sql('units', 'class', 'score_b')} b USING (class) JOIN dd USING (class) GROUP BY ALL)"""
 
 
-def _delta(spark, sf_dir):
-    d = metrics.paired_delta(units(spark, sf_dir), ["class"], "split_group", N_BOOT, "score_a", "score_b")
+@query()
+def q_boot_weights_run(spark, sf_dir):
+    """q_boot_weights with the resamples of a run."""
+    return metrics.boot_weights(units(spark, sf_dir), "split_group", N_BOOT_RUN)
+
+
+@query()
+def q_boot_ap_run(spark, sf_dir):
+    """q_boot_ap with the resamples of a run."""
+    return metrics.boot_average_precision(units(spark, sf_dir), ["class"], "split_group", N_BOOT_RUN, "score_a").withColumn("ap", F.round("ap", 9))
+
+
+def _delta(spark, sf_dir, n_boot=N_BOOT):
+    d = metrics.paired_delta(units(spark, sf_dir), ["class"], "split_group", n_boot, "score_a", "score_b")
     return d.select("class", *[F.round(c, 8).alias(c) for c in ("delta", "ci_lo", "ci_hi")], "significant")
 
 
@@ -187,10 +200,26 @@ def q_paired_delta(spark, sf_dir):
 
 @query(f"WITH {DELTA} SELECT round(avg(delta), 7) AS delta, coalesce(min(ci_lo) > 0 AND min(delta) >= -0.05e0, false) AS adopt FROM delta")
 def q_decide(spark, sf_dir):
-    d = _delta(spark, sf_dir).agg(F.avg("delta").alias("delta"), F.min("ci_lo").alias("lo"), F.min("delta").alias("worst"))
+    return _decision(_delta(spark, sf_dir))
+
+
+def _decision(delta):
+    d = delta.agg(F.avg("delta").alias("delta"), F.min("ci_lo").alias("lo"), F.min("delta").alias("worst"))
     return d.select(F.round("delta", 7).alias("delta"), metrics.decide(F.col("delta"), F.col("lo"), F.col("worst")).alias("adopt"))
 
 
+@query()
+def q_paired_delta_compare(spark, sf_dir):
+    """q_paired_delta with the resamples of a comparison."""
+    return _delta(spark, sf_dir, N_BOOT_COMPARE)
+
+
+@query()
+def q_decide_compare(spark, sf_dir):
+    """q_decide with the resamples of a comparison."""
+    return _decision(_delta(spark, sf_dir, N_BOOT_COMPARE))
+
+
 @query(f"""WITH {UNITS}, a AS (SELECT * FROM units WHERE domain = 'focal' AND NOT locked), c AS (SELECT class, count(*) AS n FROM a GROUP BY 1),
   m AS (SELECT * FROM {ap_sql('a', 'class')} JOIN c USING (class)) SELECT 'A_macro_ap' AS metric, round(avg(ap), 8) AS value FROM m UNION ALL SELECT 'A_macro_ap_rare', round(avg(ap) FILTER (n < 30), 8) FROM m
   UNION ALL SELECT 'A_macro_ap_common', round(avg(ap) FILTER (n >= 30), 8) FROM m UNION ALL SELECT 'A_ap:' || class, round(ap, 8) FROM m""")
