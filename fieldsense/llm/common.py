@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +31,28 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-#: Folders written by materialize() inside a group() block, by its name.
-_written: dict[str, list[str]] = {}
-_open: list[str] = []
+class Scratch:
+    """Tables that one caller has written and deletes when all results that read them are written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
-def group(name: str) -> Iterator[None]:
-    _open.append(name)
+def noted_in(scratch: Scratch) -> Iterator[None]:
+    """Inside the block, what this thread materializes is noted in the scratch."""
+    before = _scratch.set(scratch)
     try:
         yield
     finally:
-        _open.pop()
+        _scratch.reset(before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,18 +61,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/fieldsense/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    if _open:
-        _written.setdefault(_open[-1], []).append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def forget(spark: SparkSession, name: str) -> None:
-    """Delete the folders of a group. Only for a caller that has written all results that read them."""
-    paths = _written.pop(name, [])
-    if paths:
-        jvm = spark.sparkContext._jvm
-        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    table = spark.read.schema(schema).parquet(path)
+    if scratch := _scratch.get():
+        scratch.tables.append(table)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables. Only for a caller that has written all results that read them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_slices(column, rows: int = 256):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import materialize
+from fieldsense.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,8 +33,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") - F.col("b"))).first()
         if now == mark or not now[0]:
             break
-        mark = now
+        mark, before = now, edges
         edges = materialize(_small_star(_large_star(edges)), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

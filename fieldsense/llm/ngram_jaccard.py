@@ -6,15 +6,18 @@ size into one group. Groups that share a prefix element are the candidates; they
 members are compared by their whole sets.
 
 Only components are asked for, so candidates come in two passes. The first links every holder of a prefix element to
-its smallest holder: as many pairs as there are holders. The second takes all pairs of holders that the first left in
-different components, so a group of thousands of near copies costs no pairs and no link between components is lost.
-The common order puts rare shingles first; it decides how many candidates there are, not which links are found.
-Before whole texts are compared, candidates must pass a bound on their intersection from parity bitmaps: two sets whose
-bitmaps differ in x bits differ in x elements at least.
+its smallest holder, and every member of a group to the group's smallest: as many pairs as there are holders. The second
+takes the pairs of holders, and of members of one group, that the first left in different components. So a group of
+thousands of near copies costs no pairs, and no link between components is lost, whatever the common order is: it puts
+rare shingles first and decides how many candidates there are, not which links are found. Of an element with more than
+`many` holders left, candidates must share a second element as well: two sets that are similar enough share two of the
+first n - ceil(t n) + 2. Before whole texts are compared, candidates must pass a bound on their intersection from parity
+bitmaps: two sets whose bitmaps differ in x bits differ in x elements at least.
 
 Defined cases: null and empty texts have no shingles and link with nothing; rows that repeat an id are one document,
-which links as any of its texts does; a null id takes no part and gets a null component; an empty table gives an
-empty result; texts of any length are read whole; other columns are ignored. Sets are held as 64-bit hashes.
+which links as any of its texts does, so all documents linked with one of its texts share its component; a null id takes
+no part and gets a null component; an empty table gives an empty result; texts of any length are read whole; other
+columns are ignored. Sets are held as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,24 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import DOCUMENT_COLUMNS, in_slices, materialize, releasing
+from fieldsense.llm.common import DOCUMENT_COLUMNS, discard, in_slices, materialize, releasing
 from fieldsense.llm.components import connected_components
 from fieldsense.llm.shingles import Shingler, mixed
 
 #: At most this many ids (8 bytes each) are broadcast to pick texts; beyond it the join is by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one id that are compared in one task; the rows of an id with more are dealt over several.
+PAIRS_TOGETHER = 1_000
 
 
 @dataclass(frozen=True)
 class Settings:
     """Sets link when 100 * intersection >= percent * union. The frequent shingles, at most `frequent`, come last in
-    the common order; they are those seen in at least `noted` texts among about `chunk` shingles read together."""
+    the common order; they are those seen in at least `noted` texts among about `chunk` shingles read together. Elements
+    with more than `many` holders left after the first pass need a second element in common."""
 
     words: int = 3
     percent: int = 90
     frequent: int = 400_000
     noted: int = 3
     chunk: int = 1_000_000
+    many: int = 64
 
 
 def frequent_shingles(docs: DataFrame, settings: Settings) -> np.ndarray:
@@ -73,10 +80,11 @@ def frequent_shingles(docs: DataFrame, settings: Settings) -> np.ndarray:
     return top["h"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """First n - ceil(t n) + 1 of the sorted hashes in the common order; frequent: sorted, rank: their places in it."""
+def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int, more: int = 0) -> np.ndarray:
+    """First n - ceil(t n) + 1 of the sorted hashes in the common order, and as many more; frequent: sorted, rank: their
+    places in it."""
     n = len(hashes)
-    most = n + (-percent * n) // 100 + 1
+    most = min(n, n + (-percent * n) // 100 + 1 + more)
     if not len(frequent):
         return hashes[:most]
     for upto in (min(n, 2 * most + 16), n):
@@ -108,8 +116,8 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, settings: Settings, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix, bits): size, 128-bit fingerprint, prefix and parity bitmap of each row's set; columns
-    of longs to be carried along follow."""
+    """(doc_id, n, f1, f2, prefix, bits): size, 128-bit fingerprint, prefix and one element more, and parity bitmap of each
+    row's set; columns of longs to be carried along follow."""
     ordered = frequent_shingles(docs, settings)
     by_value = np.argsort(ordered)
     shared = docs.sparkSession.sparkContext.broadcast((ordered[by_value], by_value))
@@ -123,7 +131,7 @@ def fingerprints(docs: DataFrame, settings: Settings, carried: tuple[str, ...] =
                 n.append(len(h))
                 f1.append(int(mixed(h).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 f2.append(int(np.bitwise_xor.reduce(mixed(h + np.uint64(77))).view(np.int64)) if len(h) else 0)
-                prefixes.append(prefix(h, *shared.value, settings.percent).view(np.int64) if len(h) else [])
+                prefixes.append(prefix(h, *shared.value, settings.percent, 1).view(np.int64) if len(h) else [])
                 bits.append(parity_bitmap(h) if len(h) else b"")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *batch.columns[2:]],
@@ -134,10 +142,30 @@ def fingerprints(docs: DataFrame, settings: Settings, carried: tuple[str, ...] =
     return docs.select("doc_id", "text", *carried).mapInArrow(releasing(run), schema)
 
 
+def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) with a part of a, and (id, parts) of all ids in them: an id that is `a` of many pairs has several
+    parts, so that no task gets all its pairs."""
+    sides = pairs.select(F.col("a").alias("id"), F.lit(1).alias("n")).union(pairs.select("b", F.lit(0)))
+    ids = sides.groupBy("id").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / PAIRS_TOGETHER)).cast("int").alias("parts"))
+    ids = materialize(ids, "candidate-ids")
+    # Ids of several parts are fewer than pairs / PAIRS_TOGETHER, and counted before they are broadcast.
+    hubs = ids.filter("parts > 1").select(F.col("id").alias("a"), "parts")
+    hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_IDS else hubs
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    return pairs.join(hubs, "a", "left").select("a", "b", part.alias("part")), ids
+
+
+def beside(pairs: DataFrame, ids: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """dealt() pairs (a, b, part) + columns_a, columns_b of the table's rows of these ids."""
+    named = lambda s: [F.col(c).alias(f"{c}_{s}") for c in columns]
+    a = table.join(ids, F.col(key) == F.col("id")).select(F.col(key).alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *named("a"))
+    return pairs.join(a, ["a", "part"]).join(table.select(F.col(key).alias("b"), *named("b")), "b")
+
+
 def possible(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """Those of the pairs (a, b) whose bitmaps leave room for enough similarity."""
-    side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    pairs, ids = dealt(pairs)
+    both = beside(pairs, ids, classes, "cid", ["n", "bits"]).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,13 +182,11 @@ def possible(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFr
 
 def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     """Those of the pairs (a, b) of ids whose whole sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = materialize(ids, "candidate-ids")
+    pairs, ids = dealt(pairs)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("wanted")), F.col("doc_id") == F.col("wanted"), "left_semi")
+    both = beside(pairs, ids, texts, "doc_id", ["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(settings.words)
@@ -176,6 +202,37 @@ def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long")
 
 
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Links among the pairs, written."""
+    near = materialize(possible(pairs, classes, settings), "pairs")
+    links = materialize(verify(docs, near, settings), "links")
+    discard(near)
+    return links
+
+
+def crossing(opened: DataFrame, longer: DataFrame, settings: Settings) -> DataFrame:
+    """(gid_a, component_a, gid_b, component_b) of groups in different components that share an element where it can
+    matter. opened: token, gid, n, pos, component; longer: gid, longer, a group's prefix and one element more."""
+    t = settings.percent / 100
+    side = lambda df, s: df.select(*(F.col(c) if c in ("token", "other") else F.col(c).alias(f"{c}_{s}") for c in df.columns))
+    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    near = (
+        (F.col("component_a") < F.col("component_b"))
+        & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t - 1e-9))
+        & (rest >= (F.col("n_a") + F.col("n_b")) * (t / (1 + t)) - 1e-6)
+    )
+    pair = ["gid_a", "component_a", "gid_b", "component_b"]
+    crowded = opened.groupBy("token").agg(F.count("*").alias("left")).filter(F.col("left") > settings.many).select("token")
+    if crowded.isEmpty():
+        return side(opened, "a").join(side(opened, "b"), "token").filter(near).select(*pair)
+    few = opened.join(crowded, "token", "left_anti")
+    lots = opened.join(crowded, "token", "left_semi").join(longer, "gid")
+    lots = lots.withColumn("other", F.explode(F.array_except("longer", F.array("token")))).drop("longer")
+    found = side(few, "a").join(side(few, "b"), "token").filter(near)
+    twice = side(lots, "a").join(side(lots, "b"), ["token", "other"]).filter(near)
+    return found.select(*pair).union(twice.select(*pair))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id) and the carried columns for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
@@ -183,11 +240,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), carried: t
     usable = rows.filter("n > 0 and doc_id is not null")
     t = settings.percent / 100
 
-    classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("cid"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
-    classes = materialize(classes.withColumn("group", F.xxhash64("prefix")), "classes")
-    groups = classes.groupBy("n", "group").agg(F.min("cid").alias("gid"), F.min_by("prefix", "cid").alias("prefix"))
+    classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("cid"), F.any_value("prefix").alias("longer"), F.any_value("bits").alias("bits"))
+    own = F.slice("longer", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(settings.percent) / 100) + 1).cast("int"))
+    classes = materialize(classes.withColumn("prefix", own).withColumn("group", F.xxhash64("prefix")), "classes")
+    groups = classes.groupBy("n", "group").agg(F.min("cid").alias("gid"), F.min_by(F.struct("prefix", "longer"), "cid").alias("p"))
+    groups = groups.select("n", "group", "gid", "p.prefix", "p.longer")
     members = classes.select("cid", "n", "group").join(groups.select("n", "group", "gid"), ["n", "group"]).select("gid", "cid", "n")
     members = materialize(members, "members")
+    # An id with several texts is a document of several classes, which join each other's components.
+    texts = usable.select("doc_id", "n", "f1", "f2").distinct()
+    several_texts = texts.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
+    one_id = texts.join(several_texts, "doc_id", "left_semi").join(classes.select("n", "f1", "f2", "cid"), ["n", "f1", "f2"])
+    one_id = materialize(one_id.select(F.col("cid").alias("a"), F.col("doc_id").alias("b")), "one-id")
 
     held = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = held.groupBy("token").agg(F.count("*").alias("holders"), F.min("gid").alias("star")).filter("holders > 1")
@@ -198,8 +262,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), carried: t
     star = star.join(star_sizes, "a").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t - 1e-9)).select("a", "b")
     inside = members.filter("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     first = materialize(star.union(inside).distinct(), "pairs")
-    links = materialize(verify(docs, materialize(possible(first, classes, settings), "pairs"), settings), "links")
-    found = materialize(connected_components(links), "components")
+    links = confirmed(docs, classes, first, settings)
+    found = materialize(connected_components(links.union(one_id)), "components")
 
     placed = members.join(found, F.col("cid") == F.col("id"), "left").select("gid", "cid", F.coalesce("component", "cid").alias("component"))
     placed = materialize(placed, "placed")
@@ -207,31 +271,23 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), carried: t
     # An element with two holders has been dealt with, unless a holder is a group of several members.
     several = placed.filter("cid <> gid").select("gid").distinct()
     again = held.join(several, "gid", "left_semi").select("token").distinct().withColumn("again", F.lit(True))
-    held = held.join(again, "token", "left").filter("holders > 2 or again")
-    open_tokens = held.select("token", "gid").join(units, "gid").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left = held.join(again, "token", "left").filter("holders > 2 or again")
+    open_tokens = left.select("token", "gid").join(units, "gid").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_tokens = open_tokens.filter("low <> high").select("token")
-    opened = held.join(open_tokens, "token").join(units, "gid").select("token", "gid", "n", "pos", "component")
+    opened = left.join(open_tokens, "token").join(units, "gid").select("token", "gid", "n", "pos", "component")
     opened = materialize(opened, "open")
-    x = opened.select("token", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "pos", "component")))
-    y = opened.select("token", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "component")))
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    near = (
-        (F.col("component_a") < F.col("component_b"))
-        & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t - 1e-9))
-        & (rest >= (F.col("n_a") + F.col("n_b")) * (t / (1 + t)) - 1e-6)
-    )
-    crossing = x.join(y, "token").filter(near).select("gid_a", "component_a", "gid_b", "component_b")
     # Members of one group share its whole prefix, also where no other group holds any of it.
     unit = lambda s: units.join(several, "gid", "left_semi").select("gid", F.col("component").alias(f"component_{s}"))
     within = unit("a").join(unit("b"), "gid").filter("component_a < component_b")
-    crossing = crossing.union(within.select(F.col("gid").alias("gid_a"), "component_a", F.col("gid").alias("gid_b"), "component_b")).distinct()
+    between = crossing(opened, groups.select("gid", "longer"), settings).union(within.select(F.col("gid").alias("gid_a"), "component_a", F.col("gid").alias("gid_b"), "component_b")).distinct()
     side = lambda s, c: placed.select(F.col("gid").alias(f"gid_{s}"), F.col("component").alias(f"component_{s}"), F.col("cid").alias(c))
-    second = crossing.join(side("a", "a"), ["gid_a", "component_a"]).join(side("b", "b"), ["gid_b", "component_b"])
+    second = between.join(side("a", "a"), ["gid_a", "component_a"]).join(side("b", "b"), ["gid_b", "component_b"])
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(possible(materialize(second, "pairs"), classes, settings), "pairs")
-    more = materialize(verify(docs, second, settings), "links")
+    second = materialize(second, "pairs")
+    more = confirmed(docs, classes, second, settings)
     if not more.isEmpty():
         found = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    discard(members, one_id, held, first, links, placed, opened, second, more)
 
     of_class = classes.select("n", "f1", "f2", "cid").join(found, F.col("cid") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "cid").alias("component"))
     joined = rows.select("doc_id", "n", "f1", "f2", *carried).join(of_class, ["n", "f1", "f2"], "left")
@@ -244,14 +300,27 @@ def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the rows of its smallest id stay, by shingles of five words and a similarity of 0.8. Rows are decided
-    one by one: one that goes takes no other text of its id along, and rows without words or id stay."""
+    """One row of each group stays, by shingles of five words and a similarity of 0.8: the one of smallest id and, where
+    that id has several rows in the group, of smallest text hash and other columns.
+
+    Rows are documents of their own here: one that goes takes no other text of its id along. Rows without words or id
+    stay, and so do their repeats.
+    """
     names = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(5), F.col("text"))}
+    row = ["doc_id", *names]
     docs = docs.select(*DOCUMENT_COLUMNS)
-    groups = near_duplicates(docs.withColumns(names), Settings(words=5, percent=80), tuple(names))
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone"), "t1", "t2").distinct()
-    same = (F.col("doc_id") == F.col("gone")) & (names["t1"] == F.col("t1")) & (names["t2"] == F.col("t2"))
-    return docs.join(gone, same, "left_anti")
+    # Rows equal in id and text share a number, which stands for the document while groups are found.
+    numbered = docs.filter("doc_id is not null").withColumns(names).select(F.xxhash64("doc_id", "t1", "t2").alias("doc_id"), F.col("doc_id").alias("of"), "text", *names)
+    groups = near_duplicates(numbered, Settings(words=5, percent=80), ("of", *names)).filter("n_shingles > 0")
+    rows = groups.groupBy("component_id", F.col("of").alias("doc_id"), *names).agg(F.count("*").alias("alike"))
+    chosen = rows.groupBy("component_id").agg(F.min(F.struct(*row)).alias("best"))
+    judged = materialize(rows.join(chosen, "component_id").select(*row, "alike", (F.struct(*row) == F.col("best")).alias("is_best")), "judged-rows")
+    # Of rows equal in id and text one stays; there are few such rows.
+    repeated = judged.filter("is_best and alike > 1").select(*row)
+    gone = judged.filter("not is_best").select(*row).union(repeated)
+    named = docs.withColumns({"t1": F.coalesce(names["t1"], F.lit(0)), "t2": F.coalesce(names["t2"], F.lit(0))})
+    one = named.join(repeated, row, "left_semi").groupBy(*row).agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r"))
+    return named.join(gone, row, "left_anti").select(*DOCUMENT_COLUMNS).union(one.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
 
 
 SQL = r"""

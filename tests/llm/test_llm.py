@@ -256,19 +256,65 @@ def test_ngram_join_links_inside_a_prefix_group(spark):
     assert got == brute_components(rows, 3, 90) and all(got[d] == d - d % 10 + (d % 10 > 0) for d in got)
 
 
+def families(seed, n):
+    """Rows (id, text) of near-copy families whose members differ at the ends and in the middle, and ids that repeat."""
+    rnd, rows = random.Random(seed), []
+    for at in range(n):
+        base = [f"f{at}w{rnd.randrange(10**6)}" for _ in range(rnd.choice([15, 60, 100]))]
+        for _ in range(rnd.choice([3, 4, 6])):
+            words = list(base)
+            for _ in range(rnd.choice([1, 2, 3])):
+                words[rnd.choice([0, 1, len(words) // 2, -1, -2])] = f"n{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows + [(rnd.randrange(len(rows)), rows[rnd.randrange(len(rows))][1]) for _ in range(n // 4)]
+
+
+@pytest.mark.parametrize("parts,many", [(1, 64), (4, 64), (16, 1)])
+def test_ngram_join_is_the_same_however_rows_are_dealt(spark, parts, many):
+    rows = families(1, 200)
+    got = ngram_jaccard.near_duplicates(table(spark, rows).repartition(parts), ngram_jaccard.Settings(many=many)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 90)
+
+
+def test_ngram_join_of_a_triple_in_partitions_of_its_own(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [["a", "b", "c", *words[3:]], words, [*words[:-1], "z"]]
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    got = ngram_jaccard.near_duplicates(table(spark, rows).repartitionByRange(4, "doc_id")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 90) == {1: 1, 2: 2, 3: 2}
+
+
+def test_ngram_join_of_an_id_with_several_texts(spark):
+    rows = [(3, "a b c d"), (4, "a b c d"), (4, "e f g h"), (5, "e f g h"), (6, "i j k l")]
+    got = ngram_jaccard.near_duplicates(table(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 90) == {3: 3, 4: 3, 5: 3, 6: 6}
+
+
+def test_pairs_of_a_hub_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "PAIRS_TOGETHER", 10)
+    pairs, ids = ngram_jaccard.dealt(spark.createDataFrame([(0, b) for b in range(1, 100)] + [(1, 2)], "a long, b long"))
+    sizes = pairs.filter("a = 0").groupBy("part").count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 25
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "doc_id long, text string")
+    both = ngram_jaccard.beside(pairs, ids, docs, "doc_id", ["text"]).collect()
+    assert Counter((r["a"], r["b"], r["text_a"], r["text_b"]) for r in both) == Counter([(0, b, "t0", f"t{b}") for b in range(1, 100)] + [(1, 2, "t1", "t2")])
+
+
 def test_ngram_edges(spark):
     got = ngram_jaccard.near_duplicates(table(spark, ODD)).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (None, None), (5, 5), (6, 6), (7, 4), (8, 8)])
     assert ngram_jaccard.near_duplicates(table(spark, [])).isEmpty()
-    kept = ngram_jaccard.near_duplicates_stage(spark, table(spark, ODD), "").collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted(map(str, [1, 2, 3, 4, 4, None, 5, 6, 8]))
+    kept = ngram_jaccard.near_duplicates_stage(spark, table(spark, ODD), "")
+    assert kept.columns == ngram_jaccard.DOCUMENT_COLUMNS
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, None, 5, 6, 8]))
+    assert ngram_jaccard.near_duplicates_stage(spark, table(spark, []), "").isEmpty()
 
 
 def test_ngram_stage_decides_by_row(spark):
     x, y = "one two three four five six seven", "red green blue black white grey brown"
-    rows = [(1, x), (9, x), (9, y), (9, ""), (9, None), (12, y), (12, " "), (None, x)]
+    rows = [(1, x), (1, x), (9, x), (9, y), (9, ""), (9, ""), (9, None), (12, y), (12, " "), (None, x)]
     kept = ngram_jaccard.near_duplicates_stage(spark, table(spark, rows), "").collect()
-    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, x), (9, y), (9, ""), (9, None), (12, " "), (None, x)])
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, x), (9, y), (9, ""), (9, ""), (9, None), (12, " "), (None, x)])
 
 
 def test_components(spark):
