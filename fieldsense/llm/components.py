@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialize(edges, "edges")
     mark = None
     for _ in range(most_rounds):
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") - F.col("b"))).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first()
         if now == mark or not now[0]:
             break
         mark, before = now, edges

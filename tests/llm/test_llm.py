@@ -171,12 +171,17 @@ def near(x, threshold=0.95):
     return s
 
 
+def clustered(rng, centres, copies, size, noise):
+    middle = rng.normal(size=(centres, size))
+    return np.concatenate([middle, middle[rng.integers(0, centres, copies)] + rng.normal(0, noise, (copies, size))])
+
+
 def test_embedding_recall_and_blocks(spark):
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(150, 16))
-    x = np.concatenate([centres, centres[rng.integers(0, 150, 500)] + rng.normal(0, 0.12, (500, 16)), np.repeat(centres[:1], 40, axis=0), centres[1:2] + rng.normal(0, 0.02, (300, 16))])
+    x = clustered(rng, 150, 500, 16, 0.12)
+    x = np.concatenate([x, np.repeat(x[:1], 40, axis=0), x[1:2] + rng.normal(0, 0.02, (300, 16))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    settings = embedding_neardup.Settings(leaf=60, block=50, sample=500)
+    settings = embedding_neardup.Settings(leaf=60, block=50, levels=2, task_rows=100)
     got = {r["vec_id"]: r for r in embedding_neardup.near_duplicates(df, settings).collect()}
     links = near(x)
     found = sum(r["n_links"] for r in got.values())
@@ -185,12 +190,32 @@ def test_embedding_recall_and_blocks(spark):
     assert all(r["kept"] == (r["component_id"] == i) and r["component_id"] <= i for i, r in got.items())
 
 
+def test_embedding_leaves_stay_small(spark):
+    rng = np.random.default_rng(4)
+    settings, worst = embedding_neardup.Settings(leaf=50, levels=3), []
+    for n in (1500, 6000):  # 6 and 9 levels
+        x = clustered(rng, n // 2, n // 2, 32, 0.2)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rid long, embedding array<double>")
+        assert embedding_neardup.levels_of(n, settings) >= 5
+        sizes = [r["count"] for r in embedding_neardup.forest(df, n, settings).distinct().groupBy("leaf").count().collect()]
+        worst.append(max(sizes))
+    assert max(worst) <= 3 * settings.leaf
+    got = {r["vec_id"]: r["n_links"] for r in embedding_neardup.near_duplicates(df.withColumnRenamed("rid", "vec_id"), settings).collect()}
+    links = near(x)
+    assert 0.97 * links.sum() <= sum(got.values()) <= links.sum() and links.sum() > 1000
+
+
 def test_embedding_edges(spark):
     nan = float("nan")
     rows = [(5, [1.0, 0.0]), (3, [2.0, 0.0]), (9, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (4, [nan, 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 0.0]), (8, [0.0, 1.0])]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    named = "vec_id long, embedding array<double>, rid long, leaf string, copies int, h1 string, component double, done int"
+    df = spark.createDataFrame([(*r, 1, "x", 2, "y", 0.5, 3) for r in rows], named)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_neardup.near_duplicates(df).collect()}
     assert got == {5: (2, 3), 3: (2, 3), 9: (2, 3), 1: (0, 1), 2: (0, 2), 4: (0, 4), 6: (0, 6), 7: (0, 7), None: (0, None), 8: (0, 8)}
     assert embedding_neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
+    twice = [(3, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 1.0]), (6, [-1.0, 0.0])]
+    got = embedding_neardup.near_duplicates(spark.createDataFrame(twice, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["component_id"]) for r in got} == {(3, 3), (4, 3), (5, 3), (6, 6)}
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------
@@ -319,7 +344,7 @@ def test_ngram_stage_decides_by_row(spark):
 
 def test_components(spark):
     rnd = random.Random(4)
-    pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
+    pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(-(2**63), 2**63 - 1), (2**63 - 1, 7 * 2**60)]
     got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     label = {x: x for p in pairs for x in p}
     for _ in label:
