@@ -3,10 +3,11 @@
 Vectors are dealt into blocks of bounded size and queries into blocks as well; each pair of blocks is one group. In a
 group every dimension has its list of vectors in order of value. A query walks all lists from their better end at
 once, scores what it meets by its whole vector, and stops when the sum of its products with the list values at the
-current depth, which no vector unseen so far can beat, is below its kth best score. The bests of the groups are then
-ranked by query.
+current depth, which no vector unseen so far can beat, is below its kth best score. One block is searched first; the kth
+best score there is a bound that each query takes along to all other blocks, where it stops below that bound at once:
+before the first step if the lists' ends can't reach it. The bests of the groups are then ranked by query.
 
-Defined cases: vectors that are null, or hold null or non-finite components, or have another length than most, take no
+Defined cases: a component or score beyond the range of a long counts as the nearest long; vectors that are null, or hold null or non-finite components, or have another length than most, take no
 part; ties go to the smaller id; a candidate row with the query's own id is left out; of rows that repeat a query id
 one is the query, as candidates all count; with fewer than k candidates all are returned; empty tables give an empty
 result; other columns are ignored.
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldsense.llm.common import materialize
+
 
 def usable(vector: Column) -> Column:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -31,6 +34,11 @@ def usual_length(vectors: DataFrame, column: str) -> int:
     return first["length"] if first else 0
 
 
+def within_long(scores: np.ndarray) -> np.ndarray:
+    """Floats hold scores below 2**53 only; Python's whole numbers are cut to the range of a long."""
+    return np.maximum(np.minimum(scores, (1 << 63) - 1), -(1 << 63)) if scores.dtype == object else scores
+
+
 class Lists:
     """The sorted list of each dimension over the vectors of a block."""
 
@@ -40,12 +48,16 @@ class Lists:
         self.values = np.take_along_axis(vectors, self.order, axis=0)
         self.step = max(8, len(ids) // steps)
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, better first; lists are walked `step` places at a time."""
+    def top(self, query: np.ndarray, own: int, k: int, least=None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best, better first, of those that score `least` or more if that is given; lists are
+        walked `step` places at a time."""
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = self.ids == own
         best, scores = np.zeros(0, self.ids.dtype), np.zeros(0, self.vectors.dtype)
+        reach = lambda upto: self.values[n - upto, up] @ query[up] + self.values[upto - 1, down] @ query[down]
+        if least is not None and within_long(np.array([reach(1)]))[0] < least:
+            return best, scores
         for depth in range(0, n, self.step):
             upto = min(n, depth + self.step)
             met = np.zeros(n, bool)
@@ -56,11 +68,14 @@ class Lists:
             met &= ~seen
             seen |= met
             rows = np.flatnonzero(met)
-            best, scores = np.concatenate([best, self.ids[rows]]), np.concatenate([scores, self.vectors[rows] @ query])
+            found = within_long(self.vectors[rows] @ query)
+            if least is not None:
+                rows, found = rows[found >= least], found[found >= least]
+            best, scores = np.concatenate([best, self.ids[rows]]), np.concatenate([scores, found])
             keep = np.lexsort((best, -scores))[:k]
             best, scores = best[keep], scores[keep]
-            bound = self.values[n - upto, up] @ query[up] + self.values[upto - 1, down] @ query[down]
-            if upto == n or (len(best) == k and scores[-1] > bound):
+            bound = within_long(np.array([reach(upto)]))[0]
+            if upto == n or (len(best) == k and scores[-1] > bound) or (least is not None and bound < least):
                 break
         return best, scores
 
@@ -69,7 +84,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.int64) for v in column])
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096, query_block: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 16_384, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) from vectors (vec_id long, parts array<long>).
 
     Each vector goes to every block of queries and each query to every block of vectors, blocks of at most about
@@ -77,30 +92,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096,
     """
     vectors = vectors.select("vec_id", "parts")
     rows = vectors.count()
-    queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("parts").alias("parts"))
+    queries = vectors.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("parts").alias("parts"))
     n_blocks, n_query_blocks = max(1, -(-rows // block)), max(1, -(-queries.count() // query_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # Row numbers deal rows out evenly whatever their ids are.
-    dealt = vectors.withColumn("at", F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks)).cast("int")).withColumn("part", every(n_query_blocks))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int")).withColumn("at", every(n_blocks))
+    every = lambda first, n: F.explode(F.sequence(F.lit(first), F.lit(n - 1)))
+    # The row's hash deals rows out, so that the first block is the same on every run.
+    at = F.pmod(F.xxhash64("vec_id", "parts"), F.lit(n_blocks)).cast("int")
+    dealt = vectors.withColumn("at", at).withColumn("part", every(0, n_query_blocks))
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int"))
 
     def search(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(block) and len(asked):
             v, q = _matrix(block["parts"]), _matrix(asked["parts"])
-            most = sum(int(a) * int(b) for a, b in zip(np.abs(v).max(axis=0), np.abs(q).max(axis=0), strict=True))
+            most = sum(max(abs(int(a)), abs(int(b))) * max(abs(int(c)), abs(int(d))) for a, b, c, d in zip(v.max(axis=0), v.min(axis=0), q.max(axis=0), q.min(axis=0), strict=True))
             kind = np.float64 if most < 1 << 53 else object  # whole numbers are exact either way
             lists = Lists(v.astype(kind), block["vec_id"].to_numpy(np.int64))
-            for own, query in zip(asked["vec_id"], q.astype(kind), strict=True):
-                ids, scores = lists.top(query, own, k)
+            for own, query, least in zip(asked["query_id"], q.astype(kind), asked["least"], strict=True):
+                ids, scores = lists.top(query, own, k, None if least is None else int(least))
                 out["query_id"] += [own] * len(ids)
                 out["vec_id"] += ids.tolist()
                 out["score"] += [int(s) for s in scores]
         return pd.DataFrame(out).astype("int64")
 
-    found = dealt.groupBy("at", "part").cogroup(asked.groupBy("at", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = "query_id long, vec_id long, score long"
+    least = F.lit(None).cast("string")  # as text, since pandas would make a null of longs a float
+    seed = dealt.filter("at = 0").groupBy("at", "part").cogroup(asked.withColumn("at", F.lit(0)).withColumn("least", least).groupBy("at", "part")).applyInPandas(search, found)
+    if n_blocks > 1:
+        seed = materialize(seed, "first-block")
+        kth = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("string").alias("least"))
+        asked = asked.join(kth, "query_id", "left").withColumn("at", every(1, n_blocks))
+        rest = dealt.filter("at > 0").groupBy("at", "part").cogroup(asked.groupBy("at", "part")).applyInPandas(search, found)
+        seed = seed.union(rest)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return seed.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_exact_topk(spark, sf_dir: str) -> DataFrame:
