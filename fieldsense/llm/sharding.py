@@ -38,9 +38,9 @@ def two_pass_shuffle(records: DataFrame, id_col: str, size_col: str, n_shards: i
     """records -> records + shard, bucket, grown_shard, slot (from 0 in each shard), law.
 
     bucket_bytes bounds what one bucket holds on average. The order inside a bucket depends on the records and the
-    seed only: buckets are sorted before they are shuffled, and a fixed number of partitions deals them out.
+    seed only: buckets are sorted before they are shuffled, and the number of partitions that deals them out follows from
+    the number of buckets, not from the session.
     """
-    spark = records.sparkSession
     records = records.drop(*OUTPUTS)
     total = records.agg(F.sum(F.col(size_col))).first()[0] or 0
     n_buckets = max(1, math.ceil(total / n_shards / bucket_bytes))
@@ -54,7 +54,7 @@ def two_pass_shuffle(records: DataFrame, id_col: str, size_col: str, n_shards: i
     if n_shards * n_buckets <= 10_000:  # a row of 24 bytes each
         starts = F.broadcast(starts)
 
-    partitions = max(min(n_shards * n_buckets, 100_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = min(n_shards * n_buckets, 100_000)
     buckets = (
         placed.repartition(partitions, "shard", "bucket")
         .groupBy("shard", "bucket")
