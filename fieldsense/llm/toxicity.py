@@ -6,7 +6,7 @@ terms say together, such as an insult and the mention of a group, beyond what ei
 of toxic texts doesn't differ from the rest get no weight.
 
 Defined cases: null and empty texts are scored by the intercept; texts of any length are read whole; a document with
-several labels counts as toxic if one says so; rows that repeat an id are scored each; without both labels in the
+several labels counts as toxic if one says so; rows that repeat an id are scored each and one of them teaches; without both labels in the
 training rows every score is the share of toxic rows (0 without rows); other columns are ignored.
 """
 
@@ -125,8 +125,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings
     """From docs (doc_id, text) and labels (doc_id, toxic) where usable, an expression over doc_id, is true."""
     marked = labels.filter(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = marked.select("doc_id", (F.col("toxic") > 0).alias("toxic")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= settings.per_label).drop("place")
+    # A bound on the hash keeps a little more than the sample of each label, so that only as much is put in order.
+    spread = 1 << 30
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    bound = {toxic: int(min(1.0, 1.5 * (settings.per_label + 100) / n) * spread) for toxic, n in counts.items()}
+    low = marked.select("doc_id", (F.col("toxic") > 0).alias("toxic")).filter(place < F.when(F.col("toxic"), bound.get(True, 0)).otherwise(bound.get(False, 0)))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(place, "doc_id"))
+    sample = low.withColumn("rank", rank).filter(F.col("rank") <= settings.per_label).drop("rank")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
-    rows = joined.mapInArrow(releasing(terms), f"doc_id {kind}, terms binary, toxic boolean").limit(2 * settings.per_label).collect()
+    found = joined.mapInArrow(releasing(terms), f"doc_id {kind}, terms binary, toxic boolean")
+    # Of rows that repeat an id one is learned from, the same on every run.
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms")).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["terms"])))
     total = sum(counts.values())
     return fit([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], bool), counts.get(True, 0) / total if total else 0.0, settings)
