@@ -7,7 +7,8 @@ batches of presence vectors are scored by matrix products. As the kernel is line
 landmarks and regression weights are multiplied out once, into one matrix of n-grams by languages.
 
 Defined cases: text that is null or has no letter is `und` with score 0; so is every text if nothing can be learned;
-texts of any length are read whole; rows that repeat an id are predicted each; other columns are ignored.
+texts of any length are read whole; rows that repeat an id are predicted each and one of them teaches; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import releasing
+from fieldsense.llm.common import in_slices, releasing
 
 #: Bits of the hash of 1-, 2- and 3-grams.
 BITS = (11, 13, 15)
@@ -100,14 +101,16 @@ def training_flags(labelled: DataFrame, docs: DataFrame, settings: Settings) ->
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
+            for text in in_slices(batch.column(0)):
                 row = np.zeros(WIDTH, np.uint8)
                 presence(text, row)
                 out.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], names=["flags", "lang", "place"])
 
     texts = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = texts.select("text", "lang", "place").mapInArrow(releasing(flags), "flags binary, lang string, place int").limit(settings.texts).collect()
+    found = texts.select("text", "lang", "place").mapInArrow(releasing(flags), "flags binary, lang string, place int")
+    # Of rows that repeat an id one is learned from, the same on every run.
+    rows = found.groupBy("lang", "place").agg(F.min("flags").alias("flags")).collect()
     rows.sort(key=lambda r: (r["place"], r["lang"], r["flags"]))
     return [bytes(r["flags"]) for r in rows], [r["lang"] for r in rows]
 
@@ -123,14 +126,15 @@ def identify(docs: DataFrame, held_out, settings: Settings = Settings()) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            rows = [i for i, text in enumerate(texts) if has_letter(text)] if model else []
-            for a in range(0, len(rows), settings.batch):
-                part = rows[a : a + settings.batch]
+            names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            for a in range(0, batch.num_rows if model else 0, settings.batch):
+                texts = batch.column(2).slice(a, settings.batch).to_pylist()
+                part = [a + i for i, text in enumerate(texts) if has_letter(text)]
+                if not part:
+                    continue
                 flags = np.zeros((len(part), WIDTH), np.uint8)
                 for row, i in zip(flags, part, strict=True):
-                    presence(texts[i], row)
+                    presence(texts[i - a], row)
                 raw = scaled(flags) @ model[1] + model[2]
                 p = np.exp(settings.sharpness * (raw - raw.max(axis=1, keepdims=True)).astype(np.float64))
                 p /= p.sum(axis=1, keepdims=True)
