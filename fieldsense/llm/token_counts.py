@@ -1,8 +1,9 @@
 """Token counts of whole texts: batch encoding in Arrow functions that return lengths only.
 
-Texts are split at ASCII white space, where no token, merge, normal form or special string of the vocabulary crosses;
-the pieces of a batch are encoded once each, in calls of about equal bytes, and their lengths are added up. So a text
-of any length costs memory in proportion to its longest run without white space.
+Texts are split at ASCII white space if no token, merge, normal form or special string of the vocabulary crosses it, which
+is tried out on probes before; the pieces of a batch are encoded once each, in calls of about equal bytes, and their
+lengths are added up. So a text of any length costs memory in proportion to its longest run without white space. A
+vocabulary whose tokens cross white space gets whole texts, in calls of about equal bytes.
 
 Defined cases: null text counts as empty, with 0 bytes and 0 tokens; rows that repeat an id are counted each; an empty
 table gives an empty result; other columns are ignored.
@@ -11,13 +12,13 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldsense.llm.common import releasing
+from fieldsense.llm.common import in_slices, releasing
 
 #: Distinct pieces whose counts a worker remembers, and the longest of them in bytes.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 48
@@ -34,7 +35,17 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def _by_bytes(pieces: list, most: int) -> Iterator[list]:
+#: Words and separators that a vocabulary must encode the same together and apart to be split at white space.
+PROBES = ("the", "Straße", "don't", "é", "2024", "x1", "漢字", "...", "<b>", "\u0301")
+SEPARATORS = (" ", "  ", "\n", "\t", "\r\n", " \x0b\x0c ")
+
+
+def splits_at_white_space(tokenizer) -> bool:
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return all(ids(a + s + b) == ids(a) + ids(b) for a in PROBES for b in PROBES for s in SEPARATORS) and not any(map(ids, SEPARATORS))
+
+
+def _by_bytes(pieces: Iterable, most: int) -> Iterator[list]:
     part, held = [], 0
     for piece in pieces:
         if part and held + len(piece) > most:
@@ -49,17 +60,23 @@ def _by_bytes(pieces: list, most: int) -> Iterator[list]:
 class Counter:
     def __init__(self, path: str, call_bytes: int):
         self.tokenizer, self.call_bytes, self.known = _tokenizer(path), call_bytes, {}
+        self.splits = splits_at_white_space(self.tokenizer)
+
+    def lengths(self, pieces: list[bytes]) -> Iterator[int]:
+        for part in _by_bytes(pieces, self.call_bytes):
+            yield from (len(x.ids) for x in self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False))
 
     def counts(self, texts: list[bytes]) -> list[int]:
         """Tokens of each text; texts together hold a bounded number of bytes, but for one long text."""
+        if not self.splits:
+            return list(self.lengths(texts))
         pieces = [text.split() for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = set().union(*pieces).difference(self.known)
         lengths = self.known if all(len(x) <= REMEMBERED_BYTES for x in new) else dict(self.known)
-        for part in _by_bytes(sorted(new), self.call_bytes):
-            encoded = self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)
-            lengths.update(zip(part, (len(x.ids) for x in encoded), strict=True))
+        new = sorted(new)
+        lengths.update(zip(new, self.lengths(new), strict=True))
         if lengths is not self.known:
             self.known.update((x, lengths[x]) for x in new if len(x) <= REMEMBERED_BYTES)
         return [sum(map(lengths.__getitem__, x)) for x in pieces]
@@ -75,12 +92,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path, call_bytes)
         for batch in batches:
-            texts = [x.encode() if x is not None else b"" for x in batch.column(1).to_pylist()]
+            n_bytes: list[int] = []
             n_tokens: list[int] = []
-            for part in _by_bytes(texts, batch_bytes):
+            for part in _by_bytes(((x or "").encode() for x in in_slices(batch.column(1))), batch_bytes):
+                n_bytes += map(len, part)
                 n_tokens += counter.counts(part)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
+                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
