@@ -127,6 +127,28 @@ def test_top_k_edges(spark, tmp_path):
     assert exact_topk.top_k(spark.createDataFrame([], "vec_id long, parts array<long>"), F.lit(True)).isEmpty()
 
 
+def test_top_k_of_huge_values_and_clashing_columns(spark, tmp_path):
+    rows = [(0, [1e8, -1e8]), (1, [1e8, 0.0]), (2, [-1e30, 1e30]), (3, [1e8, 0.0]), (4, [0.0, 1e-3]), (5, [1.0, 1.0])]
+    named = "vec_id long, embedding array<double>, score string, rank string, query_id int, parts int, at int, part string, least int"
+    spark.createDataFrame([(*r, "s", "r", 1, 2, 3, "p", 4) for r in rows], named).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = exact_topk.op2_exact_topk(spark, str(tmp_path)).orderBy("rank").collect()
+    top, bottom = 2**63 - 1, -(2**63)
+    score = {1: (1024 * 10**8) ** 2, 2: bottom, 3: (1024 * 10**8) ** 2, 4: -(1024 * 10**8), 5: 0}
+    expected = sorted(((-min(max(s, bottom), top), i) for i, s in score.items()))
+    assert [(-r["score"], r["vec_id"]) for r in got] == expected and got[0]["score"] == top
+
+
+@pytest.mark.parametrize("block,query_block", [(10_000, 4096), (90, 3), (17, 1)])
+def test_top_k_with_shared_bounds(spark, block, query_block):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.integers(-900, 900, (400, 8)), np.tile(rng.integers(-900, 900, (1, 8)), (60, 1))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, parts array<long>")
+    got = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, k=10, block=block, query_block=query_block).collect()
+    for q in range(0, 460, 50):
+        best = sorted((-int(x[i] @ x[q]), i) for i in range(len(x)) if i != q)[:10]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -143,6 +165,43 @@ def test_language_id(spark):
     assert (none["lang_pred"], none["score"]) == ("und", 0.0)
 
 
+def test_language_scores_equal_the_kernel_matrix():
+    """The one matrix of n-grams by languages against kernel values between texts, landmarks and training texts."""
+    rnd, s = random.Random(3), language_id.Settings(landmarks=12)
+    words = {"aa": ["der", "und", "nicht", "ich"], "bb": ["the", "and", "not", "which"], "cc": ["les", "est", "pas", "que"]}
+    texts = [(x, " ".join(rnd.choice(words[x]) for _ in range(12))) for x in words for _ in range(10)]
+
+    def grams(text):
+        row = np.zeros(language_id.WIDTH, np.uint8)
+        language_id.presence(text, row)
+        at = language_id.STARTS
+        return [set(np.flatnonzero(row[a:b]).tolist()) for a, b in zip(at, at[1:])]
+
+    def kernel(x, y):
+        return np.mean([len(a & b) / np.sqrt(len(a) * len(b)) if a and b else 0.0 for a, b in zip(grams(x), grams(y))])
+
+    packed = []
+    for _, t in texts:
+        row = np.zeros(language_id.WIDTH, np.uint8)
+        language_id.presence(t, row)
+        packed.append(np.packbits(row).tobytes())
+    names, matrix, intercept = language_id.fit(packed, [x for x, _ in texts], s)
+    marks = [t for x in names for t in [t for y, t in texts if y == x][: s.landmarks // len(names)]]
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    features = np.array([[kernel(t, m) for m in marks] for _, t in texts]) @ root
+    y = np.array([[float(x == n) for n in names] for x, _ in texts])
+    centred = features - features.mean(0)
+    solved = np.linalg.solve(centred.T @ centred + s.ridge * len(texts) / 100 * np.eye(centred.shape[1]), centred.T @ (y - y.mean(0)))
+    for t in ("nicht und the", "est que pas les", "zz 12"):
+        expected = (np.array([kernel(t, m) for m in marks]) @ root - features.mean(0)) @ solved + y.mean(0)
+        row = np.zeros((1, language_id.WIDTH), np.uint8)
+        language_id.presence(t, row[0])
+        assert (language_id.scaled(row) @ matrix + intercept)[0] == pytest.approx(expected, abs=2e-3)
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -161,6 +220,17 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.count_tokens(table(spark, []), path).isEmpty()
 
 
+@pytest.mark.parametrize("name,splits", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_token_counts_of_vocabularies_that_cross_white_space(spark, name, splits):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path(name))
+    assert token_counts.splits_at_white_space(library) == splits
+    rows = ODD + [(20, "Hello  world, this\n\n is a text   with spaces ")]
+    got = token_counts.count_tokens(table(spark, rows), P.path(name), call_bytes=30).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in rows)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -375,6 +445,16 @@ def test_sharding(spark, tmp_path):
     assert order != sorted(order)
 
 
+def test_sharding_order_is_the_sessions_business_no_longer(spark):
+    records = table(spark, [(i, f"text {i}") for i in range(500)]).select("doc_id", "text", F.octet_length("text").cast("long").alias("size"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(tuple, sharding.two_pass_shuffle(records.repartition(3 if n == "4" else 5), "doc_id", "size", n_shards=5, bucket_bytes=300).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
 def test_sharding_writes_whole_documents(spark):
     small = "/root/testdata/sf0.001"
     result = sharding.op7_sharding(spark, small)
@@ -414,6 +494,31 @@ def test_toxicity_pairs_and_held_out(spark, tmp_path):
     assert stage == sum(1 for k, r in got.items() if k < 9000 and not r["predicted"])
 
 
+def test_toxicity_scores_equal_the_double_loop(spark):
+    rng, s = np.random.default_rng(2), toxicity.Settings(bits=10, factors=3)
+    buckets = sorted(set(np.concatenate([toxicity.text_buckets(w, s.bits) for w in ("insult", "group", "plain", "filler")]).tolist()))
+    model = toxicity.Machine({b: i for i, b in enumerate(buckets)}, -0.3, rng.normal(size=len(buckets)), rng.normal(size=(len(buckets), 3)))
+    rows = [(1, "insult the group"), (2, "plain"), (3, ""), (4, None), (5, "Insult, insult! FILLER " * 4000), (6, "\U0001f600 group")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, rows), model, s, ("doc_id",)).collect()}
+    for i, text in rows:
+        present = [model.place[b] for b in toxicity.text_buckets(text, s.bits).tolist() if b in model.place]
+        raw = model.bias + sum(model.linear[k] for k in present)
+        raw += sum(float(model.pairs[k] @ model.pairs[m]) for x, k in enumerate(present) for m in present[x + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_toxicity_sample_and_empty_table(spark):
+    docs = table(spark, [(i, f"word{i % 7} text") for i in range(400)] + [(5, "other text of an id")] * 30)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    seen = []
+    for parts in (1, 5):
+        model = toxicity.train(docs.repartition(parts), labels.repartition(parts), F.lit(True), toxicity.Settings(per_label=40))
+        seen.append((model.bias, model.linear.tolist()))
+    assert seen[0] == seen[1]
+    model = toxicity.train(table(spark, []), labels.limit(0), F.lit(True), toxicity.Settings())
+    assert toxicity.score(table(spark, []), model, toxicity.Settings(), ("doc_id",)).isEmpty()
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
     settings = toxicity.Settings()
