@@ -3,11 +3,13 @@
 For each source the document rates r_i minimise the bounded relative entropy
 sum r log r + (cap - r) log(cap - r) subject to one token constraint sum(size_i * r_i) = target. The dual has one
 variable per source and is convex; its solution is the exponential tilt r_i = cap / (1 + exp(-lambda * size_i / mean)).
-Newton steps run as distributed sums over a (source, size) histogram; the rates are then rounded to whole copies.
-DataFrame operations only.
+Sizes are aggregated over all documents to a histogram of bounded length for each source, in bins so narrow that a bin's
+documents have almost one rate; Newton's iterations run over the histograms, all sources at once. The rates are then
+rounded to whole copies. DataFrame operations only.
 
 Defined cases: null text has size 0; null source is a source of its own and sorts last; a document of size 0 is taken
-0 times; repeated rows are separate documents; an empty table gives an empty result; other columns are ignored.
+0 times; repeated rows are separate documents; an empty table gives an empty result; other columns are ignored; texts of
+any length count whole.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from fieldsense.llm.common import DOCUMENT_COLUMNS, materialize
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rates are rounded to multiples of 2^-20 so that their running sums are exact integers, whatever the order of adding.
 UNIT = 1 << 20
-#: Rows of one source (or of one size class of a larger source) that are put in order together.
-ROUNDING_ROWS = 50_000
+#: Size bins: one for each size up to EXACT, then BINS to a doubling.
+EXACT, BINS = 128, 64
 
 
 def word_count(text: Column) -> Column:
@@ -57,96 +59,98 @@ def tilted(x: Column, lam: Column, cap: float) -> Column:
     return F.lit(cap) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), lam * x))))
 
 
-def entropy_balance(histogram: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: int = 12, steps: int = 4, tolerance: float = 1e-9) -> DataFrame:
-    """(source, size, n) and (source, source_size, n, target) -> targets + lam, mean.
+def size_bin(size: Column) -> Column:
+    return F.when(size <= EXACT, size).otherwise(EXACT + F.ceil(F.log2(size / F.lit(float(EXACT))) * BINS)).cast("long")
 
-    Each Newton step is one aggregation of the histogram by source, summed as decimals so that reruns agree. A step
-    that leaves the bracket known so far is replaced by its middle. Sources at their cap or with target 0 have no
-    finite dual solution; their lam is +-700, where all rates are cap or 0. steps Newton steps share one job.
+
+def entropy_balance(histogram: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: int = 60) -> DataFrame:
+    """(source, size, n) and (source, source_size, n, target) -> targets + lam, mean, full.
+
+    A source's histogram is one array of bins, at most 128 and 64 for each doubling of sizes above, in order, so sums and
+    reruns agree. A Newton step that leaves the bracket known so far is replaced by its middle. Sources at their cap or
+    with target 0 have no finite dual solution; their lam is +-700, where all rates are cap or 0.
     """
-    x, size = F.col("size") / F.col("mean"), F.col("size")
-    start = targets.withColumn("mean", F.greatest(F.lit(1e-9), F.col("source_size") / F.col("n"))).select(
-        "source", "source_size", "target", "mean", *(F.lit(v).alias(k) for k, v in (("lam", 0.0), ("lo", -700.0), ("hi", 700.0)))
-    )
-    state = materialize(start.withColumn("gap", F.lit(1.0)), "mix-dual")
-    for _ in range(rounds):
-        for _ in range(steps):
-            side = state.select(F.col("source").alias("of"), "mean", "lam")
-            rate = tilted(x, F.col("lam"), cap)
-            taken = F.col("n") * size * rate / F.col("mean")
-            slope = taken * x * (F.lit(1.0) - rate / F.lit(cap))
-            sums = (
-                histogram.join(side, F.col("source").eqNullSafe(F.col("of")))
-                .groupBy("of")
-                .agg(F.sum(taken.cast("decimal(38,12)")).cast("double").alias("g"), F.sum(slope.cast("decimal(38,12)")).cast("double").alias("h"))
-            )
-            over = F.col("g") - F.col("target") / F.col("mean")
-            state = (
-                state.join(sums, F.col("source").eqNullSafe(F.col("of")), "left")
-                .withColumn("g", F.coalesce("g", F.lit(0.0)))
-                .withColumn("lo", F.when(over <= 0, F.col("lam")).otherwise(F.col("lo")))
-                .withColumn("hi", F.when(over >= 0, F.col("lam")).otherwise(F.col("hi")))
-                .withColumn("gap", F.abs(over) / F.greatest(F.lit(1.0), F.col("target") / F.col("mean")))
-                .withColumn("next", F.col("lam") - F.try_divide(over, F.col("h")))
-                .withColumn("lam", F.when((F.col("next") > F.col("lo")) & (F.col("next") < F.col("hi")), F.col("next")).otherwise((F.col("lo") + F.col("hi")) / 2))
-                .select("source", "source_size", "target", "mean", "lam", "lo", "hi", "gap")
-            )
-        state = materialize(state, "mix-dual")
-        free = (F.col("target") < F.lit(cap) * F.col("source_size")) & (F.col("target") > 0)
-        if (state.filter(free).agg(F.max("gap")).first()[0] or 0.0) < tolerance:
-            break
+    binned = histogram.groupBy("source", size_bin(F.col("size")).alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words"))
+    bins = binned.groupBy(F.col("source").alias("of")).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "words"))).alias("bins"))
+    state = targets.join(bins, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("mean", F.greatest(F.lit(1e-9), F.col("source_size") / F.col("n")))
+    scaled = lambda b: F.struct((b["words"] / b["n"] / F.col("mean")).alias("x"), (b["words"] / F.col("mean")).alias("w"))
+    state = state.withColumn("bins", F.transform("bins", scaled)).withColumn("goal", F.col("target") / F.col("mean"))
+
+    def add(lam: Column):
+        def one(sums: Column, b: Column) -> Column:
+            rate = tilted(b["x"], lam, cap)
+            return F.struct((sums["g"] + b["w"] * rate).alias("g"), (sums["h"] + b["w"] * b["x"] * rate * (F.lit(1.0) - rate / F.lit(cap))).alias("h"))
+
+        return one
+
+    def step(s: Column, _: Column) -> Column:
+        sums = F.aggregate("bins", F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), add(s["lam"]))
+        # Arguments of lambdas are computed once: sums, then the bracket.
+        return F.get(F.transform(F.array(sums), lambda t: moved(s, t)), F.lit(0))
+
+    def moved(s: Column, t: Column) -> Column:
+        over = t["g"] - F.col("goal")
+        lo, hi = F.when(over <= 0, s["lam"]).otherwise(s["lo"]), F.when(over >= 0, s["lam"]).otherwise(s["hi"])
+        bracket = F.array(F.struct(lo.alias("lo"), hi.alias("hi"), (s["lam"] - F.coalesce(F.try_divide(over, t["h"]), F.lit(1e9))).alias("next")))
+        inside = lambda b: F.when((b["next"] > b["lo"]) & (b["next"] < b["hi"]), b["next"]).otherwise((b["lo"] + b["hi"]) / 2)
+        return F.get(F.transform(bracket, lambda b: F.struct(inside(b).alias("lam"), b["lo"].alias("lo"), b["hi"].alias("hi"))), F.lit(0))
+
+    start = F.struct(F.lit(0.0).alias("lam"), F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi"))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)["lam"]
     full = F.col("target") >= F.lit(cap) * F.col("source_size")
-    lam = F.when(full, F.lit(700.0)).when(F.col("target") <= 0, F.lit(-700.0)).otherwise(F.round("lam", 9))
-    return state.withColumn("lam", lam).withColumn("full", full).drop("lo", "hi", "gap")
+    lam = F.when(full, F.lit(700.0)).when(F.col("target") <= 0, F.lit(-700.0)).otherwise(F.round(solved, 9))
+    return state.select("source", "source_size", "target", "n", "mean", lam.alias("lam"), full.alias("full"))
 
 
-def mix(rows: DataFrame, id_col: str = "doc_id", cap: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, seed: int = 11) -> DataFrame:
+def mix(
+    rows: DataFrame, id_col: str = "doc_id", cap: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, seed: int = 11, together: int = 5_000
+) -> DataFrame:
     """rows (id, source, size, tie) -> rows + source_size, target, rate, copies.
 
-    Rounding is systematic: along the rows of a source in order of size, a row gets as many copies as whole numbers
-    pass in the running sum of rates, so neighbours of like size even each other out. Sources of more than
-    ROUNDING_ROWS rows are cut into size classes and hashed parts first, so no task orders a whole hot source. What is
-    left of a smaller source's gap after that is closed, up to one document, by one copy more or less of its smallest.
+    Rounding is systematic: along the rows of a lot in order of size, a row gets as many copies as whole numbers pass in
+    the running sum of rates, so neighbours of like size even each other out. A lot is a hashed part, of about `together`
+    rows, of the rows of a source whose sizes are within an eighth of a doubling, so no task orders a whole hot source.
+    What is left of a source's gap is closed, up to one document, by one copy more or less of its smallest: how many of
+    each size in each part is found from counts, so again only parts are put in order.
     """
     units = materialize(rows.select(id_col, "source", "size", "tie"), "mix-sizes")
     histogram = materialize(units.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     by_source = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
     targets = materialize(source_targets(by_source, weights, share, cap), "mix-targets")
-    dual = entropy_balance(histogram, targets, cap)
-
-    of_source = F.col("source").eqNullSafe(F.col("of"))
-    grain = F.when(F.col("rows") > ROUNDING_ROWS, F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 8)).otherwise(F.lit(0))
-    sized = histogram.join(targets.select(F.col("source").alias("of"), F.col("n").alias("rows")), of_source).withColumn("grain", grain)
-    classes = sized.groupBy("of", "grain").agg(F.sum("n").alias("class_rows"), F.max("rows").alias("rows"))
-    parts = classes.select(F.col("of").alias("of_class"), F.col("grain").alias("class_grain"), F.ceil(F.col("class_rows") / ROUNDING_ROWS).alias("parts"))
+    dual = materialize(entropy_balance(histogram, targets, cap), "mix-dual")
 
-    rated = units.join(
-        dual.join(targets.select(F.col("source").alias("of"), F.col("n").alias("rows")), of_source).drop("of").withColumnRenamed("source", "of"),
-        F.col("source").eqNullSafe(F.col("of")),
-    )
+    grain = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 8)
+    parts = histogram.groupBy(F.col("source").alias("of_class"), grain.alias("class_grain")).agg(F.ceil(F.sum("n") / together).alias("parts"))
     rate = F.when(F.col("size") == 0, F.lit(0)).when(F.col("full"), F.lit(int(cap * UNIT))).otherwise(F.round(tilted(F.col("size") / F.col("mean"), F.col("lam"), cap) * UNIT)).cast("long")
     rated = (
-        rated.withColumn("grain", grain)
+        units.join(dual.drop("n").withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("grain", grain)
         .join(parts, F.col("source").eqNullSafe(F.col("of_class")) & (F.col("grain") == F.col("class_grain")))
         .withColumn("mark", F.xxhash64(F.col(id_col), F.col("tie"), F.lit(seed)))
         .withColumn("part", F.pmod(F.col("mark"), F.col("parts")))
         .withColumn("units", rate)
     )
-    along = Window.partitionBy("source", "grain", "part").orderBy("size", "mark", id_col, "tie")
-    end = F.sum("units").over(along.rowsBetween(Window.unboundedPreceding, 0)) + F.pmod(F.xxhash64("source", "grain", "part", F.lit(seed)), F.lit(UNIT))
+    lot = ["source", "grain", "part"]
+    along = Window.partitionBy(*lot).orderBy("size", "mark", id_col, "tie")
+    end = F.sum("units").over(along.rowsBetween(Window.unboundedPreceding, 0)) + F.pmod(F.xxhash64(*lot, F.lit(seed)), F.lit(UNIT))
     rounded = rated.withColumn("end", end).withColumn("copies", F.shiftright("end", 20) - F.shiftright(F.col("end") - F.col("units"), 20))
-
-    small = F.col("rows") <= ROUNDING_ROWS
-    # Large sources get a part number here as well, else the second ordering would bring them together.
-    apart = F.when(small, F.lit(0)).otherwise(F.pmod(F.col("mark"), F.ceil(F.col("rows") / ROUNDING_ROWS)))
-    lot = Window.partitionBy("source", "apart")
-    rounded = rounded.withColumn("apart", apart).withColumn("gap", F.when(small, F.col("target") - F.sum(F.col("copies") * F.col("size")).over(lot)).otherwise(F.lit(0.0)))
-    usable = (F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("copies") < int(cap)).otherwise(F.col("copies") > 0)
-    running = F.sum(F.when(usable, F.col("size")).otherwise(F.lit(0))).over(lot.orderBy("size", "mark", id_col, "tie").rowsBetween(Window.unboundedPreceding, 0))
-    change = F.when(usable & (running <= F.abs("gap")), F.signum("gap")).otherwise(F.lit(0.0)).cast("long")
-    return rounded.withColumn("copies", (F.col("copies") + change).cast("long")).select(
-        id_col, "source", "size", "tie", "source_size", "target", (F.col("units") / UNIT).alias("rate"), "copies"
-    )
+    rounded = materialize(rounded.select(id_col, "source", "size", "tie", *lot[1:], "mark", "source_size", "target", "units", "copies"), "mix-rounded")
+
+    taken = rounded.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    taken = taken.select(F.col("source").alias("of"), "gap")
+    with_gap = rounded.filter("size > 0").join(taken, F.col("source").eqNullSafe(F.col("of")))
+    open_to = F.when(F.col("gap") > 0, F.col("copies") < int(cap)).otherwise(F.col("copies") > 0)
+    cells = with_gap.filter(open_to).groupBy("source", "size", "part").agg(F.max("gap").alias("gap"), F.count("*").alias("free"))
+    before = Window.partitionBy("source").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.abs("gap") - F.coalesce(F.sum(F.col("free") * F.col("size")).over(before), F.lit(0))
+    change = F.greatest(F.lit(0), F.least(F.col("free"), F.floor(left / F.col("size")))).cast("long")
+    cells = cells.withColumn("change", change).filter("change > 0")
+    cells = cells.select(*(F.col(c).alias(f"c_{c}") for c in ("source", "size", "part")), "gap", "change")
+    in_cell = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("part") == F.col("c_part"))
+    place = F.row_number().over(Window.partitionBy(*lot, "size").orderBy(~F.coalesce(open_to, F.lit(False)), "mark", id_col, "tie"))
+    placed = rounded.join(cells, in_cell, "left").withColumn("place", F.when(F.col("change").isNotNull(), place))
+    step = F.when(F.col("place") <= F.col("change"), F.signum("gap")).otherwise(F.lit(0.0)).cast("long")
+    return placed.select(id_col, "source", "size", "tie", "source_size", "target", (F.col("units") / UNIT).alias("rate"), (F.col("copies") + step).alias("copies"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -160,14 +164,13 @@ def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice. Identical rows share their copies."""
-    key = ["doc_id", "source", "size", "tie"]
-    taken = mix(measured(docs)).groupBy(*key).agg(F.sum("copies").alias("all_copies"), F.count("*").alias("alike"))
-    taken = taken.filter("all_copies > 0").select(*(F.col(k).alias(f"t_{k}") for k in key), "all_copies", "alike")
-    full = docs.select(*DOCUMENT_COLUMNS, word_count(F.col("text")).alias("size"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"))
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"t_{k}"))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    row = ["doc_id", "source", "size", "tie"]
+    # Two hashes of a row stand for it; they are never null, so rows are dealt once for the join and the numbering.
+    named = lambda df: df.withColumn("r1", F.xxhash64(*row)).withColumn("r2", F.xxhash64(F.lit(3), *row))
+    taken = named(mix(measured(docs))).groupBy("r1", "r2").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("alike")).filter("all_copies > 0")
+    full = named(docs.select(*DOCUMENT_COLUMNS, word_count(F.col("text")).alias("size"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie")))
+    place = F.row_number().over(Window.partitionBy("r1", "r2").orderBy("lang", "n_chars"))
     upto = lambda k: F.floor(k * F.col("all_copies") / F.col("alike"))
-    one_by_one = full.join(taken, same).withColumn("place", F.when(F.col("alike") > 1, place).otherwise(F.lit(1)))
-    return one_by_one.withColumn("copy", F.explode(F.array_repeat(F.lit(1), (upto(F.col("place")) - upto(F.col("place") - 1)).cast("int")))).select(*DOCUMENT_COLUMNS)
+    one_by_one = full.join(taken, ["r1", "r2"]).withColumn("place", place)
+    copies = (upto(F.col("place")) - upto(F.col("place") - 1)).cast("int")
+    return one_by_one.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*DOCUMENT_COLUMNS)
