@@ -599,16 +599,18 @@ def test_mixing(spark):
     again = source_mixing.mix(source_mixing.measured(table(spark, rows).repartition(7))).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
     assert source_mixing.mix(source_mixing.measured(table(spark, []))).isEmpty()
+    odd = source_mixing.mix(source_mixing.measured(table(spark, ODD + [(30, "w " * 300_000)]))).collect()
+    assert {r["doc_id"]: r["size"] for r in odd}[30] == 300_000 and all(r["copies"] == 0 for r in odd if r["size"] == 0)
 
 
-def test_mixing_large_sources_and_stage(spark, monkeypatch):
-    monkeypatch.setattr(source_mixing, "ROUNDING_ROWS", 100)
+def test_mixing_large_sources_and_stage(spark):
     rnd = random.Random(11)
     rows = [(i, " ".join(["w"] * rnd.randint(1, 200)), "en", "ab"[i % 3 == 0]) for i in range(1500)]
-    got = source_mixing.mix(source_mixing.measured(table(spark, rows))).collect()
-    for s in "ab":
-        own = [r for r in got if r["source"] == s]
-        assert sum(r["copies"] * r["size"] for r in own) == pytest.approx(own[0]["target"], rel=0.02)
+    for together in (20, 100, 5000):
+        got = source_mixing.mix(source_mixing.measured(table(spark, rows)), together=together).collect()
+        for s in "ab":
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 200
     copies = Counter({r["doc_id"]: r["copies"] for r in got})
     stage = source_mixing.mix_stage(spark, table(spark, rows + [(5, rows[5][1], "en", rows[5][3])]), "")
     assert stage.columns == source_mixing.DOCUMENT_COLUMNS
