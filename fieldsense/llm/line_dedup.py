@@ -25,6 +25,8 @@ from fieldsense.llm.common import DOCUMENT_COLUMNS, materialize
 
 #: At most this many line hashes (8 bytes each) are broadcast to pick lines; beyond it the join is by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Repeated lines that are broadcast at most, 48 bytes each.
+COMMON = 10_000
 _PLACE = 1 << 32
 #: Characters whose counts a candidate's two lines must about share (any choice finds the same lines).
 LETTERS = "etanorishdlucm"
@@ -235,8 +237,17 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     near = materialize(near_lines(docs, pairs, settings), "near-lines")
 
     held = lines(docs).filter(F.char_length("line") >= settings.least).select("doc_id", "line_no", *line_names())
-    first = held.groupBy("h1", "h2").agg(F.min(places()).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    repeats = held.join(first, ["h1", "h2"]).filter(places() > F.col("first")).select("doc_id", "line_no")
+    first = held.groupBy("h1", "h2").agg(F.min(places()).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = materialize(first, "repeated-lines")
+    # Lines that hold more than 1 / COMMON of all repeats are at most COMMON: they are broadcast, and their rows aren't
+    # dealt by line. Every other line is a small share of the rows.
+    total = first.agg(F.sum("n")).first()[0] or 0
+    is_common = F.col("n") * COMMON > total
+    common = first.filter(is_common).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("first").alias("first_common"))
+    held = held.join(F.broadcast(common), (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
+    scattered = held.withColumn("h1", F.when(F.col("c1").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "line_no")))
+    repeats = scattered.join(first.filter(~is_common).select("h1", "h2", "first"), ["h1", "h2"], "left")
+    repeats = repeats.filter(places() > F.coalesce("first_common", "first")).select("doc_id", "line_no")
     line_no = F.expr(f"pmod(place, {_PLACE}BD)")
     near = near.select(((F.col("place") - line_no) / _PLACE).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"))
     gone = repeats.union(near).distinct()
