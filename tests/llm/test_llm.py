@@ -94,6 +94,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert found == brute_lines(rows) and len(found) > 30
 
 
+def test_line_dedup_of_common_lines(spark, monkeypatch):
+    rnd = random.Random(6)
+    kinds = ["".join(rnd.choice("abcdefgh ") for _ in range(40)) for _ in range(9)]
+    rows = [(d, "\n".join([kinds[0]] + [kinds[rnd.randrange(9)] for _ in range(rnd.randint(0, 4))])) for d in range(200)]
+    for common in (1, 3, 10_000):
+        monkeypatch.setattr(line_dedup, "COMMON", common)
+        found = {(r["doc_id"], i) for r in line_dedup.dropped_lines(table(spark, rows)).collect() for i in r["dropped"]}
+        assert found == brute_lines(rows)
+
+
 def test_line_dedup_stage(spark):
     long = "This line is long enough to be looked at."
     rows = [(1, f"{long}\nshort\n{long}"), (2, f"{long}\nsomething else that is long enough"), (3, long), (4, None), (5, "")]
