@@ -93,17 +93,33 @@ def attributes(sentences: Column) -> dict[str, Column]:
 
 
 def evidence(df: DataFrame, key: str, sentences: str) -> DataFrame:
-    """(key, field, match, sentence): what was found where, each once whatever its case."""
-    named = [("pitch", p) for p in PITCH.values()] + [("loudness", p) for p in (MODERATE, QUIET, LOUD)] + [("duration_s", p) for p, *_ in DURATION]
-    named += [("notes_per_s", NOTES_PER_SECOND)] + [("structure", p) for p in STRUCTURE.values()] + [("rising_pitch", p) for p in RISING.values()] + [("underwater", UNDERWATER)]
-    one = df.select(key, F.explode(sentences).alias("sentence"))
-
-    def matches(field: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("sentence", F.lit(any_case(pattern)), 0), lambda m: F.struct(F.lit(field).alias("field"), m.alias("match")))
-
-    found = [matches(f, p) for f, p in named]
-    rows = one.select(key, "sentence", F.explode(F.concat(*found)).alias("e")).select(key, "e.field", "e.match", "sentence")
-    return rows.groupBy(key, "field", F.lower("match").alias("__m"), "sentence").agg(F.min("match").alias("match")).select(key, "field", "match", "sentence")
+    """(key, place, field, match, sentence): the words that decided each value, in order, each once a sentence whatever its
+    case. Loud words count where no moderate or quiet phrase holds them; of durations, notes and water the first words
+    count."""
+
+    def words(field: str, pattern: str, without: str | None = None) -> Column:
+        looked = lambda s: s if without is None else F.regexp_replace(s, any_case(without), " ")
+        in_one = lambda s: F.transform(F.regexp_extract_all(looked(s), F.lit(any_case(pattern)), 0), lambda m: F.struct(F.lit(field).alias("field"), m.alias("match"), s.alias("sentence")))
+        return F.flatten(F.transform(sentences, in_one))
+
+    def first(*lists: Column) -> Column:
+        return F.slice(F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], lists[-1]), 1, 1)
+
+    found = [words("pitch", p) for p in PITCH.values()] + [words("loudness", MODERATE), words("loudness", QUIET), words("loudness", LOUD, f"{MODERATE}|{QUIET}")]
+    found += [first(*[words("duration_s", p) for p, *_ in DURATION]), first(words("notes_per_s", NOTES_PER_SECOND))]
+    found += [words("structure", p) for p in STRUCTURE.values()] + [words("rising_pitch", p) for p in RISING.values()] + [first(words("underwater", UNDERWATER))]
+    once = lambda e: F.array_position(F.transform("all", lambda x: F.struct(x["field"], F.lower(x["match"]), x["sentence"])), F.struct(e["field"], F.lower(e["match"]), e["sentence"]))
+    listed = df.select(key, F.concat(*found).alias("all"))
+    unique = listed.select(key, F.filter("all", lambda e, i: once(e) == i + 1).alias("all"))
+    return unique.select(key, F.posexplode("all").alias("place", "e")).select(key, "place", "e.field", "e.match", "e.sentence")
+
+
+def group_attributes(texts: DataFrame, group: str, member: str, text: str) -> DataFrame:
+    """group + its attributes: by the sentences of all its members' whole texts, each sentence once, members in order."""
+    told = texts.select(group, member, F.posexplode(described(F.col(text))).alias("__i", "__s"))
+    once = told.groupBy(group, "__s").agg(F.min(F.struct(member, "__i")).alias("__at"))
+    said = once.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__at", "__s"))).alias("__all")).select(group, F.col("__all.__s").alias("__said"))
+    return said.select(group, *(c.alias(k) for k, c in attributes(F.col("__said")).items()))
 
 
 def reviewed(extracted: Column, approved: Column) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldsense.operators.sizes import small
+
 #: Albers equal-area conic for California (EPSG:3310), GRS80; fixed values.
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257222101
 PARALLELS, ORIGIN, FALSE_NORTHING = (34.0, 40.5), (0.0, -120.0), -4_000_000.0
@@ -16,14 +18,19 @@ def _q(sin: float, e: float) -> float:
     return (1 - e * e) * (sin / (1 - (e * sin) ** 2) - math.log((1 - e * sin) / (1 + e * sin)) / (2 * e))
 
 
-def project(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """x, y in metres."""
+def constants() -> dict[str, float]:
+    """Of the projection: e, n, c and the radius of its origin."""
     e = math.sqrt(2 * FLATTENING - FLATTENING**2)
     m = [math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2) for p in map(math.radians, PARALLELS)]
     q = [_q(math.sin(math.radians(p)), e) for p in PARALLELS]
     n = (m[0] ** 2 - m[1] ** 2) / (q[1] - q[0])
     c = m[0] ** 2 + n * q[0]
-    rho0 = SEMI_MAJOR * math.sqrt(c - n * _q(math.sin(math.radians(ORIGIN[0])), e)) / n
+    return {"e": e, "n": n, "c": c, "rho0": SEMI_MAJOR * math.sqrt(c - n * _q(math.sin(math.radians(ORIGIN[0])), e)) / n}
+
+
+def project(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """x, y in metres."""
+    e, n, c, rho0 = constants().values()
     s = F.sin(F.radians(lat))
     own = (1 - e * e) * (s / (1 - (e * s) * (e * s)) - F.ln((1 - e * s) / (1 + e * s)) / (2 * e))
     rho, theta = SEMI_MAJOR * F.sqrt(c - n * own) / n, n * F.radians(lon - ORIGIN[1])
@@ -31,23 +38,57 @@ def project(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 
 def distances(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, code) -> distance, 0 inside. points: key, x, y; edges: code, part, x1, y1, x2, y2, a row for each edge of
-    a polygon's rings. Inside is an odd number of crossings within a part; ranges are small tables and broadcast."""
-    pairs = points.crossJoin(F.broadcast(edges))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    near = F.sqrt(F.pow(F.col("x") - F.col("x1") - t * dx, 2) + F.pow(F.col("y") - F.col("y1") - t * dy, 2))
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    crossing = spans & (F.col("x") < F.col("x1") + dx * F.try_divide(F.col("y") - F.col("y1"), dy))
-    parts = pairs.groupBy(key, "code", "part").agg(F.min(near).alias("near"), (F.count_if(crossing) % 2 == 1).alias("inside"))
-    return parts.groupBy(key, "code").agg(F.when(F.bool_or("inside"), 0.0).otherwise(F.min("near")).alias("distance"))
+    """(key, code, distance), 0 inside. points: key, x, y; edges: code, part, x1, y1, x2, y2, a row for each edge of a
+    polygon's rings. Inside is an odd number of crossings within a part. A range's edges are one array beside each point,
+    so points are neither multiplied by edges nor shuffled."""
+    edge = F.struct("x1", "y1", "x2", "y2")
+    parts = edges.groupBy("code", "part").agg(F.collect_list(edge).alias("edges"))
+    ranges = parts.groupBy("code").agg(F.collect_list("edges").alias("parts"))
+
+    def gap(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        along = ((F.col("x") - e["x1"]) * dx + (F.col("y") - e["y1"]) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return F.sqrt(F.pow(F.col("x") - e["x1"] - t * dx, 2) + F.pow(F.col("y") - e["y1"] - t * dy, 2))
+
+    def crossed(e: Column) -> Column:
+        spans = (e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))
+        return spans & (F.col("x") < e["x1"] + (e["x2"] - e["x1"]) * F.try_divide(F.col("y") - e["y1"], e["y2"] - e["y1"]))
+
+    inside = F.exists("parts", lambda part: F.size(F.filter(part, crossed)) % 2 == 1)
+    nearest = F.array_min(F.transform(F.flatten("parts"), gap))
+    return points.crossJoin(small(ranges)).select(key, "code", F.when(inside, 0.0).otherwise(nearest).alias("distance"))  # a few hundred ranges
 
 
 def range_weight(km: Column, scale: float = 20.0, floor: float = 0.02) -> Column:
     return F.greatest(F.exp(-km / scale), F.lit(floor))
 
 
+def class_weights(weights: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(key, class, weight): the largest weight of a class's members (code, class); a member without a range weighs 1."""
+    every = weights.select(key).distinct().crossJoin(small(members.select("code", "class")))  # a few hundred species for each point
+    known = every.join(weights.select(key, "code", "weight"), [key, "code"], "left")
+    return known.groupBy(key, "class").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+
+
+def range_check(distances: DataFrame, classes: DataFrame, members: DataFrame, state: list[str], key: str) -> DataFrame:
+    """One row a class: members, mapped and unmapped codes, n, inside, median_out, max_out.
+
+    distances: key, code, distance; classes: key, class of the points; members: code, class. Only points inside one of the
+    ranges named in state count; a point's distance is that to the nearest range of its class.
+    """
+    there = distances.filter(F.col("code").isin(state)).groupBy(key).agg(F.min("distance").alias("d")).filter("d = 0").select(key)
+    has_range = distances.select("code").distinct().withColumn("mapped", F.lit(True))
+    listed = members.join(has_range, "code", "left")
+    names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("code")))), " ")
+    lists = listed.groupBy("class").agg(names(F.lit(True)).alias("members"), names(F.col("mapped").isNotNull()).alias("mapped"), names(F.col("mapped").isNull()).alias("unmapped"))
+    points = classes.join(there, key, "left_semi")
+    nearest = points.join(members, "class").join(distances, [key, "code"]).groupBy(key, "class").agg(F.min("distance").alias("distance"))
+    out = F.when(F.col("distance") > 0, F.col("distance"))
+    found = nearest.groupBy("class").agg(F.avg((F.col("distance") == 0).cast("double")).alias("inside"), F.percentile(out, 0.5).alias("median_out"), F.max(out).alias("max_out"))
+    return lists.join(points.groupBy("class").agg(F.count("*").alias("n")), "class", "left").join(found, "class", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def adjust(p: Column, weight: Column) -> Column:
     """sigmoid(logit(p) + ln(weight)); a missing weight is 1."""
     q = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p))

@@ -2,52 +2,39 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.functions.text import match_names
+from fieldsense.functions.text import named_codes
 from fieldsense.operators.dedupe import conflicting
 
 # Words of sentences that only compare, and where a caption's sentences end.
-COMPARISON = re.compile(r"\b(?:compare|similar|same as|identical|unlike|resembl)", re.I)
-SENTENCE_END = re.compile(r"(?<=[.!?)])\s+")
-
+COMPARISON = r"(?i)\b(?:compare|similar|same as|identical|unlike|resembl)"
+SENTENCE_END = r"(?<=[.!?)])\s+"
 
-def read_caption(code: str, caption: str, names: dict[str, str]) -> tuple[str, str, bool, list[str]]:
-    """label, label_source, needs_review, secondary of one caption on the page of a species.
 
-    Sentences that compare are passed over. The first one left changes the label if it names exactly one other
-    species; if it names several it is left for review. All other species named are secondary.
-    """
-    said = [match_names(s, names) for s in SENTENCE_END.split(caption or "") if not COMPARISON.search(s)]
-    first = said[0] if said else []
-    others = [] if code in first else first
-    label = others[0] if len(others) == 1 else code
-    secondary = [c for c in dict.fromkeys(c for found in said for c in found) if c != label]
-    return label, "caption" if label != code else "page", bool(others), secondary
+def said(caption: Column, names: dict[str, str]) -> Column:
+    """The species codes that each sentence names, without sentences that compare."""
+    told = F.filter(F.split(F.coalesce(caption, F.lit("")), SENTENCE_END), lambda s: ~s.rlike(COMPARISON))
+    return F.transform(told, lambda s: named_codes(s, names))
 
 
 def assign_labels(recordings: DataFrame, names: dict[str, str], overrides: DataFrame | None = None) -> DataFrame:
     """recordings (recording_id, code, url, caption) -> recording_id, url, label, label_source, needs_review, secondary.
 
-    names: species code by name. overrides (file, label, secondary) come last, by the URL's file name. Recordings of
-    one URL that end with different labels need review.
+    names: species code by name. The page's species is the label unless the first sentence names exactly one other; if it
+    names several others and not the page's, the page's stays and needs review. Species named anywhere else are
+    secondary. overrides (file, label, secondary) come last, by the URL's file name. Recordings of one URL that end with
+    different labels need review.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            read = [read_caption(c, t, names) for c, t in zip(pdf["code"], pdf["caption"], strict=True)]
-            columns = dict(zip(("label", "label_source", "needs_review", "secondary"), zip(*read, strict=True), strict=True)) if read else {}
-            yield pd.DataFrame({"recording_id": pdf["recording_id"], "url": pdf["url"], **columns})
-
-    kind = recordings.schema["recording_id"].dataType.simpleString()
-    out = recordings.select("recording_id", "code", "url", "caption").mapInPandas(
-        run, f"recording_id {kind}, url string, label string, label_source string, needs_review boolean, secondary array<string>"
-    )
+    heard = recordings.select("recording_id", "code", "url", said(F.col("caption"), names).alias("__said"))
+    opening = F.coalesce(F.get("__said", F.lit(0)), F.array().cast("array<string>"))
+    others = F.when(F.array_contains(opening, F.col("code")), F.array().cast("array<string>")).otherwise(opening)
+    judged = heard.withColumn("__others", others).withColumn("label", F.when(F.size("__others") == 1, F.get("__others", F.lit(0))).otherwise(F.col("code")))
+    out = judged.select(
+        "recording_id", "url", "label", F.when(F.col("label") != F.col("code"), "caption").otherwise("page").alias("label_source"),
+        (F.size("__others") > 0).alias("needs_review"), F.array_except(F.flatten("__said"), F.array("label")).alias("secondary"),
+    )
     if overrides is not None:
         fixed = overrides.select(F.col("file").alias("__file"), F.col("label").alias("__label"), F.coalesce("secondary", F.array().cast("array<string>")).alias("__secondary"))
         name = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)

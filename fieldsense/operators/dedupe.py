@@ -6,21 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    """The first row of each key in this order; rows with a null key are all kept."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+def _known(keys: list[str]) -> Column:
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    return df.withColumn("__place", place).filter((F.col("__place") == 1) | ~known).drop("__place")
+    return known
+
+
+def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """The first row of each key in this order; rows with a null key are all kept, and don't meet in one task."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = df.filter(_known(keys)).withColumn("__place", place).filter("__place = 1").drop("__place")
+    return first.unionByName(df.filter(~_known(keys)))
 
 
 def merge_labels(df: DataFrame, key: str, label: str, secondary: str, *order: Column | str) -> DataFrame:
-    """The first row of each key; its secondary labels become all labels of the key's rows but its own, sorted."""
-    whole = Window.partitionBy(key)
-    every = F.array_distinct(F.concat(F.collect_list(label).over(whole), F.flatten(F.collect_list(F.coalesce(secondary, F.array())).over(whole))))
-    merged = F.when(F.col(key).isNull(), F.col(secondary)).otherwise(F.array_sort(F.array_except(every, F.array(label))))
-    return keep_first(df.withColumn("__merged", merged), [key], *order).withColumn(secondary, F.col("__merged")).drop("__merged")
+    """The first row of each key; its secondary labels become all labels of the key's rows but its own, sorted. Labels are
+    made distinct before they meet, so a key with many rows sends few."""
+    named = df.filter(_known([key])).select(F.col(key).alias("__key"), F.explode(F.concat(F.array(label), F.coalesce(secondary, F.array().cast("array<string>")))).alias("__label"))
+    every = named.groupBy("__key").agg(F.collect_set("__label").alias("__every"))
+    first = keep_first(df.filter(_known([key])), [key], *order).join(every, F.col(key) == F.col("__key"))
+    merged = first.withColumn(secondary, F.array_sort(F.array_except("__every", F.array(label)))).drop("__key", "__every")
+    return merged.unionByName(df.filter(~_known([key])))
 
 
 def crosspost_key(date: Column, lat: Column, lon: Column, duration: Column) -> Column:
@@ -30,5 +37,5 @@ def crosspost_key(date: Column, lat: Column, lon: Column, duration: Column) -> C
 
 def conflicting(df: DataFrame, key: str, label: str) -> DataFrame:
     """df + conflict: whether the key's rows differ in their label."""
-    labels = df.groupBy(key).agg((F.count_distinct(label) > 1).alias("conflict"))
+    labels = df.filter(_known([key])).groupBy(key).agg((F.count_distinct(label) > 1).alias("conflict"))
     return df.join(labels, key, "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))

@@ -6,15 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Scores are cut into pieces of a thousandth for running sums; scores beyond +-1000 share the outermost pieces.
+PIECES_PER_UNIT, OUTERMOST = 1000, 1_000_000
+
+
+def piece(score: Column) -> Column:
+    """A whole number that never falls as the score rises; nulls below all, NaN above."""
+    bounded = F.greatest(F.lit(-OUTERMOST), F.least(F.lit(OUTERMOST), F.floor(score * PIECES_PER_UNIT)))
+    return F.when(score.isNull(), -OUTERMOST - 1).when(F.isnan(score.cast("double")), OUTERMOST + 1).otherwise(bounded).cast("int")
+
+
+def running_sums(rows: DataFrame, keys: list[str], score: str, sums: dict[str, Column], *ties: str) -> DataFrame:
+    """rows + for each of sums its running sum by keys from the highest score down, ties in the order given.
+
+    Sums run inside pieces of the scores, and those of whole pieces before are added, so a key's rows are in many tasks.
+    """
+    cut = rows.withColumns(sums).withColumn("__piece", piece(F.col(score)))
+    whole = cut.groupBy(*keys, "__piece").agg(*[F.sum(c).alias(c) for c in sums])
+    above = Window.partitionBy(*keys).orderBy(F.desc("__piece")).rowsBetween(Window.unboundedPreceding, -1)
+    named = {k: f"__key{i}" for i, k in enumerate(keys)}
+    before = whole.select(*[F.col(k).alias(n) for k, n in named.items()], F.col("__piece").alias("__of"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__before_{c}") for c in sums])
+    same = F.col("__piece") == F.col("__of")
+    for k, n in named.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    inside = Window.partitionBy(*keys, "__piece").orderBy(F.desc(score), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(before, same).withColumns({c: F.sum(c).over(inside) + F.col(f"__before_{c}") for c in sums}).drop("__piece", "__of", *named.values(), *[f"__before_{c}" for c in sums])
+
+
 def score_blocks(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None) -> DataFrame:
     """keys, score -> positive and total weight of each block of equal scores, and both summed from the top (tp, n).
 
-    The blocks are aggregated before they are ordered, so a window sees distinct scores, not rows.
+    The blocks are aggregated before they are ordered, so sums run over distinct scores, not rows.
     """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     blocks = scores.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.when(F.col(y), w).otherwise(0.0)).alias("d_tp"), F.sum(w).alias("d_n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("tp", F.sum("d_tp").over(down)).withColumn("n", F.sum("d_n").over(down))
+    return running_sums(blocks, keys, "score", {"tp": F.col("d_tp"), "n": F.col("d_n")})
 
 
 def average_precision(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None) -> DataFrame:
@@ -36,12 +62,13 @@ def recall_at_precision(scores: DataFrame, keys: list[str], precision: float, sc
 
 def review_effort(scores: DataFrame, keys: list[str], recall: float, unit: str = "unit_id", score: str = "score", y: str = "y") -> DataFrame:
     """keys -> effort: share of units looked at, best first and ties by unit, until this recall is reached."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), unit)
-    hit = F.when(F.col(y), 1).otherwise(0)
-    ranked = scores.select(*keys, F.row_number().over(order).alias("rank"), F.sum(hit).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
-    whole = Window.partitionBy(*keys)
-    ranked = ranked.withColumn("n", F.count("*").over(whole)).withColumn("need", F.ceil(F.lit(recall) * F.max("hits").over(whole)))
-    return ranked.groupBy(*keys).agg((F.min(F.when((F.col("hits") >= F.col("need")) & (F.col("need") > 0), F.col("rank"))) / F.max("n")).alias("effort"))
+    ranked = running_sums(scores.select(*keys, unit, score, y), keys, score, {"rank": F.lit(1), "hits": F.when(F.col(y), 1).otherwise(0)}, unit)
+    totals = scores.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(F.count("*").alias("__n"), F.count_if(y).alias("__all"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    ranked = ranked.join(totals, same).withColumn("need", F.ceil(F.lit(recall) * F.col("__all")))
+    return ranked.groupBy(*keys).agg((F.min(F.when((F.col("hits") >= F.col("need")) & (F.col("need") > 0), F.col("rank"))) / F.max("__n")).alias("effort"))
 
 
 def boot_weights(groups: DataFrame, group: str, n_boot: int) -> DataFrame:
@@ -49,11 +76,10 @@ def boot_weights(groups: DataFrame, group: str, n_boot: int) -> DataFrame:
 
     Draw j of resample b takes the group at place md5(b-j) mod G among the sorted groups, so draws agree everywhere.
     """
-    spark = groups.sparkSession
-    placed = groups.select(group).distinct().withColumn("place", F.row_number().over(Window.orderBy(group)) - 1)
-    size = placed.agg(F.count("*").alias("g"))
-    draws = spark.range(n_boot).withColumnRenamed("id", "boot_id").crossJoin(F.broadcast(size)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", "boot_id", "j")), 1, 8), 16, 10).cast("long"), F.col("g"))
+    placed = groups.select(group).distinct().withColumn("place", F.row_number().over(Window.orderBy(group)) - 1)  # a row a group
+    size = placed.count()
+    draws = groups.sparkSession.range(n_boot * size).select(F.expr(f"id div {max(1, size)}").alias("boot_id"), F.pmod("id", F.lit(max(1, size))).alias("j"))
+    at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", "boot_id", "j")), 1, 8), 16, 10).cast("long"), F.lit(max(1, size)))
     return draws.groupBy("boot_id", at.alias("place")).agg(F.count("*").alias("weight")).join(placed, "place").select("boot_id", group, "weight")
 
 
@@ -63,8 +89,7 @@ def boot_average_precision(scores: DataFrame, keys: list[str], group: str, n_boo
     by_group = scores.groupBy(*keys, group, F.col(score).alias("score")).agg(F.count_if(y).cast("double").alias("pos"), F.count("*").cast("double").alias("all"))
     drawn = by_group.join(boot_weights(scores, group, n_boot), group)
     blocks = drawn.groupBy("boot_id", *keys, "score").agg(F.sum(F.col("pos") * F.col("weight")).alias("d_tp"), F.sum(F.col("all") * F.col("weight")).alias("d_n"))
-    down = Window.partitionBy("boot_id", *keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("tp", F.sum("d_tp").over(down)).withColumn("n", F.sum("d_n").over(down))
+    blocks = running_sums(blocks, ["boot_id", *keys], "score", {"tp": F.col("d_tp"), "n": F.col("d_n")})
     gained = F.sum(F.col("d_tp") * F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)))
     return blocks.groupBy("boot_id", *keys).agg(F.try_divide(gained, F.sum("d_tp")).alias("ap"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldsense.functions import text as T
 from fieldsense.operators import catalog, dedupe, metrics, splits, windows
+from fieldsense.operators.sizes import small
 
 #: Of recordings found twice, the one from the earliest source stays.
 SOURCES = ["herps", "xc", "inat", "aru"]
@@ -36,7 +37,7 @@ def build_manifest(sources: list[DataFrame], probes: DataFrame, classes: DataFra
     one = dedupe.merge_labels(good, "md5", "label", "secondary_species", rank, "recording_id")
     posted = one.withColumn("post", dedupe.crosspost_key(F.col("date"), F.col("lat"), F.col("lon"), F.col("duration_s")))
     one = dedupe.merge_labels(posted, "post", "label", "secondary_species", rank, "recording_id").drop("post", "decode_error")
-    known = one.join(F.broadcast(classes.select("label", "acoustic_class")), "label", "left")
+    known = one.join(small(classes.select("label", "acoustic_class")), "label", "left")
     unknown = F.raise_error(F.concat(F.lit("label not in the classes: "), F.coalesce("label", F.lit("null")))).cast("string")
     named = known.withColumn("acoustic_class", F.coalesce("acoustic_class", unknown)).withColumn("medium", T.medium(F.col("call_types"), F.col("caption")))
     group = T.split_group(F.col("source"), F.col("label"), T.county(F.col("caption"), F.col("context")), F.col("block"), F.col("recordist"))
@@ -65,12 +66,6 @@ def catalog_windows(recordings: DataFrame, spans: DataFrame, width: float = 3.0,
     return reduce(lambda a, b: a.unionByName(b), [x.select(*out) for x in (whole, hit, negative)])
 
 
-def window_inventory(spans: DataFrame, recordings: DataFrame, found: DataFrame) -> DataFrame:
-    """The inventory with windows by class and label kind, 0 where none."""
-    counts = found.join(recordings.select("recording_id", "label_kind"), "recording_id").groupBy("class", "label_kind").agg(F.count("*").alias("windows"))
-    return catalog.inventory(spans, recordings).join(counts, ["class", "label_kind"], "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
-
-
 def unit_scores(window_scores: DataFrame, unit: str = "unit_id") -> DataFrame:
     """(unit, class, score): the mean over seeds of each window, then the best window."""
     by_window = window_scores.groupBy(unit, "window_idx", "class").agg(F.avg("score").alias("score"))
@@ -119,6 +114,47 @@ def load_splits(spark: SparkSession, path: str, digest: str) -> DataFrame:
     return table
 
 
+def load_windows(labels: DataFrame, background: DataFrame, manifest: DataFrame, units: DataFrame) -> DataFrame:
+    """Training windows (unit_id, window_idx, kind, source, acoustic_class, state, masked, fold, locked): labelled windows of
+    recordings (recording_id, window_idx, acoustic_class, state, masked) and background windows (clip_id, window_idx). A
+    window whose unit isn't in the splits fails when it is read."""
+    sources = manifest.select("recording_id", "source")
+    frog = labels.join(sources, "recording_id", "left").select(F.col("recording_id").alias("unit_id"), "window_idx", F.lit("frog").alias("kind"), "source", "acoustic_class", "state", "masked")
+    none = F.array().cast("array<string>")
+    quiet = background.select(F.col("clip_id").alias("unit_id"), "window_idx", F.lit("background").alias("kind"), F.lit("aru").alias("source"), F.lit(None).cast("string").alias("acoustic_class"), F.lit("neg").alias("state"), none.alias("masked"))
+    placed = frog.unionByName(quiet).join(units.select("unit_id", "fold", "locked"), "unit_id", "left")
+    lost = F.raise_error(F.concat(F.lit("a window's unit isn't in the splits: "), "unit_id")).cast("boolean")
+    return placed.withColumn("locked", F.coalesce("locked", lost))
+
+
+def dev_units(windows: DataFrame, units: DataFrame, manifest: DataFrame, cutoff: str, pretrained: tuple[str, ...] = ("inat", "xc")) -> DataFrame:
+    """Units with windows that aren't locked, as evaluation takes them. Recordings of sources that encoders were trained on
+    are leakage-safe from the cutoff on."""
+    seen = windows.groupBy("unit_id").agg(F.min_by("masked", "window_idx").alias("masked"))
+    about = manifest.select(F.col("recording_id").alias("unit_id"), "date", "medium")
+    u = units.filter(~F.col("locked")).join(seen, "unit_id").join(about, "unit_id", "left")
+    recent = F.coalesce(F.col("date").try_cast("date") >= F.lit(cutoff).cast("date"), F.lit(False))
+    safe = ~F.coalesce(F.col("source").isin(*pretrained), F.lit(False)) | recent
+    return u.select("unit_id", F.col("acoustic_class").alias("own"), "kind", "domain", "locked", "fold", "masked", safe.alias("leakage_safe"), F.coalesce("medium", F.lit("air")).alias("medium"), "split_group")
+
+
+def baseline_report(judged: DataFrame) -> DataFrame:
+    """(subset, class, n, positives, ap): all units, leakage-safe ones and those in air; ap where a class has both positives
+    and others, masked units left out."""
+    parts = F.array_compact(F.array(F.lit("all"), F.when(F.col("leakage_safe"), "leakage_safe"), F.when(F.col("medium") == "air", "air")))
+    rows = judged.filter(~F.col("masked_out")).withColumn("subset", F.explode(parts))
+    counts = rows.groupBy("subset", "class").agg(F.count("*").alias("n"), F.count_if("y").alias("positives"))
+    ap = metrics.average_precision(rows, ["subset", "class"])
+    mixed = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
+    return counts.join(ap, ["subset", "class"]).withColumn("ap", F.when(mixed, F.col("ap")))
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -> None:
+    """Small report tables, one folder each, as CSV with a header or as JSON lines."""
+    for name, table in tables.items():
+        table.write.mode("errorifexists").format(kind).options(**({"header": True} if kind == "csv" else {})).save(f"{folder}/{name}")
+
+
 def review_table(found: DataFrame, recordings: DataFrame, per_class: int | None = None) -> DataFrame:
     """Windows to look at, most active first: recordings' path and names beside them; per_class as a top-k report."""
     out = found.join(recordings.select("recording_id", F.col("path").alias("audio_path"), "common_name", "source"), "recording_id")

@@ -23,10 +23,12 @@ def contiguous_folds(df: DataFrame, cls: str, block: str, folds: int = 5, lock:
     return out.withColumn("locked", locked).withColumn("fold", fold.cast("int")).drop("__rank", "__n", "__lock")
 
 
-def greedy_lock(groups: DataFrame, cls: str, group: str, size: str, order: str, budget: float = 0.15) -> DataFrame:
+def greedy_lock(groups: DataFrame, cls: str, group: str, size: str, order: str, budget: float = 0.15, total: str | None = None) -> DataFrame:
     """(cls, group, locked): groups of a class in order are locked while the class's share stays within the budget; one
-    that doesn't fit is passed over and later ones are still tried. groups: one row a group, few to a class."""
-    rows = groups.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct(order, group, size))).alias("all"), F.sum(size).alias("total"))
+    that doesn't fit is passed over and later ones are still tried. groups: one row a group, few to a class; total: a
+    class's size if it isn't the sum of these groups."""
+    whole = F.sum(size) if total is None else F.max(total)
+    rows = groups.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct(order, group, size))).alias("all"), whole.alias("total"))
     start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<string>").alias("taken"))
 
     def step(s: Column, g: Column) -> Column:
@@ -52,12 +54,13 @@ def stratified_folds(df: DataFrame, category: str, unit: str, folds: int, seed:
 
 def group_folds(df: DataFrame, group: str, cls: str, folds: int = 5) -> DataFrame:
     """df + fold: no group in two folds. The largest groups come first, each class in turn, and are dealt back and
-    forth over the folds; only the table of groups is ordered."""
+    forth over the folds; only the table of groups is ordered. Rows without a group are a group of their own."""
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"), F.mode(cls, True).alias("__cls"))
     place = F.row_number().over(Window.orderBy("__cls", F.desc("__n"), group)) - 1
     at, turn = F.pmod(F.col("__place"), F.lit(folds)), F.floor(F.col("__place") / folds) % 2
     dealt = sizes.withColumn("__place", place).withColumn("fold", F.when(turn == 0, at).otherwise(folds - 1 - at).cast("int"))
-    return df.join(dealt.select(group, "fold"), group)
+    folds_of = dealt.select(F.col(group).alias("__group"), "fold")
+    return df.join(folds_of, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
 
 
 def group_sample(df: DataFrame, cls: str, group: str, unit: str, groups: int, rows: int, seed: int) -> DataFrame:
@@ -76,7 +79,58 @@ def learning_curve_points(spark) -> DataFrame:
 
 
 def table_digest(df: DataFrame, unit: str, columns: list[str]) -> DataFrame:
-    """One row, digest: 16 hex digits of sha256 over the rows as text, sorted by unit. For frozen split tables."""
-    row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    rows = df.agg(F.array_sort(F.collect_list(F.struct(F.col(unit), row.alias("row")))).alias("all"))
-    return rows.select(F.substring(F.sha2(F.array_join(F.col("all.row"), "\n"), 256), 1, 16).alias("digest"))
+    """One row, digest: 16 hex digits for the rows as text, whatever their order. For frozen split tables.
+
+    Rows are hashed one by one, hashes are put together in order by their first three digits, and those 4096 at most once
+    more, so no task holds more than a few thousandths of the table.
+    """
+    row = F.sha2(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    lots = df.select(row.alias("row")).groupBy(F.substring("row", 1, 3).alias("lot")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row")), ","), 256).alias("digest"))
+    every = lots.agg(F.array_sort(F.collect_list(F.struct("lot", "digest"))).alias("all"))
+    return every.select(F.substring(F.sha2(F.array_join(F.col("all.digest"), ","), 256), 1, 16).alias("digest"))
+
+
+def focal_lock(units: DataFrame, cutoff: str, seed: int = 0, least: int = 30, budget: float = 0.15) -> DataFrame:
+    """units (unit_id, acoustic_class, split_group, date) + locked.
+
+    Of each class with `least` units, groups of that class alone whose dates are all known and not before the cutoff are
+    candidates, in an order drawn by hash; the first half of them, rounded up, is tried against the budget.
+    """
+    safe = F.coalesce(F.col("date").try_cast("date") >= F.lit(cutoff).cast("date"), F.lit(False))
+    groups = units.groupBy("split_group").agg(F.count_distinct("acoustic_class").alias("classes"), F.min("acoustic_class").alias("cls"), F.count("*").alias("n"), F.bool_and(safe).alias("safe"))
+    totals = units.groupBy(F.col("acoustic_class").alias("cls")).agg(F.count("*").alias("total")).filter(F.col("total") >= least)
+    eligible = groups.filter("classes = 1 and safe").join(totals, "cls").withColumn("order", draw(seed, "split_group"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("order", "split_group"))
+    half = F.ceil(F.count("*").over(Window.partitionBy("cls")) / 2)
+    tried = eligible.withColumn("place", place).withColumn("half", half).filter("place <= half")
+    taken = greedy_lock(tried, "cls", "split_group", "n", "order", budget, "total").filter("locked").select("split_group", F.lit(True).alias("__locked"))
+    return units.join(taken, "split_group", "left").withColumn("locked", F.coalesce("__locked", F.lit(False))).drop("__locked")
+
+
+UNIT_COLUMNS = ["unit_id", "kind", "source", "acoustic_class", "split_group", "domain", "fold", "locked"]
+
+
+def build_splits(manifest: DataFrame, background: DataFrame, focal: list[str], recorder: str, cutoff: str, seed: int = 0, folds: int = 5) -> DataFrame:
+    """UNIT_COLUMNS of all units: focal recordings of the manifest (recording_id, source, acoustic_class, split_group, date,
+    fold), recorder clips of the source `recorder`, and background clips (clip_id, category).
+
+    Recorder clips get contiguous folds of their blocks, the last ones locked; background is locked and folded within
+    categories. A unit that occurs twice, or is neither locked nor in a fold, fails when it is read.
+    """
+    frogs = manifest.withColumnRenamed("recording_id", "unit_id").withColumn("kind", F.lit("frog"))
+    own = focal_lock(frogs.filter(F.col("source").isin(focal)), cutoff, seed).withColumn("domain", F.lit("focal"))
+    clips = contiguous_folds(frogs.filter(F.col("source") == recorder).drop("fold"), "acoustic_class", "split_group", folds).withColumn("domain", F.lit("aru"))
+    quiet = background_units(background, seed, folds).withColumn("source", F.lit(recorder))
+    units = own.select(*UNIT_COLUMNS).unionByName(clips.select(*UNIT_COLUMNS)).unionByName(quiet.select(*UNIT_COLUMNS))
+    times = F.count("*").over(Window.partitionBy("unit_id"))
+    wrong = F.when(times > 1, F.concat(F.lit("unit occurs twice: "), "unit_id")).when((F.col("fold") < 0) & ~F.col("locked"), F.concat(F.lit("unit without a fold: "), "unit_id"))
+    return units.withColumn("fold", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("int")).otherwise(F.col("fold").cast("int")))
+
+
+def background_units(clips: DataFrame, seed: int = 0, folds: int = 5, lock: float = 0.2) -> DataFrame:
+    """Background clips (clip_id, category) as units: each a group of its own, a share of each category locked by a draw,
+    folds dealt out within categories by another."""
+    held = stratified_lock(clips.select(F.col("clip_id").alias("unit_id"), "category"), "category", "unit_id", lock, seed)
+    dealt = stratified_folds(held, "category", "unit_id", folds, seed + 1)
+    none = F.lit(None).cast("string")
+    return dealt.select("unit_id", F.lit("background").alias("kind"), none.alias("acoustic_class"), F.concat(F.lit("bg:"), "unit_id").alias("split_group"), F.lit("aru").alias("domain"), "fold", "locked")

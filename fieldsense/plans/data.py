@@ -82,12 +82,15 @@ def q_use_cascade(spark, sf_dir):
     return r.select("recording_id", readers.clip_use(24_000 + F.col("n_chars") % 3 * 8000, F.col("toxic") == 1).alias("use"))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]+/[^/]+/[^/]+') THEN 'deep' WHEN regexp_matches(url, '^https?://[^/]+/[^/]+') THEN 'flat' ELSE 'host' END AS layout,
-  string_split(url, '/')[-1] AS last_token, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages""")
+LAYOUTS = [(r"^https?://([a-z]+)\.example\.com/[a-z]+/([0-9]+)$", ["site_id", "recording_id"]), (r"^https?://([a-z]+)\.example\.[a-z]+/([a-z]+)/([0-9]+)", ["site_id", "date", "recording_id"])]
+
+
+@query(rf"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*', '') AS url FROM pages), p AS (SELECT *, CASE WHEN regexp_matches(url, '{LAYOUTS[0][0]}') THEN 1 WHEN regexp_matches(url, '{LAYOUTS[1][0]}') THEN 2 ELSE 0 END AS k FROM u)
+  SELECT page_id, CASE k WHEN 1 THEN regexp_extract(url, '{LAYOUTS[0][0]}', 1) WHEN 2 THEN regexp_extract(url, '{LAYOUTS[1][0]}', 1) END AS site_id, CASE WHEN k = 2 THEN regexp_extract(url, '{LAYOUTS[1][0]}', 2) END AS date,
+  CASE k WHEN 1 THEN regexp_extract(url, '{LAYOUTS[0][0]}', 2) WHEN 2 THEN regexp_extract(url, '{LAYOUTS[1][0]}', 3) ELSE string_split(url, '/')[-2] || '_' || regexp_extract(url, '([^/]+?)(?:\.[^./]*)?$', 1) END AS recording_id FROM p""")
 def q_path_layouts(spark, sf_dir):
-    url = F.col("url")
-    layout = F.when(url.rlike(r"^https?://[^/]+/[^/]+/[^/]+"), "deep").when(url.rlike(r"^https?://[^/]+/[^/]+"), "flat").otherwise("host")
-    return read(spark, sf_dir, "pages").select("page_id", layout.alias("layout"), F.element_at(F.split(url, "/"), -1).alias("last_token"), F.regexp_extract(url, r"^https?://([^/]+)", 1).alias("host"))
+    url = F.regexp_replace("url", "#.*", "")
+    return read(spark, sf_dir, "pages").select("page_id", readers.path_parts(url, LAYOUTS).alias("p")).select("page_id", "p.site_id", "p.date", "p.recording_id")
 
 
 @query(r"""SELECT page_id, 'https://sounds.example' || regexp_extract(url, '^(?:https?://[^/]*)?(/[^?#]*)?', 1) AS url FROM pages""")
@@ -95,9 +98,11 @@ def q_norm_url(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.path_only_url(F.col("url"), "https://sounds.example").alias("url"))
 
 
-@query(r"""SELECT page_id, upper(regexp_extract(url, '([a-z]+)[0-9]*\.', 1)) AS name, regexp_extract(url, '([0-9]+)', 1) AS number FROM pages""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN 'ds' || p_size END AS ds_id, CASE WHEN p_partkey % 3 > 0 THEN 'A' || lpad(CAST(p_partkey AS VARCHAR), 3, '0') || CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE '' END END AS map_id, p_partkey % 3 > 0 AS is_range FROM part""")
 def q_id_extract(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.upper(F.regexp_extract("url", r"([a-z]+)[0-9]*\.", 1)).alias("name"), F.regexp_extract("url", "([0-9]+)", 1).alias("number"))
+    k = F.col("p_partkey")
+    name = F.when(k % 3 > 0, F.concat(F.lit("frog-range-cwhr-a"), F.lpad(k.cast("string"), 3, "0"), F.when(k % 2 == 0, "b").otherwise(""), F.lit("-ds"), F.col("p_size"))).otherwise("frog-predicted-habitat")
+    return read(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in readers.package_ids(name).items()))
 
 
 @query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
@@ -105,17 +110,12 @@ def q_content_hash(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
-@query(f"""WITH {UNITS} SELECT substr(sha256(string_agg(concat_ws(',', CAST(unit_id AS VARCHAR), class, CAST(fold AS VARCHAR)), chr(10) ORDER BY unit_id)), 1, 16) AS digest FROM units""")
+@query(f"""WITH {UNITS}, r AS (SELECT sha256(concat_ws(',', CAST(unit_id AS VARCHAR), class, CAST(fold AS VARCHAR))) AS row FROM units),
+  lots AS (SELECT substr(row, 1, 3) AS lot, sha256(string_agg(row, ',' ORDER BY row)) AS digest FROM r GROUP BY 1) SELECT substr(sha256(string_agg(digest, ',' ORDER BY lot)), 1, 16) AS digest FROM lots""")
 def q_table_digest(spark, sf_dir):
     return splits.table_digest(units(spark, sf_dir), "unit_id", ["unit_id", "class", "fold"])
 
 
-@query("""SELECT event_id, list_transform(json_keys(props), lambda k: k) AS keys, len(json_keys(props)) AS n FROM events WHERE props IS NOT NULL""")
-def q_json_flatten(spark, sf_dir):
-    keys = F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))
-    return read(spark, sf_dir, "events").filter("props is not null").select("event_id", keys.alias("keys"), F.size(keys).cast("long").alias("n"))
-
-
 @query("""SELECT o_orderkey, c_mktsegment, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def q_lookup_join(spark, sf_dir):
     nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
@@ -141,12 +141,12 @@ def q_incremental_anti(spark, sf_dir):
     return readers.new_rows(read(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
-@query(f"""WITH {UNITS}, g AS (SELECT split_group, bool_and(leakage_safe OR y) AS safe, min(class) = max(class) AS single, count(*) AS n FROM units GROUP BY 1)
-  SELECT unit_id, split_group FROM units SEMI JOIN (SELECT split_group FROM g WHERE n > 10) s USING (split_group)""")
+@query(f"""WITH {UNITS}, u AS (SELECT *, class || ':' || split_group AS lot FROM units), g AS (SELECT lot, bool_and(leakage_safe OR y) AS safe, count(DISTINCT class) = 1 AS single, count(*) AS n FROM u GROUP BY 1)
+  SELECT unit_id, lot FROM u SEMI JOIN (SELECT lot FROM g WHERE n > 2 AND safe AND single) s USING (lot)""")
 def q_group_lock(spark, sf_dir):
-    u = units(spark, sf_dir)
-    large = u.groupBy("split_group").agg(F.bool_and(F.col("leakage_safe") | F.col("y")).alias("safe"), F.count("*").alias("n")).filter("n > 10")
-    return u.join(large, "split_group", "left_semi").select("unit_id", "split_group")
+    u = units(spark, sf_dir).withColumn("lot", F.concat_ws(":", "class", "split_group"))
+    groups = u.groupBy("lot").agg(F.bool_and(F.col("leakage_safe") | F.col("y")).alias("safe"), (F.count_distinct("class") == 1).alias("single"), F.count("*").alias("n"))
+    return u.join(groups.filter("n > 2 and safe and single"), "lot", "left_semi").select("unit_id", "lot")
 
 
 @query("""SELECT e.event_id, max_by(p.event_id, (p.ts, p.event_id)) AS previous FROM events e LEFT JOIN events p
@@ -176,9 +176,11 @@ def q_dedupe_exact(spark, sf_dir):
     return dedupe.keep_first(read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5")), ["md5"], "doc_id")
 
 
-@query(f"""WITH {REC} SELECT min(recording_id) AS recording_id, date || '|' || CAST(CAST(round_even(duration_s, 0) AS BIGINT) AS VARCHAR) AS key FROM rec GROUP BY 2""")
+@query(f"""WITH {REC}, k AS (SELECT recording_id, CASE WHEN recording_id % 5 > 0 THEN date || '|' || CAST(round_even(lat, 3) AS VARCHAR) || '|' || CAST(round_even(-100.0e0, 3) AS VARCHAR) || '|' || CAST(round_even(duration_s, 0) AS VARCHAR) END AS key FROM rec),
+  n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY recording_id) AS n FROM k) SELECT recording_id, key FROM n WHERE n = 1 OR key IS NULL""")
 def q_dedupe_crosspost(spark, sf_dir):
-    key = F.concat(F.col("date"), F.lit("|"), F.bround("duration_s", 0).cast("long").cast("string"))
+    lat = F.when(F.col("recording_id") % 5 > 0, F.col("lat"))
+    key = dedupe.crosspost_key(F.col("date"), lat, F.lit(-100.0), F.col("duration_s"))
     return dedupe.keep_first(recordings(spark, sf_dir).select("recording_id", key.alias("key")), ["key"], "recording_id")
 
 
@@ -189,10 +191,20 @@ def q_dedupe_merge(spark, sf_dir):
     return dedupe.merge_labels(d, "md5", "source", "secondary", "doc_id").select("doc_id", "source", "secondary")
 
 
-@query("""SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL""")
+@query("""SELECT user_id || '-' || event_type AS clip, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
 def q_last_wins(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    return e.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    answers = read(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", "event_type").alias("clip"), "event_id", "value")
+    return readers.last_answers(answers, "clip", "event_id")
+
+
+@query("""SELECT event_id, i AS place, 'audio/' || 'm4a' AS kind, CAST(event_id % 90 AS DOUBLE) AS lat, CAST(event_id % 180 AS DOUBLE) AS lon, 's' || event_id || '-' || i AS url FROM (SELECT event_id, unnest(range(event_id % 3)) AS i FROM events) WHERE (event_id + i) % 4 > 0""")
+def q_json_flatten(spark, sf_dir):
+    i = F.col("event_id")
+    sound = lambda k: F.struct(F.concat(F.lit("s"), i, F.lit("-"), k).alias("file_url"), F.lit("audio/mp4").alias("file_content_type"), F.when((i + k) % 4 > 0, "cc-by").alias("license_code"))
+    sounds = F.transform(F.filter(F.array(F.lit(0), F.lit(1)), lambda k: k < i % 3), sound)
+    records = read(spark, sf_dir, "events").select("event_id", F.concat_ws(",", i % 90, i % 180).alias("location"), F.to_json(sounds).alias("sounds"))
+    flat = readers.flatten_sounds(records, "event_id")
+    return flat.select("event_id", F.col("place").cast("long").alias("place"), F.concat(F.lit("audio/"), "extension").alias("kind"), "lat", "lon", "url")
 
 
 @query("""SELECT doc_id, count(DISTINCT source) OVER (PARTITION BY md5(text)) > 1 AS conflict FROM documents""")
@@ -201,29 +213,37 @@ def q_conflict_flag(spark, sf_dir):
     return dedupe.conflicting(d, "md5", "source").select("doc_id", "conflict")
 
 
-INVENTORY = f"""WITH {REC}, r AS (SELECT label AS class, CASE n_chars % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'clip' WHEN 2 THEN 'box' ELSE 'negative' END AS label_kind,
+INVENTORY = f"""WITH {REC}, r AS (SELECT recording_id, n_chars, label, CASE n_chars % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'clip' WHEN 2 THEN 'box' ELSE 'negative' END AS label_kind, n_chars % 3 = 0 AS exhaustive,
   source AS dataset, duration_s, CASE WHEN recording_id % 9 > 0 THEN CAST(recording_id % 25 AS VARCHAR) END AS site_id, date FROM rec),
-  inv AS (SELECT class, label_kind, count(*) AS recordings, round(sum(duration_s), 6) AS seconds, array_to_string(list_sort(list_distinct(list(dataset))), ', ') AS sources,
-  count(DISTINCT site_id) AS sites, count(DISTINCT date) AS days, count(DISTINCT site_id || '|' || date) AS site_days, CAST(count(*) FILTER (site_id IS NULL) AS BIGINT) AS no_site FROM r GROUP BY 1, 2)"""
+  w AS (SELECT recording_id, CASE WHEN label_kind <> 'negative' AND (NOT exhaustive OR n_chars % 5 > 0) THEN label END AS class, unnest(range(1 + n_chars % 3)) AS i FROM r),
+  k AS (SELECT recording_id, coalesce(class, 'negative') AS class, CASE WHEN class IS NULL THEN 'negative' ELSE label_kind END AS label_kind FROM w JOIN r USING (recording_id)),
+  p AS (SELECT DISTINCT * FROM k WHERE class <> 'negative' UNION ALL SELECT recording_id, 'negative', 'negative' FROM r WHERE (exhaustive OR label_kind = 'negative') AND recording_id NOT IN (SELECT recording_id FROM k WHERE class <> 'negative')),
+  inv AS (SELECT p.class, p.label_kind, count(*) AS recordings, sum(duration_s) / 3600 AS hours, array_to_string(list_sort(list_distinct(list(dataset))), ', ') AS sources,
+  count(DISTINCT site_id) AS sites, count(DISTINCT date) AS days, count(DISTINCT site_id || '|' || date) AS site_days, CAST(count(*) FILTER (site_id IS NULL) AS BIGINT) AS no_site FROM p JOIN r USING (recording_id) GROUP BY 1, 2),
+  full_inv AS (SELECT inv.*, coalesce(windows, 0) AS windows FROM inv LEFT JOIN (SELECT class, label_kind, count(*) AS windows FROM k GROUP BY 1, 2) USING (class, label_kind))"""
 
 
 def _inventory(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, catalog.LABEL_KINDS)), (F.col("n_chars") % 4 + 1).cast("int"))
     site = F.when(F.col("recording_id") % 9 > 0, (F.col("recording_id") % 25).cast("string"))
-    r = recordings(spark, sf_dir).withColumn("label_kind", kind).withColumn("site_id", site).withColumnRenamed("source", "dataset")
-    return catalog.inventory(r.select("recording_id", F.col("label").alias("class")), r).withColumn("seconds", F.round("seconds", 6))
+    r = recordings(spark, sf_dir).withColumn("label_kind", kind).withColumn("site_id", site).withColumnRenamed("source", "dataset").withColumn("exhaustive", F.col("n_chars") % 3 == 0)
+    heard = (F.col("label_kind") != "negative") & (~F.col("exhaustive") | (F.col("n_chars") % 5 > 0))
+    w = r.select("recording_id", F.when(heard, F.col("label")).alias("class"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") % 3)))
+    return catalog.inventory(r, w.select("recording_id", "class"))
 
 
-@query(INVENTORY + " SELECT * FROM inv")
+@query(INVENTORY + " SELECT * REPLACE (round(hours, 7) AS hours) FROM full_inv")
 def q_inventory(spark, sf_dir):
-    return _inventory(spark, sf_dir)
+    return _inventory(spark, sf_dir).withColumn("hours", F.round("hours", 7))
+
+
+CELLS = ", ".join(f"CAST(coalesce(sum({c}) FILTER (label_kind = '{k}'), 0) AS BIGINT) AS {k}_{n}" for k in catalog.LABEL_KINDS for c, n in (("recordings", "rec"), ("windows", "win")))
 
 
-@query(INVENTORY + """ SELECT class, CAST(coalesce(sum(recordings) FILTER (label_kind = 'weak'), 0) AS BIGINT) AS weak, CAST(coalesce(sum(recordings) FILTER (label_kind = 'clip'), 0) AS BIGINT) AS clip,
-  CAST(coalesce(sum(recordings) FILTER (label_kind = 'box'), 0) AS BIGINT) AS box, CAST(coalesce(sum(recordings) FILTER (label_kind = 'negative'), 0) AS BIGINT) AS negative,
-  round(sum(seconds), 5) AS seconds, CAST(sum(sites) AS BIGINT) AS sites FROM inv GROUP BY class""")
+@query(INVENTORY + f""" SELECT class, {CELLS}, round(sum(hours), 2) AS hours, CAST(sum(sites) AS BIGINT) AS sites, CAST(sum(days) AS BIGINT) AS days, CAST(sum(site_days) AS BIGINT) AS site_days,
+  array_to_string(list_sort(list_distinct(flatten(list(string_split(sources, ', '))))), ', ') AS sources FROM full_inv GROUP BY class""")
 def q_summary_pivot(spark, sf_dir):
-    return catalog.summary(_inventory(spark, sf_dir)).withColumn("seconds", F.round("seconds", 5))
+    return catalog.summary(_inventory(spark, sf_dir))
 
 
 @query(f"""WITH {UNITS} SELECT class, CAST(count(*) FILTER (domain = 'focal' AND NOT locked) AS BIGINT) AS focal_dev, CAST(count(*) FILTER (domain = 'focal' AND locked) AS BIGINT) AS focal_locked,

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from fieldsense.operators import metrics
+from fieldsense.operators import evaluation, metrics
 from fieldsense.plans.registry import query, read
 from fieldsense.plans.stand_ins import UNITS, units
 
@@ -64,46 +64,6 @@ def q_review_effort(spark, sf_dir):
     return metrics.review_effort(units(spark, sf_dir), ["class"], 0.9, score="score_a").withColumn("effort", F.round("effort", 9))
 
 
-@query(f"WITH {UNITS} SELECT class FROM units WHERE domain = 'focal' AND NOT locked GROUP BY class HAVING count(DISTINCT fold) >= 2")
-def q_evaluable(spark, sf_dir):
-    return units(spark, sf_dir).filter("domain = 'focal' and not locked").groupBy("class").agg(F.count_distinct("fold").alias("folds")).filter("folds >= 2").select("class")
-
-
-@query(f"""WITH {UNITS}, dev AS (SELECT * FROM units WHERE domain = 'focal' AND NOT locked)
-  SELECT class, count(*) AS n, a.ap, s.ap_safe, w.ap_air FROM dev LEFT JOIN {ap_sql('dev', 'class')} a USING (class) LEFT JOIN {ap_sql('(SELECT * FROM dev WHERE leakage_safe)', 'class', name='ap_safe')} s USING (class)
-  LEFT JOIN {ap_sql("(SELECT * FROM dev WHERE medium = 'air')", 'class', name='ap_air')} w USING (class) GROUP BY ALL""")
-def q_per_class_a(spark, sf_dir):
-    dev = units(spark, sf_dir).filter("domain = 'focal' and not locked")
-    out = dev.groupBy("class").agg(F.count("*").alias("n")).join(_ap(dev, ["class"]), "class", "left")
-    return out.join(_ap(dev.filter("leakage_safe"), ["class"], name="ap_safe"), "class", "left").join(_ap(dev.filter("medium = 'air'"), ["class"], name="ap_air"), "class", "left")
-
-
-@query(f"""WITH {UNITS}, dev AS (SELECT * FROM units WHERE domain = 'aru' AND NOT locked), b AS (SELECT class, split_group, max(score_a) AS score_a, bool_or(y) AS y FROM dev GROUP BY 1, 2)
-  SELECT class, count(*) AS n, round(count(*) FILTER (NOT y AND score_a >= 0.5) / nullif(count(*) FILTER (NOT y) * 3 / 3600.0e0, 0), 6) AS fp_per_hour, a.ap, k.ap_block FROM dev
-  LEFT JOIN {ap_sql('dev', 'class')} a USING (class) LEFT JOIN {ap_sql('b', 'class', name='ap_block')} k USING (class) GROUP BY ALL""")
-def q_per_class_b(spark, sf_dir):
-    dev = units(spark, sf_dir).filter("domain = 'aru' and not locked")
-    false = F.count_if(~F.col("y") & (F.col("score_a") >= 0.5)).cast("double")
-    out = dev.groupBy("class").agg(F.count("*").alias("n"), F.round(F.try_divide(false, F.count_if(~F.col("y")) * 3 / F.lit(3600.0)), 6).alias("fp_per_hour"))
-    blocks = dev.groupBy("class", "split_group").agg(F.max("score_a").alias("score_a"), F.bool_or("y").alias("y"))
-    return out.join(_ap(dev, ["class"]), "class", "left").join(_ap(blocks, ["class"], name="ap_block"), "class", "left")
-
-
-@query(f"""WITH {UNITS}, p AS (SELECT *, bool_or(domain = 'aru') OVER (PARTITION BY class) AS has FROM units WHERE NOT list_contains(masked, class)), q AS (SELECT * FROM p WHERE (domain = 'aru') = has)
-  SELECT t.* FROM {recall_sql('q', 'class', 0.75)} t WHERE class IN (SELECT class FROM q WHERE y)""")
-def q_thresholds(spark, sf_dir):
-    u = units(spark, sf_dir).filter(~F.array_contains("masked", F.col("class")))
-    has = u.groupBy("class").agg(F.bool_or(F.col("domain") == "aru").alias("has"))
-    pool = u.join(has, "class").filter((F.col("domain") == "aru") == F.col("has"))
-    out = metrics.recall_at_precision(pool, ["class"], 0.75, "score_a").withColumn("recall", F.round("recall", 9))
-    return out.join(pool.filter("y").select("class"), "class", "left_semi")
-
-
-@query(f"""WITH {UNITS} SELECT * FROM {ap_sql("(SELECT *, class <> 'en' AS frog FROM units WHERE domain = 'aru')", 'fold', y='frog')}""")
-def q_detection_ap(spark, sf_dir):
-    return _ap(units(spark, sf_dir).filter("domain = 'aru'").withColumn("frog", F.col("class") != "en"), ["fold"], y="frog")
-
-
 SUBSETS = "(SELECT *, unnest(list_filter(['all', CASE WHEN leakage_safe THEN 'leakage_safe' END, CASE WHEN medium = 'air' THEN 'air' END], lambda x: x IS NOT NULL)) AS subset FROM units)"
 
 
@@ -220,16 +180,91 @@ def q_decide_compare(spark, sf_dir):
     return _decision(_delta(spark, sf_dir, N_BOOT_COMPARE))
 
 
-@query(f"""WITH {UNITS}, a AS (SELECT * FROM units WHERE domain = 'focal' AND NOT locked), c AS (SELECT class, count(*) AS n FROM a GROUP BY 1),
-  m AS (SELECT * FROM {ap_sql('a', 'class')} JOIN c USING (class)) SELECT 'A_macro_ap' AS metric, round(avg(ap), 8) AS value FROM m UNION ALL SELECT 'A_macro_ap_rare', round(avg(ap) FILTER (n < 30), 8) FROM m
-  UNION ALL SELECT 'A_macro_ap_common', round(avg(ap) FILTER (n >= 30), 8) FROM m UNION ALL SELECT 'A_ap:' || class, round(ap, 8) FROM m""")
+#: Units as evaluation takes them (recorder clips without a call are background) and the judged rows.
+JUDGED = f"""{UNITS}, {LONG}, eu AS (SELECT unit_id, CASE WHEN domain = 'focal' OR y THEN class END AS own, CASE WHEN domain = 'focal' OR y THEN 'frog' ELSE 'background' END AS kind, domain, locked, fold, masked, leakage_safe, medium, split_group FROM units),
+  j AS (SELECT e.*, l.class, l.score, coalesce(e.own = l.class, false) AS y, list_contains(masked, l.class) AS masked_out, CASE WHEN domain = 'focal' THEN 'A' ELSE 'B' END AS tier FROM long l JOIN eu e USING (unit_id) WHERE NOT locked),
+  ev AS (SELECT own AS class, count(*) AS n FROM eu WHERE domain = 'focal' AND NOT locked AND own IS NOT NULL GROUP BY 1 HAVING count(DISTINCT fold) >= 2),
+  heard AS (SELECT DISTINCT own AS class FROM eu WHERE domain = 'aru' AND NOT locked AND kind = 'frog')"""
+
+
+def _eval_units(spark, sf_dir):
+    frog = (F.col("domain") == "focal") | F.col("y")
+    u = units(spark, sf_dir).withColumn("own", F.when(frog, F.col("class"))).withColumn("kind", F.when(frog, "frog").otherwise("background"))
+    return u.select("unit_id", "own", "kind", "domain", "locked", "fold", "masked", "leakage_safe", "medium", "split_group")
+
+
+def _judged(spark, sf_dir):
+    u = _eval_units(spark, sf_dir)
+    return evaluation.judged(_long(spark, sf_dir), u), u
+
+
+def _rounded(df, *names):
+    return df.withColumns({n: F.round(n, 7) for n in names})
+
+
+@query(f"WITH {JUDGED} SELECT class, n FROM ev")
+def q_evaluable(spark, sf_dir):
+    return evaluation.evaluable(_eval_units(spark, sf_dir))
+
+
+KNOWN = "(SELECT j.* FROM j JOIN ev USING (class) WHERE tier = 'A' AND NOT masked_out)"
+
+
+@query(f"""WITH {JUDGED}, k AS (SELECT * FROM {KNOWN}) SELECT c.class, CAST(coalesce(r.recordings, 0) AS BIGINT) AS recordings, ev.class IS NOT NULL AS evaluable, round(a.ap, 7) AS ap, round(s.ap_leakage_safe, 7) AS ap_leakage_safe, round(w.ap_air, 7) AS ap_air, round(p.recall, 7) AS recall_p90
+  FROM (SELECT DISTINCT own AS class FROM eu WHERE domain = 'focal' AND NOT locked) c LEFT JOIN (SELECT class, count(*) FILTER (y) AS recordings FROM j WHERE tier = 'A' AND NOT masked_out GROUP BY 1) r USING (class) LEFT JOIN ev USING (class)
+  LEFT JOIN {ap_sql('k', 'class', 'score')} a USING (class) LEFT JOIN {ap_sql('(SELECT * FROM k WHERE leakage_safe)', 'class', 'score', name='ap_leakage_safe')} s USING (class)
+  LEFT JOIN {ap_sql("(SELECT * FROM k WHERE medium = 'air')", 'class', 'score', name='ap_air')} w USING (class) LEFT JOIN {recall_sql('k', 'class', 0.9, 'score')} p USING (class)""")
+def q_per_class_a(spark, sf_dir):
+    return _rounded(evaluation.per_class_a(*_judged(spark, sf_dir)), "ap", "ap_leakage_safe", "ap_air", "recall_p90")
+
+
+@query(f"""WITH {JUDGED}, b AS (SELECT *, kind = 'background' AS bg FROM j WHERE tier = 'B'), c AS (SELECT class, count(*) FILTER (y) AS clips, round(count(*) FILTER (bg AND score >= 0.5) / nullif(count(*) FILTER (bg) * 3 / 3600.0e0, 0), 7) AS fp_per_hour,
+    round(avg(CAST(score >= 0.5 AS INTEGER)) FILTER (NOT bg AND NOT y), 7) AS fires_on_others, round(avg(CAST(score >= 0.5 AS INTEGER)) FILTER (y), 7) AS recall_at_half FROM b GROUP BY 1),
+  h AS (SELECT b.* FROM b JOIN c USING (class) WHERE clips > 0), k AS (SELECT class, split_group, max(score) AS score, bool_or(y) AS y FROM h GROUP BY 1, 2),
+  r AS (SELECT class, row_number() OVER o AS rank, sum(CAST(y AS INTEGER)) OVER (o ROWS UNBOUNDED PRECEDING) AS hits, count(*) OVER (PARTITION BY class) AS n, sum(CAST(y AS INTEGER)) OVER (PARTITION BY class) AS p FROM h WINDOW o AS (PARTITION BY class ORDER BY score DESC, unit_id)),
+  e AS (SELECT class, round(min(rank) FILTER (hits >= ceil(0.9 * p) AND p > 0) / CAST(max(n) AS DOUBLE), 7) AS effort FROM r GROUP BY class)
+  SELECT c.*, round(a.ap, 7) AS ap, round(p9.recall, 7) AS recall_p90, round(p95.recall, 7) AS recall_p95, e.effort, round(kb.ap_block, 7) AS ap_block FROM c LEFT JOIN {ap_sql('h', 'class', 'score')} a USING (class) LEFT JOIN {recall_sql('h', 'class', 0.9, 'score')} p9 USING (class)
+  LEFT JOIN {recall_sql('h', 'class', 0.95, 'score')} p95 USING (class) LEFT JOIN e USING (class) LEFT JOIN {ap_sql('k', 'class', 'score', name='ap_block')} kb USING (class)""")
+def q_per_class_b(spark, sf_dir):
+    out = evaluation.per_class_b(_judged(spark, sf_dir)[0])
+    return _rounded(out, "fp_per_hour", "fires_on_others", "recall_at_half", "ap", "recall_p90", "recall_p95", "effort", "ap_block")
+
+
+@query(f"""WITH {JUDGED}, p AS (SELECT j.*, CASE WHEN heard.class IS NULL THEN 'focal' ELSE 'aru' END AS pool FROM j LEFT JOIN heard USING (class) WHERE NOT masked_out), q AS (SELECT * FROM p WHERE domain = pool)
+  SELECT class, threshold, round(recall, 7) AS recall, pool FROM {recall_sql('q', 'class', 0.5, 'score')} JOIN (SELECT DISTINCT class, pool FROM q) USING (class) WHERE class IN (SELECT class FROM q WHERE y)""")
+def q_thresholds(spark, sf_dir):
+    return _rounded(evaluation.thresholds(*_judged(spark, sf_dir), 0.5), "recall")
+
+
+@query(f"""WITH {JUDGED}, w AS (SELECT unit_id, kind = 'frog' AS y, unit_id % 4 > 0 AS pos, score FROM j WHERE tier = 'B'), b AS (SELECT 'window' AS level, y, score FROM w WHERE NOT y OR pos UNION ALL SELECT 'clip', bool_or(y), max(score) FROM w GROUP BY unit_id)
+  SELECT level, round(ap, 7) AS ap, round(fp_share, 7) AS fp_share FROM {ap_sql('b', 'level', 'score')} JOIN (SELECT level, avg(CAST(score >= 0.5 AS INTEGER)) FILTER (NOT y) AS fp_share FROM b GROUP BY 1) USING (level)""")
+def q_detection_ap(spark, sf_dir):
+    windows = _judged(spark, sf_dir)[0].filter("tier = 'B'").withColumn("state", F.when(F.col("kind") == "background", "neg").when(F.col("unit_id") % 4 > 0, "pos").otherwise("uncertain"))
+    return _rounded(evaluation.detection(windows), "ap", "fp_share")
+
+
+@query(f"""WITH {JUDGED}, ja AS (SELECT k.*, unnest(list_filter(['all', CASE WHEN leakage_safe THEN 'leakage_safe' END, CASE WHEN medium = 'air' THEN 'air' END], lambda x: x IS NOT NULL)) AS part FROM {KNOWN} k),
+  pa AS (SELECT a.*, n FROM {ap_sql('ja', 'class, part', 'score')} a JOIN ev USING (class)), pb AS (SELECT * FROM {ap_sql("(SELECT j.* FROM j JOIN heard USING (class) WHERE tier = 'B' AND NOT masked_out)", 'class', 'score')}),
+  det AS (SELECT unit_id, max(score) AS score, bool_or(kind = 'frog') AS y FROM j WHERE tier = 'B' GROUP BY 1),
+  m AS (SELECT 'A_macro_ap' AS metric, avg(ap) FILTER (part = 'all') AS value FROM pa UNION ALL SELECT 'A_macro_ap_rare', avg(ap) FROM pa WHERE part = 'all' AND n < 30 HAVING count(*) > 0 UNION ALL SELECT 'A_macro_ap_common', avg(ap) FROM pa WHERE part = 'all' AND n >= 30 HAVING count(*) > 0
+  UNION ALL SELECT 'A_macro_ap_leakage_safe', avg(ap) FILTER (part = 'leakage_safe') FROM pa UNION ALL SELECT 'A_macro_ap_air', avg(ap) FILTER (part = 'air') FROM pa UNION ALL SELECT 'A_ap:' || class, ap FROM pa WHERE part = 'all'
+  UNION ALL SELECT 'B_macro_ap', avg(ap) FROM pb UNION ALL SELECT 'B_ap:' || class, ap FROM pb UNION ALL SELECT 'B_detection_ap', ap FROM {ap_sql('det', '', 'score')}) SELECT metric, round(value, 7) AS value FROM m""")
 def q_headline(spark, sf_dir):
-    a = units(spark, sf_dir).filter("domain = 'focal' and not locked")
-    m = _ap(a, ["class"]).join(a.groupBy("class").agg(F.count("*").alias("n")), "class")
-    parts = {"A_macro_ap": F.lit(True), "A_macro_ap_rare": F.col("n") < 30, "A_macro_ap_common": F.col("n") >= 30}
-    wide = m.agg(*[F.round(F.avg(F.when(c, F.col("ap"))), 8).alias(k) for k, c in parts.items()])
-    long = reduce(lambda x, y: x.union(y), [wide.select(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in parts])
-    return long.union(m.select(F.concat(F.lit("A_ap:"), "class"), F.round("ap", 8)))
+    return _rounded(evaluation.headline(*_judged(spark, sf_dir)), "value")
+
+
+@query()
+def q_run_summary(spark, sf_dir):
+    """Headline metrics of a run with intervals over its 500 resamples."""
+    return evaluation.summarize(*_judged(spark, sf_dir), N_BOOT_RUN)
+
+
+@query()
+def q_compare_runs(spark, sf_dir):
+    """Headline deltas of two runs over 1000 resamples."""
+    rows, u = _judged(spark, sf_dir)
+    better = rows.withColumn("score", F.when(F.col("y") & (F.col("unit_id") % 3 > 0), (F.col("score") + 1) / 2).otherwise(F.col("score")))
+    return evaluation.delta_headline(rows, better, u, N_BOOT_COMPARE)
 
 
 @query(f"WITH {UNITS}, f AS (SELECT * FROM {ap_sql('units', 'fold, class')}), c AS (SELECT class, avg(ap) AS m, stddev_samp(ap) AS sd FROM f GROUP BY 1) SELECT round(avg(m), 8) AS ap, round(avg(sd), 8) AS sd FROM c")

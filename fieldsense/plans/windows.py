@@ -10,6 +10,8 @@ from fieldsense.plans.registry import query, read
 from fieldsense.plans.stand_ins import REC, UNITS, recordings, units
 
 WIDTH, HOP = 3.0, 1.5
+FOLD_SQL = """sizes AS (SELECT split_group, acoustic_class AS c, count(*) AS m FROM dealt GROUP BY 1, 2), lots AS (SELECT split_group, CAST(sum(m) AS BIGINT) AS n, first(c ORDER BY m DESC, c) AS cls FROM sizes GROUP BY 1),
+  placed AS (SELECT split_group, row_number() OVER (ORDER BY cls, n DESC, split_group) - 1 AS k FROM lots), folds AS (SELECT split_group, CAST(CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END AS INTEGER) AS fold FROM placed)"""
 FRAMES = f"""frames AS (SELECT recording_id, source, label, duration_s, unnest(CASE WHEN duration_s <= 3 THEN [0.0e0] ELSE
   list_transform(range(0, CAST(greatest(1, ceil((duration_s - 3 + 1e-9) / 1.5e0)) AS BIGINT)), lambda k: round(k * 1.5e0, 3)) ||
   CASE WHEN greatest(0, ceil((duration_s - 3 + 1e-9) / 1.5e0) - 1) * 1.5e0 + 3 < duration_s - 1e-6 THEN [round(duration_s - 3, 3)] ELSE [] END END) AS start_s FROM rec),
@@ -103,13 +105,16 @@ def q_group_sample(spark, sf_dir):
     return splits.group_sample(units(spark, sf_dir), "class", "split_group", "unit_id", 3, 10, 6).select("class", "unit_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {UNITS}, c AS (SELECT class, split_group, count(*) AS n, md5('1|' || split_group) AS o FROM units GROUP BY 1, 2), cand AS (SELECT *, sum(n) OVER (PARTITION BY class) AS total, row_number() OVER (PARTITION BY class ORDER BY o, split_group) AS place FROM c),
+  walk AS (SELECT DISTINCT class, CAST(0 AS BIGINT) AS place, 0e0 AS used, CAST(NULL AS VARCHAR) AS split_group, false AS locked FROM cand UNION ALL
+    SELECT c.class, c.place, CASE WHEN used + n <= total * 0.15e0 THEN used + n ELSE used END, c.split_group, used + n <= total * 0.15e0 FROM walk w JOIN cand c ON c.class = w.class AND c.place = w.place + 1)
+  SELECT class, split_group, locked FROM walk WHERE place > 0""")
 def q_greedy_lock(spark, sf_dir):
     groups = units(spark, sf_dir).groupBy("class", "split_group").agg(F.count("*").alias("n")).withColumn("order", splits.draw(1, "split_group"))
     return splits.greedy_lock(groups, "class", "split_group", "n", "order")
 
 
-@query()
+@query(f"""WITH {UNITS}, dealt AS (SELECT split_group, class AS acoustic_class FROM units), {FOLD_SQL} SELECT unit_id, split_group, folds.fold FROM units JOIN folds USING (split_group)""")
 def q_group_kfold(spark, sf_dir):
     return splits.group_folds(units(spark, sf_dir).drop("fold"), "split_group", "class").select("unit_id", "split_group", "fold")
 

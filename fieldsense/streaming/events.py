@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +29,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream holds once all there is has been read, as a table in memory. For tests and small results."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, name: str = "stream") -> DataFrame:
+    """What a stream holds once all there is has been read: each batch's result replaces the one before in a folder of the
+    shared checkpoint folder; only a local[*] session may leave that unset."""
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{shared or 'file://' + tempfile.mkdtemp(prefix='fieldsense-')}/streams/{name}-{uuid.uuid4().hex}"
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/result")
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/result")

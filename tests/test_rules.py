@@ -120,8 +120,8 @@ def test_grid_and_digest(spark):
 def test_text_rules(spark):
     values = lambda t: spark.range(1).select(T.single_value(F.lit(t), {"a": "aa", "b": "bb"}).alias("v")).first()["v"]
     assert (values("aa"), values("aa bb"), values("c")) == ("a", None, None)
-    assert T.match_names("Two red frogs and a red-frog, then red.", {"red": "R", "red frog": "RF"}) == ["RF", "R"]
-    assert T.match_names("Two red frogs", {"red": "R", "red frog": "RF"}) == ["RF"]
+    codes = lambda t: spark.range(1).select(T.named_codes(F.lit(t), {"red": "R", "red frog": "RF"}).alias("v")).first()["v"]
+    assert (codes("Two red frogs and a red-frog, then red."), codes("Two red frogs"), codes(None)) == (["RF", "R"], ["RF"], [])
 
 
 def attributes_of(spark, text):
@@ -141,6 +141,12 @@ def test_attributes(spark):
     assert (r["duration_s"], r["underwater"]) == ([0.5, 0.5], True)
 
 
+def test_evidence_is_what_decided(spark):
+    _, df = attributes_of(spark, "It is not very loud. LOUD and loud. Lasting up to 2 seconds, less than 3 seconds. Underwater, under water.")
+    found = [(e["field"], e["match"]) for e in A.evidence(df, "id", "s").orderBy("place").collect()]
+    assert found == [("loudness", "not very loud"), ("loudness", "LOUD"), ("duration_s", "Lasting up to 2 seconds"), ("underwater", "Underwater")]
+
+
 def test_captions_counties_taxa(spark):
     rows = [("A 2.5-second call, courtesy of Ann Lee. Napa County", "Chorus"), ("1 minute of release", None), ("none", None)]
     df = spark.createDataFrame(rows, "c string, section string")
