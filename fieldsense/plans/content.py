@@ -156,7 +156,7 @@ def q_name_match(spark, sf_dir):
 
 #: Captions dealt to parts, the page's species is R; what each is taken for.
 CAPTIONS = ["A red frog in rain. Blue frogs answer.", "This is a blue-frog call.", "Blue frogs and green frogs call. Red frogs too.", "Similar to a blue frog. Green frog!", "No name here."]
-TAKEN = [(0, "R", "page", False, "['B']"), (1, "B", "caption", True, "[]"), (2, "R", "page", True, "['B', 'G']"), (3, "G", "caption", True, "[]"), (4, "R", "page", False, "[]")]
+TAKEN = [(0, "R", "page", False, "['B']"), (1, "B", "caption", True, "[]"), (2, "R", "page", True, "['G', 'B']"), (3, "G", "caption", True, "[]"), (4, "R", "page", False, "[]")]
 OVERRIDE = ("7.mp3", "X", ["R"])
 
 
