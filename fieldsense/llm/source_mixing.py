@@ -103,7 +103,7 @@ def entropy_balance(histogram: DataFrame, targets: DataFrame, cap: float = 2.0,
 
 
 def mix(
-    rows: DataFrame, id_col: str = "doc_id", cap: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, seed: int = 11, together: int = 5_000
+    rows: DataFrame, id_col: str = "doc_id", cap: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, seed: int = 11, together: int = 1_000
 ) -> DataFrame:
     """rows (id, source, size, tie) -> rows + source_size, target, rate, copies.
 
