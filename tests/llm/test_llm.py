@@ -383,7 +383,7 @@ def test_ngram_join_is_the_same_however_rows_are_dealt(spark, parts, many):
 
 def test_ngram_join_of_a_triple_in_partitions_of_its_own(spark):
     words = [f"w{i}" for i in range(60)]
-    texts = [["a", "b", "c", *words[3:]], words, [*words[:-1], "z"]]
+    texts = [["a", "b", "c", "d", *words[4:]], words, [*words[:-1], "z"]]
     rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
     got = ngram_jaccard.near_duplicates(table(spark, rows).repartitionByRange(4, "doc_id")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 90) == {1: 1, 2: 2, 3: 2}
