@@ -7,8 +7,8 @@ batches of presence vectors are scored by matrix products. As the kernel is line
 landmarks and regression weights are multiplied out once, into one matrix of n-grams by languages.
 
 Defined cases: text that is null or has no letter is `und` with score 0; so is every text if nothing can be learned;
-texts of any length are read whole; rows that repeat an id are predicted each and one of them teaches; other columns are
-ignored.
+texts of any length are read whole; rows that repeat an id are predicted each and one of them teaches, in the first of
+the id's languages; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BITS = (11, 13, 15)
 STARTS = np.cumsum([0, *(1 << b for b in BITS)])
 WIDTH = int(STARTS[-1])
 UNKNOWN = "und"
+#: At most this many languages (their names and a number each) are broadcast; beyond it the join is by shuffle.
+BROADCAST_LANGUAGES = 200_000
 
 
 @dataclass(frozen=True)
@@ -93,10 +95,17 @@ def fit(packed: list[bytes], names: list[str], settings: Settings) -> tuple[list
 
 
 def training_flags(labelled: DataFrame, docs: DataFrame, settings: Settings) -> tuple[list[bytes], list[str]]:
-    """Presence flags and languages of the sample: of each language the rows of lowest hash, ids first, then texts."""
+    """Presence flags and languages of the sample: of each language the ids of lowest hash; an id with several languages
+    counts for the first of them."""
+    marked = labelled.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    # A bound on the hash keeps a little more than the sample of each language, so that only as much is put in order.
+    share = F.lit(1.5 * (settings.per_language + 100)) / F.count("*")
+    bounds = marked.groupBy("lang").agg(((share - 0.5) * 2.0**64).alias("bound"))
+    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_LANGUAGES else bounds
+    low = marked.join(bounds, "lang").filter(F.xxhash64("doc_id").cast("double") <= F.col("bound"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= settings.per_language)
-    ids = ids.orderBy("place", "lang").limit(settings.texts).select("doc_id", "lang", "place").dropDuplicates(["doc_id"])
+    ids = low.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= settings.per_language)
+    ids = ids.orderBy("place", "lang").limit(settings.texts)
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +116,7 @@ def training_flags(labelled: DataFrame, docs: DataFrame, settings: Settings) ->
                 out.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], names=["flags", "lang", "place"])
 
-    texts = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
     found = texts.select("text", "lang", "place").mapInArrow(releasing(flags), "flags binary, lang string, place int")
     # Of rows that repeat an id one is learned from, the same on every run.
     rows = found.groupBy("lang", "place").agg(F.min("flags").alias("flags")).collect()

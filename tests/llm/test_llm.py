@@ -175,6 +175,30 @@ def test_language_id(spark):
     assert (none["lang_pred"], none["score"]) == ("und", 0.0)
 
 
+def test_language_sample_is_that_of_lowest_hashes(spark):
+    """Of many ids, one of them with most of the rows and some with two languages, against sorting all of them."""
+    rows = [(i, f"text {i}", "en" if i % 7 else "de") for i in range(4000)] + [(11, "text 11", "en")] * 3000
+    rows += [(i, f"other {i}", "fr") for i in range(0, 4000, 50)] + [(9000, "alone", "pt")]
+    s = language_id.Settings(per_language=20, texts=50)
+    docs = table(spark, rows).repartition(9)
+    packed, names = language_id.training_flags(docs, docs, s)
+    first = {}
+    for i, _, lang in rows:
+        first[i] = min(lang, first.get(i, lang))
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    places = []
+    for lang in set(first.values()):
+        ids = sorted((i for i in first if first[i] == lang), key=lambda i: (hashes[i], i))
+        places += [(place, lang, i) for place, i in enumerate(ids[:20])]
+    chosen = sorted(places)[:50]
+    assert names == [lang for _, lang, _ in chosen]
+    text = {(i, lang): t for i, t, lang in rows}
+    for got, (_, lang, i) in zip(packed, chosen, strict=True):
+        row = np.zeros(language_id.WIDTH, np.uint8)
+        language_id.presence(text[i, lang], row)
+        assert got == np.packbits(row).tobytes()
+
+
 def test_language_scores_equal_the_kernel_matrix():
     """The one matrix of n-grams by languages against kernel values between texts, landmarks and training texts."""
     rnd, s = random.Random(3), language_id.Settings(landmarks=12)
