@@ -11,7 +11,7 @@ takes the pairs of holders, and of members of one group, that the first left in
 thousands of near copies costs no pairs, and no link between components is lost, whatever the common order is: it puts
 rare shingles first and decides how many candidates there are, not which links are found. Of an element with more than
 `many` holders left, candidates must share a second element as well: two sets that are similar enough share two of the
-first n - ceil(t n) + 2. Before whole texts are compared, candidates must pass a bound on their intersection from parity
+first n - ceil(t n) + 2, of which members of a group have all but the last in common; each brings its own. Before whole texts are compared, candidates must pass a bound on their intersection from parity
 bitmaps: two sets whose bitmaps differ in x bits differ in x elements at least.
 
 Defined cases: null and empty texts have no shingles and link with nothing; rows that repeat an id are one document,
@@ -210,9 +210,10 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, settings: S
     return links
 
 
-def crossing(opened: DataFrame, longer: DataFrame, settings: Settings) -> DataFrame:
+def crossing(opened: DataFrame, seconds: DataFrame, settings: Settings) -> DataFrame:
     """(gid_a, component_a, gid_b, component_b) of groups in different components that share an element where it can
-    matter. opened: token, gid, n, pos, component; longer: gid, longer, a group's prefix and one element more."""
+    matter. opened: token, gid, n, pos, component; seconds: gid, component, other, the prefix and the one element more of
+    each of the group's members in the component: members share the prefix only."""
     t = settings.percent / 100
     side = lambda df, s: df.select(*(F.col(c) if c in ("token", "other") else F.col(c).alias(f"{c}_{s}") for c in df.columns))
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -226,8 +227,7 @@ def crossing(opened: DataFrame, longer: DataFrame, settings: Settings) -> DataFr
     if crowded.isEmpty():
         return side(opened, "a").join(side(opened, "b"), "token").filter(near).select(*pair)
     few = opened.join(crowded, "token", "left_anti")
-    lots = opened.join(crowded, "token", "left_semi").join(longer, "gid")
-    lots = lots.withColumn("other", F.explode(F.array_except("longer", F.array("token")))).drop("longer")
+    lots = opened.join(crowded, "token", "left_semi").join(seconds, ["gid", "component"]).filter("other <> token")
     found = side(few, "a").join(side(few, "b"), "token").filter(near)
     twice = side(lots, "a").join(side(lots, "b"), ["token", "other"]).filter(near)
     return found.select(*pair).union(twice.select(*pair))
@@ -243,8 +243,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), carried: t
     classes = usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("cid"), F.any_value("prefix").alias("longer"), F.any_value("bits").alias("bits"))
     own = F.slice("longer", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(settings.percent) / 100) + 1).cast("int"))
     classes = materialize(classes.withColumn("prefix", own).withColumn("group", F.xxhash64("prefix")), "classes")
-    groups = classes.groupBy("n", "group").agg(F.min("cid").alias("gid"), F.min_by(F.struct("prefix", "longer"), "cid").alias("p"))
-    groups = groups.select("n", "group", "gid", "p.prefix", "p.longer")
+    groups = classes.groupBy("n", "group").agg(F.min("cid").alias("gid"), F.min_by("prefix", "cid").alias("prefix"))
     members = classes.select("cid", "n", "group").join(groups.select("n", "group", "gid"), ["n", "group"]).select("gid", "cid", "n")
     members = materialize(members, "members")
     # An id with several texts is a document of several classes, which join each other's components.
@@ -279,7 +278,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), carried: t
     # Members of one group share its whole prefix, also where no other group holds any of it.
     unit = lambda s: units.join(several, "gid", "left_semi").select("gid", F.col("component").alias(f"component_{s}"))
     within = unit("a").join(unit("b"), "gid").filter("component_a < component_b")
-    between = crossing(opened, groups.select("gid", "longer"), settings).union(within.select(F.col("gid").alias("gid_a"), "component_a", F.col("gid").alias("gid_b"), "component_b")).distinct()
+    seconds = placed.join(classes.select("cid", "longer"), "cid").select("gid", "component", F.explode("longer").alias("other")).distinct()
+    between = crossing(opened, seconds, settings).union(within.select(F.col("gid").alias("gid_a"), "component_a", F.col("gid").alias("gid_b"), "component_b")).distinct()
     side = lambda s, c: placed.select(F.col("gid").alias(f"gid_{s}"), F.col("component").alias(f"component_{s}"), F.col("cid").alias(c))
     second = between.join(side("a", "a"), ["gid_a", "component_a"]).join(side("b", "b"), ["gid_b", "component_b"])
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")

@@ -413,6 +413,56 @@ def test_ngram_join_of_a_triple_in_partitions_of_its_own(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 90) == {1: 1, 2: 2, 3: 2}
 
 
+def crowded_element(settings, decoys=68):
+    """Rows (id, text): `decoys` texts, g, x and y of which all hold one shingle in their prefix. g and x have one prefix and
+    little else in common; y is x without its first words, and the second element that it shares with x isn't in g."""
+    k, n, rnd, shingle = settings.words, 20, random.Random(settings.words), ngram_jaccard.Shingler(settings.words)
+    shared = n - -(-settings.percent * n // 100)  # of the prefix of n - ceil(t n) + 1, all but the crowded one lead
+
+    def longer(words, low):
+        while True:
+            more = [*words, f"w{rnd.randrange(10**9)}"]
+            if len(more) < k or (int(shingle(" ".join(more[-k:]))[0]) < 2**64 // 50) == low:
+                return more
+
+    def crowded():
+        while True:
+            words = [f"t{rnd.randrange(10**9)}" for _ in range(k)]
+            if int(shingle(" ".join(words))[0]) < 2**64 // 50:
+                return words
+
+    t = crowded()
+
+    def text(start):
+        while True:
+            words = list(start)
+            while len(words) < 12:
+                words = longer(words, False)
+            words += t
+            while len(words) < n + k - 1:
+                words = longer(words, False)
+            if (np.sort(shingle(" ".join(words))) < 2**64 // 50).sum() == 1 + max(0, len(start) - k + 1):
+                return words
+
+    head = []
+    while len(head) < shared + k - 1:
+        head = longer(head, True)
+    x = text(head)
+    return [(i + 1, " ".join(text([]))) for i in range(decoys)] + [(1000, " ".join(text(head))), (1001, " ".join(x)), (1002, " ".join(x[shared:]))]
+
+
+@pytest.mark.parametrize("parts", [1, 71])
+@pytest.mark.parametrize("many", [1, 64])
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_ngram_join_takes_the_second_element_from_each_member(spark, k, percent, many, parts):
+    settings = ngram_jaccard.Settings(words=k, percent=percent, many=many)
+    rows = crowded_element(settings)
+    expected = brute_components(rows, k, percent)
+    assert [expected[i] for i in (1000, 1001, 1002)] == [1000, 1001, 1001] and len(set(expected.values())) == 70
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard.near_duplicates(docs, settings).collect()} == expected
+
+
 def test_ngram_join_of_an_id_with_several_texts(spark):
     rows = [(3, "a b c d"), (4, "a b c d"), (4, "e f g h"), (5, "e f g h"), (6, "i j k l")]
     got = ngram_jaccard.near_duplicates(table(spark, rows)).collect()
