@@ -68,30 +68,47 @@ def _first(sentences: Column, pattern: str) -> Column:
     return F.get(F.filter(sentences, lambda s: s.rlike(any_case(pattern))), F.lit(0))
 
 
-def attributes(sentences: Column) -> dict[str, Column]:
-    """Column by attribute; null where nothing is said or what is said conflicts."""
+def _flags(sentences: Column) -> dict[str, Column]:
+    """Whether each kind of word occurs, by attribute and value."""
     bare = F.transform(sentences, lambda s: F.regexp_replace(s, any_case(f"{MODERATE}|{QUIET}"), " "))
+    out = {f"pitch:{k}": _occurs(sentences, p) for k, p in PITCH.items()}
+    out |= {"loudness:moderate": _occurs(sentences, MODERATE), "loudness:quiet": _occurs(sentences, QUIET), "loudness:loud": _occurs(bare, LOUD)}
+    out |= {f"structure:{k}": _occurs(sentences, p) for k, p in STRUCTURE.items()} | {f"rising_pitch:{k}": _occurs(sentences, p) for k, p in RISING.items()}
+    return out | {"underwater:": _occurs(sentences, UNDERWATER)}
+
+
+#: Patterns whose first sentence counts.
+FIRSTS = {f"duration:{i}": p for i, (p, *_) in enumerate(DURATION)} | {"notes:": NOTES_PER_SECOND}
+
+
+def _values(flags: dict[str, Column], firsts: dict[str, Column]) -> dict[str, Column]:
+    """Column by attribute from what occurs and the first sentences of FIRSTS."""
+    of = lambda name: {k.split(":")[1]: c for k, c in flags.items() if k.startswith(f"{name}:")}
     group = lambda s, p, g: _number(F.regexp_extract(s, any_case(p), g))
     duration = None
-    for pattern, lo, hi in DURATION:
-        s = _first(sentences, pattern)
+    for i, (pattern, lo, hi) in enumerate(DURATION):
+        s = firsts[f"duration:{i}"]
         low = group(s, pattern, lo) if lo else F.lit(None).cast("double")
         pair = F.array(low, F.lit(float(hi)) if isinstance(hi, str) else group(s, pattern, hi))
         duration = F.when(s.isNotNull(), pair) if duration is None else duration.when(s.isNotNull(), pair)
-    notes = _first(sentences, NOTES_PER_SECOND)
-    structure = F.array_compact(F.array(*[F.when(_occurs(sentences, p), F.lit(k)) for k, p in STRUCTURE.items()]))
-    rising = _one_of({k: _occurs(sentences, p) for k, p in RISING.items()})
+    notes = firsts["notes:"]
+    structure = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in of("structure").items()]))
     return {
-        "pitch": _one_of({k: _occurs(sentences, p) for k, p in PITCH.items()}),
-        "loudness": _one_of({"moderate": _occurs(sentences, MODERATE), "quiet": _occurs(sentences, QUIET), "loud": _occurs(bare, LOUD)}),
+        "pitch": _one_of(of("pitch")),
+        "loudness": _one_of(of("loudness")),
         "duration_s": duration,
         "notes_per_s": F.when(notes.isNotNull(), F.array(group(notes, NOTES_PER_SECOND, 1), group(notes, NOTES_PER_SECOND, 2))),
         "structure": F.when(F.size(structure) > 0, structure),
-        "rising_pitch": rising == "rising",
-        "underwater": F.when(_occurs(sentences, UNDERWATER), True),
+        "rising_pitch": _one_of(of("rising_pitch")) == "rising",
+        "underwater": F.when(flags["underwater:"], True),
     }
 
 
+def attributes(sentences: Column) -> dict[str, Column]:
+    """Column by attribute; null where nothing is said or what is said conflicts."""
+    return _values(_flags(sentences), {k: _first(sentences, p) for k, p in FIRSTS.items()})
+
+
 def evidence(df: DataFrame, key: str, sentences: str) -> DataFrame:
     """(key, place, field, match, sentence): the words that decided each value, in order, each once a sentence whatever its
     case. Loud words count where no moderate or quiet phrase holds them; of durations, notes and water the first words
@@ -115,11 +132,18 @@ def evidence(df: DataFrame, key: str, sentences: str) -> DataFrame:
 
 
 def group_attributes(texts: DataFrame, group: str, member: str, text: str) -> DataFrame:
-    """group + its attributes: by the sentences of all its members' whole texts, each sentence once, members in order."""
-    told = texts.select(group, member, F.posexplode(described(F.col(text))).alias("__i", "__s"))
-    once = told.groupBy(group, "__s").agg(F.min(F.struct(member, "__i")).alias("__at"))
-    said = once.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__at", "__s"))).alias("__all")).select(group, F.col("__all.__s").alias("__said"))
-    return said.select(group, *(c.alias(k) for k, c in attributes(F.col("__said")).items()))
+    """group + its attributes: by the sentences of all its members' whole texts, members in order.
+
+    Each text is judged by itself; of a group only decisions meet: whether any text has a kind of word, and the first
+    sentence that counts, by member and place. So a group of any size is a few numbers and sentences in each task.
+    """
+    told = texts.select(group, F.col(member).alias("__m"), described(F.col(text)).alias("__s")).filter(F.size("__s") > 0)
+    named = {k: k.replace(":", "__") for k in [*_flags(F.col("__s")), *FIRSTS]}
+    place = lambda p: F.struct("__m", F.array_position(F.col("__s"), _first(F.col("__s"), p)).alias("i"), _first(F.col("__s"), p).alias("s"))
+    found = told.select(group, *(c.alias(named[k]) for k, c in _flags(F.col("__s")).items()), *(F.when(_occurs(F.col("__s"), p), place(p)).alias(named[k]) for k, p in FIRSTS.items()))
+    met = found.groupBy(group).agg(*(F.bool_or(n).alias(n) for k, n in named.items() if k not in FIRSTS), *(F.min(named[k]).alias(named[k]) for k in FIRSTS))
+    values = _values({k: F.col(n) for k, n in named.items() if k not in FIRSTS}, {k: F.col(named[k])["s"] for k in FIRSTS})
+    return met.select(group, *(c.alias(k) for k, c in values.items()))
 
 
 def reviewed(extracted: Column, approved: Column) -> Column:
