@@ -70,12 +70,14 @@ def group_sample(df: DataFrame, cls: str, group: str, unit: str, groups: int, ro
     return df.join(chosen.select(cls, group), [cls, group], "left_semi").withColumn("__u", place).filter(F.col("__u") <= rows).drop("__u")
 
 
+def curve_points(block: int = 50) -> list[tuple[int, int]]:
+    """The 18 (groups, clips) sizes of the learning curve; -1 stands for all, groups hold `block` clips."""
+    sizes = [(g, c) for g in (1, 3, -1) for c in (5, 10, 25, 50, 100, 200, -1)]
+    return [(0, 0)] + [(g, c) for g, c in sizes if not (g > 0 and c > block * g) and (g, c) != (1, -1)]
+
+
 def learning_curve_points(spark) -> DataFrame:
-    """The 18 (groups, clips) sizes; -1 stands for all."""
-    clips = spark.createDataFrame([(c,) for c in (5, 10, 25, 50, 100, 200, -1)], "clips int")
-    groups = spark.createDataFrame([(g,) for g in (1, 3, -1)], "groups int")
-    grid = groups.crossJoin(clips).filter("not (groups > 0 and clips > 50 * groups) and not (groups = 1 and clips = -1)")
-    return spark.createDataFrame([(0, 0)], "groups int, clips int").union(grid)
+    return spark.createDataFrame(curve_points(), "groups int, clips int")
 
 
 def table_digest(df: DataFrame, unit: str, columns: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldsense.plans import content, data, evaluation, windows  # noqa: F401  registers them
+from fieldsense.plans import content, data, evaluation, training, windows  # noqa: F401  registers them
 from fieldsense.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
