@@ -52,15 +52,43 @@ def stratified_folds(df: DataFrame, category: str, unit: str, folds: int, seed:
     return df.withColumn("fold", F.pmod(place - 1, F.lit(folds)).cast("int"))
 
 
+#: Groups that are dealt to folds one after the other; more are cut into lots by hash, each balanced by itself.
+LOT = 2_000
+
+
 def group_folds(df: DataFrame, group: str, cls: str, folds: int = 5) -> DataFrame:
-    """df + fold: no group in two folds. The largest groups come first, each class in turn, and are dealt back and
-    forth over the folds; only the table of groups is ordered. Rows without a group are a group of their own."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"), F.mode(cls, True).alias("__cls"))
-    place = F.row_number().over(Window.orderBy("__cls", F.desc("__n"), group)) - 1
-    at, turn = F.pmod(F.col("__place"), F.lit(folds)), F.floor(F.col("__place") / folds) % 2
-    dealt = sizes.withColumn("__place", place).withColumn("fold", F.when(turn == 0, at).otherwise(folds - 1 - at).cast("int"))
-    folds_of = dealt.select(F.col(group).alias("__group"), "fold")
-    return df.join(folds_of, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
+    """df + fold: no group in two folds, and classes spread evenly.
+
+    Groups come in order of the sum of their squared shares of classes, largest first, ties by name. Each goes to the fold
+    whose fullest class, by share, is least full with the group added; ties to the fold of least shares in all, then the
+    first. Rows without a group are a group of their own, those without a class a class.
+    """
+    named = F.coalesce(F.col(cls).cast("string"), F.lit("")).alias("__c")
+    counts = df.groupBy(F.col(group).alias("__group"), named).agg(F.count("*").alias("n"))
+    classes = [(r["__c"], r["n"]) for r in counts.groupBy("__c").agg(F.sum("n").alias("n")).orderBy("__c").collect()]  # a row a class
+    if not classes:
+        return df.withColumn("fold", F.lit(None).cast("int"))
+    sizes = counts.groupBy("__group").agg(F.map_from_entries(F.collect_list(F.struct("__c", "n"))).alias("m"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    own = F.array(*(F.coalesce(F.element_at("m", F.lit(c)), F.lit(0)) / F.lit(float(n)) for c, n in classes))
+    sizes = sizes.select("__group", own.alias("own")).withColumn("order", -total(F.transform("own", lambda x: x * x)))
+    lots = max(1, -(-sizes.count() // LOT))
+    lot = F.pmod(F.xxhash64("__group"), F.lit(lots))
+    entry = F.struct("order", "__group", "own")
+    queued = sizes.groupBy(lot.alias("lot")).agg(F.array_sort(F.collect_list(entry)).alias("queue"))
+    empty = F.array_repeat(F.array_repeat(F.lit(0.0), len(classes)), folds)
+    start = F.struct(empty.alias("loads"), F.array().cast("array<int>").alias("taken"))
+
+    def step(state: Column, g: Column) -> Column:
+        price = lambda load, i: F.struct(F.array_max(F.zip_with(load, g["own"], lambda n, k: n + k)).alias("p"), total(load).alias("n"), i.alias("i"))
+        best = F.array_min(F.transform(state["loads"], price))["i"]
+        grown = lambda b: F.transform(state["loads"], lambda load, i: F.when(i == b, F.zip_with(load, g["own"], lambda n, k: n + k)).otherwise(load))
+        # The best fold is found once and then used twice.
+        return F.get(F.transform(F.array(best), lambda b: F.struct(grown(b).alias("loads"), F.array_append(state["taken"], b).alias("taken"))), F.lit(0))
+
+    dealt = queued.select("queue", F.aggregate("queue", start, step)["taken"].alias("taken"))
+    one = dealt.select(F.explode(F.arrays_zip("queue", "taken")).alias("z")).select(F.col("z.queue.__group").alias("__group"), F.col("z.taken").alias("fold"))
+    return df.join(one, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
 
 
 def group_sample(df: DataFrame, cls: str, group: str, unit: str, groups: int, rows: int, seed: int) -> DataFrame:

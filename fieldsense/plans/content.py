@@ -315,7 +315,7 @@ def q_masked_bce(spark, sf_dir):
     return units(spark, sf_dir).groupBy("class").agg(F.round(F.sum(loss * m) / F.greatest(F.sum(m), F.lit(1.0)), 8).alias("loss"))
 
 
-@query(f"""WITH {REC}, src AS (SELECT CAST(recording_id AS VARCHAR) AS recording_id, CASE WHEN recording_id % 5 = 0 THEN 'aru' WHEN recording_id % 2 = 0 THEN 'herps' ELSE 'inat' END AS kind, label, source AS recordist, n_chars % 90 AS block, date, CASE WHEN recording_id % 3 = 0 THEN lat END AS lat, -100.0e0 AS lon,
+@query(f"""WITH RECURSIVE {REC}, src AS (SELECT CAST(recording_id AS VARCHAR) AS recording_id, CASE WHEN recording_id % 5 = 0 THEN 'aru' WHEN recording_id % 2 = 0 THEN 'herps' ELSE 'inat' END AS kind, label, source AS recordist, n_chars % 90 AS block, date, CASE WHEN recording_id % 3 = 0 THEN lat END AS lat, -100.0e0 AS lon,
     recording_id % 4 = 0 AS napa, duration_s, md5(caption) AS md5 FROM rec WHERE n_chars % 17 > 0 AND duration_s >= 0.2e0),
   ranked AS (SELECT *, list_position(['herps', 'xc', 'inat', 'aru'], kind) AS rank FROM src), one AS (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY rank, recording_id) AS k FROM ranked),
   keyed AS (SELECT *, date || '|' || CAST(round_even(lat, 3) AS VARCHAR) || '|' || CAST(round_even(lon, 3) AS VARCHAR) || '|' || CAST(round_even(duration_s, 0) AS VARCHAR) AS post FROM one WHERE k = 1 OR md5 IS NULL),

@@ -10,8 +10,15 @@ from fieldsense.plans.registry import query, read
 from fieldsense.plans.stand_ins import REC, UNITS, recordings, units
 
 WIDTH, HOP = 3.0, 1.5
-FOLD_SQL = """sizes AS (SELECT split_group, acoustic_class AS c, count(*) AS m FROM dealt GROUP BY 1, 2), lots AS (SELECT split_group, CAST(sum(m) AS BIGINT) AS n, first(c ORDER BY m DESC, c) AS cls FROM sizes GROUP BY 1),
-  placed AS (SELECT split_group, row_number() OVER (ORDER BY cls, n DESC, split_group) - 1 AS k FROM lots), folds AS (SELECT split_group, CAST(CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END AS INTEGER) AS fold FROM placed)"""
+#: Needs WITH RECURSIVE: dealt (split_group, acoustic_class) -> folds (split_group, fold).
+FOLD_SQL = """sizes AS (SELECT split_group, acoustic_class AS c, count(*) AS m FROM dealt GROUP BY 1, 2), totals AS (SELECT c, CAST(sum(m) AS DOUBLE) AS n FROM sizes GROUP BY 1),
+  vectors AS (SELECT g.split_group, list(coalesce(m, 0) / n ORDER BY t.c) AS own
+    FROM (SELECT DISTINCT split_group FROM sizes) g CROSS JOIN totals t LEFT JOIN sizes s ON s.split_group = g.split_group AND s.c = t.c GROUP BY 1),
+  queue AS (SELECT *, row_number() OVER (ORDER BY list_sum(list_transform(own, lambda x: x * x)) DESC, split_group) AS k FROM vectors),
+  walk AS (SELECT CAST(0 AS BIGINT) AS k, [z, z, z, z, z] AS loads, CAST(NULL AS VARCHAR) AS split_group, CAST(NULL AS BIGINT) AS fold FROM (SELECT list(0e0) AS z FROM totals)
+    UNION ALL SELECT k, list_transform(range(1, 6), lambda f: CASE WHEN f = best THEN list_transform(range(1, len(own) + 1), lambda i: loads[f][i] + own[i]) ELSE loads[f] END), split_group, best - 1
+    FROM (SELECT q.*, loads, list_sort(list_transform(range(1, 6), lambda f: {'p': list_max(list_transform(range(1, len(own) + 1), lambda i: loads[f][i] + own[i])), 'n': list_sum(loads[f]), 'f': f}))[1].f AS best FROM walk w JOIN queue q ON q.k = w.k + 1)),
+  folds AS (SELECT split_group, CAST(fold AS INTEGER) AS fold FROM walk WHERE k > 0)"""
 FRAMES = f"""frames AS (SELECT recording_id, source, label, duration_s, unnest(CASE WHEN duration_s <= 3 THEN [0.0e0] ELSE
   list_transform(range(0, CAST(greatest(1, ceil((duration_s - 3 + 1e-9) / 1.5e0)) AS BIGINT)), lambda k: round(k * 1.5e0, 3)) ||
   CASE WHEN greatest(0, ceil((duration_s - 3 + 1e-9) / 1.5e0) - 1) * 1.5e0 + 3 < duration_s - 1e-6 THEN [round(duration_s - 3, 3)] ELSE [] END END) AS start_s FROM rec),
@@ -114,7 +121,7 @@ def q_greedy_lock(spark, sf_dir):
     return splits.greedy_lock(groups, "class", "split_group", "n", "order")
 
 
-@query(f"""WITH {UNITS}, dealt AS (SELECT split_group, class AS acoustic_class FROM units), {FOLD_SQL} SELECT unit_id, split_group, folds.fold FROM units JOIN folds USING (split_group)""")
+@query(f"""WITH RECURSIVE {UNITS}, dealt AS (SELECT split_group, class AS acoustic_class FROM units), {FOLD_SQL} SELECT unit_id, split_group, folds.fold FROM units JOIN folds USING (split_group)""")
 def q_group_kfold(spark, sf_dir):
     return splits.group_folds(units(spark, sf_dir).drop("fold"), "split_group", "class").select("unit_id", "split_group", "fold")
 

@@ -1,6 +1,7 @@
 """Rules on small hand-made inputs."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from fieldsense.functions import geo
 from fieldsense.functions import text as T
 from fieldsense.functions import vectors as V
 from fieldsense.operators import captions, dedupe, metrics, splits, windows
+from fieldsense.plans.stand_ins import units
 from fieldsense.sources import readers
 from fieldsense.streaming import events
 
@@ -104,6 +106,46 @@ def test_folds_and_locks(spark):
     assert len(groups) == 10 and {r["fold"] for r in groups} == {0, 1, 2, 3, 4}
 
 
+def spread(rows, folds):
+    """Mean over classes of the standard deviation of their shares over folds; rows: (fold, class)."""
+    by = {}
+    for fold, cls in rows:
+        by.setdefault(cls, [0] * folds)[fold] += 1
+    shares = [[n / sum(v) for n in v] for v in by.values()]
+    return sum((sum((x - 1 / folds) ** 2 for x in s) / folds) ** 0.5 for s in shares) / len(shares)
+
+
+def test_group_folds_balance_classes(spark, monkeypatch):
+    rnd = random.Random(4)
+    groups = {f"g{i}": rnd.choices("abcd", k=3) for i in range(60)}
+    rows = [(g, rnd.choice(groups[g])) for g in groups for _ in range(rnd.choice([1, 5, 30]))]
+    df = spark.createDataFrame(rows, "g string, cls string")
+
+    # Back and forth over the folds by modal class and size, as groups were dealt before.
+    modal = {g: (max(sorted({c for x, c in rows if x == g}), key=[c for x, c in rows if x == g].count), -sum(x == g for x, _ in rows), g) for g in groups}
+    turns = {g: (k % 5 if k // 5 % 2 == 0 else 4 - k % 5) for k, g in enumerate(sorted(groups, key=modal.get))}
+    before = spread([(turns[g], c) for g, c in rows], 5)
+    for lot in (2000, 7):
+        monkeypatch.setattr(splits, "LOT", lot)
+        got = splits.group_folds(df, "g", "cls").collect()
+        assert len(got) == len(rows) and {r["fold"] for r in got} == set(range(5))
+        assert len({(r["g"], r["fold"]) for r in got}) == len(groups)
+        if lot == 2000:
+            assert spread([(r["fold"], r["cls"]) for r in got], 5) < before
+
+    assert splits.group_folds(df.limit(0), "g", "cls").collect() == []
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_group_folds_spread_on_the_test_tables(spark, sf):
+    u = units(spark, f"/root/testdata/{sf}").select("split_group", "class")
+    got = [(r["split_group"], r["class"], r["fold"]) for r in splits.group_folds(u, "split_group", "class").collect()]
+    sizes = {g: [c for x, c, _ in got if x == g] for g in {x for x, _, _ in got}}
+    order = sorted(sizes, key=lambda g: (max(sorted(set(sizes[g])), key=sizes[g].count), -len(sizes[g]), g))
+    turns = {g: (k % 5 if k // 5 % 2 == 0 else 4 - k % 5) for k, g in enumerate(order)}
+    assert spread([(f, c) for _, c, f in got], 5) <= spread([(turns[g], c) for g, c, _ in got], 5) + 1e-12
+
+
 def test_greedy_lock_passes_over_what_does_not_fit(spark):
     df = spark.createDataFrame([("c", "a", 10, 1), ("c", "b", 50, 2), ("c", "d", 5, 3), ("c", "e", 35, 4)], "cls string, g string, n int, ord int")
     got = {r["g"]: r["locked"] for r in splits.greedy_lock(df, "cls", "g", "n", "ord").collect()}
