@@ -43,18 +43,25 @@ def _long(table: DataFrame, by: list[str], values: dict[str, Column]) -> DataFra
     return reduce(lambda a, b: a.union(b), [wide.select(*by, F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values])
 
 
-def headline(rows: DataFrame, units: DataFrame, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
-    """(by, metric, value) from judged rows; by and weight: for resamples, their id and a unit's draws.
+def headline(rows: DataFrame, units: DataFrame, n_boot: int | None = None) -> DataFrame:
+    """(metric, value) from judged rows; with n_boot (boot_id, metric, value) for resamples of each tier's groups.
 
     A_macro_ap over evaluable classes, also of rare and common ones, of leakage-safe and of air recordings only, and A_ap:c;
     B_macro_ap over the classes heard in clips and B_ap:c; B_detection_ap of frogs against background by the best class
     score. A metric without a class to average has no row, one whose classes all lack positives is null.
     """
-    by = by or []
+    by = [] if n_boot is None else ["boot_id"]
+
+    def precision(table: DataFrame, keys: list[str], domain: str) -> DataFrame:
+        if n_boot is None:
+            return metrics.average_precision(table, keys)
+        groups = units.filter((F.col("domain") == domain) & ~F.col("locked"))
+        return metrics.boot_average_precision(table, keys, "split_group", n_boot, weights=metrics.boot_weights(groups, "split_group", n_boot))
+
     ev, heard = evaluable(units), heard_classes(units)
     parts = F.array_compact(F.array(F.lit("all"), F.when(F.col("leakage_safe"), "leakage_safe"), F.when(F.col("medium") == "air", "air")))
     a = rows.filter("tier = 'A' and not masked_out").join(ev, "class").withColumn("part", F.explode(parts))
-    by_class = metrics.average_precision(a, [*by, "class", "part"], weight=weight).join(ev, "class")
+    by_class = precision(a, ["class", "part"], "focal").join(ev, "class")
     whole = F.col("part") == "all"
     mean = lambda c: F.avg(F.when(c, F.col("ap")))
     macro = {"A_macro_ap": mean(whole), "A_macro_ap_rare": mean(whole & (F.col("n") < RARE)), "A_macro_ap_common": mean(whole & (F.col("n") >= RARE))}
@@ -64,20 +71,15 @@ def headline(rows: DataFrame, units: DataFrame, by: list[str] | None = None, wei
     out = out.join(F.broadcast(none), "metric", "left_anti").select(*by, "metric", "value")  # two rows at most
     one = lambda df, tier: df.select(*by, F.concat(F.lit(f"{tier}_ap:"), "class").alias("metric"), F.col("ap").alias("value"))
     b = rows.filter("tier = 'B'")
-    by_heard = metrics.average_precision(b.filter("not masked_out").join(heard, "class"), [*by, "class"], weight=weight)
-    clip = [*by, "unit_id"]
-    best = b.withColumn("__w", F.lit(1.0) if weight is None else weight).groupBy(*clip).agg(F.max("score").alias("score"), F.first(F.col("kind") == "frog").alias("y"), F.max("__w").alias("__w"))
-    found = metrics.average_precision(best, by, weight=F.col("__w")).select(*by, F.lit("B_detection_ap").alias("metric"), F.col("ap").alias("value"))
+    by_heard = precision(b.filter("not masked_out").join(heard, "class"), ["class"], "aru")
+    best = b.groupBy("unit_id").agg(F.max("score").alias("score"), F.first(F.col("kind") == "frog").alias("y"), F.first("split_group").alias("split_group"))
+    found = precision(best, [], "aru").select(*by, F.lit("B_detection_ap").alias("metric"), F.col("ap").alias("value"))
     return out.union(one(by_class.filter(whole), "A")).union(_long(by_heard, by, {"B_macro_ap": F.avg("ap")})).union(one(by_heard, "B")).union(found)
 
 
 def summarize(rows: DataFrame, units: DataFrame, n_boot: int = 500) -> DataFrame:
     """(metric, value, ci_lo, ci_hi): headline metrics with percentile intervals over resamples of each tier's groups."""
-    drawn = []
-    for tier, domain in (("A", "focal"), ("B", "aru")):
-        groups = units.filter((F.col("domain") == domain) & ~F.col("locked"))
-        drawn.append(rows.filter(F.col("tier") == tier).join(metrics.boot_weights(groups, "split_group", n_boot), "split_group"))
-    resampled = headline(drawn[0].unionByName(drawn[1]), units, ["boot_id"], F.col("weight"))
+    resampled = headline(rows, units, n_boot)
     return headline(rows, units).join(metrics.interval(resampled, ["metric"], "value"), "metric", "left")
 
 
@@ -147,14 +149,8 @@ def delta_headline(a: DataFrame, b: DataFrame, units: DataFrame, n_boot: int = 1
     lacks are left out."""
     point = headline(a, units).withColumnRenamed("value", "before").join(headline(b, units).withColumnRenamed("value", "after"), "metric")
 
-    def drawn(rows: DataFrame) -> DataFrame:
-        parts = []
-        for tier, domain in (("A", "focal"), ("B", "aru")):
-            groups = units.filter((F.col("domain") == domain) & ~F.col("locked"))
-            parts.append(rows.filter(F.col("tier") == tier).join(metrics.boot_weights(groups, "split_group", n_boot), "split_group"))
-        return headline(parts[0].unionByName(parts[1]), units, ["boot_id"], F.col("weight"))
-
-    both = drawn(a).withColumnRenamed("value", "before").join(drawn(b).withColumnRenamed("value", "after"), ["boot_id", "metric"])
+    drawn = lambda rows, name: headline(rows, units, n_boot).withColumnRenamed("value", name)
+    both = drawn(a, "before").join(drawn(b, "after"), ["boot_id", "metric"])
     spread = metrics.interval(both.withColumn("delta", F.col("after") - F.col("before")), ["metric"], "delta")
     out = point.select("metric", (F.col("after") - F.col("before")).alias("delta")).join(spread, "metric", "left")
     return out.withColumn("significant", F.coalesce((F.col("ci_lo") > 0) | (F.col("ci_hi") < 0), F.lit(False)))

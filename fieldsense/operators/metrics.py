@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldsense.operators.sizes import small
 
 #: Scores are cut into pieces of a thousandth for running sums; scores beyond +-1000 share the outermost pieces.
 PIECES_PER_UNIT, OUTERMOST = 1000, 1_000_000
@@ -83,15 +88,99 @@ def boot_weights(groups: DataFrame, group: str, n_boot: int) -> DataFrame:
     return draws.groupBy("boot_id", at.alias("place")).agg(F.count("*").alias("weight")).join(placed, "place").select("boot_id", group, "weight")
 
 
-def boot_average_precision(scores: DataFrame, keys: list[str], group: str, n_boot: int, score: str = "score", y: str = "y") -> DataFrame:
-    """boot_id, keys -> ap with group weights. Units are first summed by (keys, group, score), so resamples multiply
-    blocks, not units."""
-    by_group = scores.groupBy(*keys, group, F.col(score).alias("score")).agg(F.count_if(y).cast("double").alias("pos"), F.count("*").cast("double").alias("all"))
-    drawn = by_group.join(boot_weights(scores, group, n_boot), group)
-    blocks = drawn.groupBy("boot_id", *keys, "score").agg(F.sum(F.col("pos") * F.col("weight")).alias("d_tp"), F.sum(F.col("all") * F.col("weight")).alias("d_n"))
-    blocks = running_sums(blocks, ["boot_id", *keys], "score", {"tp": F.col("d_tp"), "n": F.col("d_n")})
-    gained = F.sum(F.col("d_tp") * F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)))
-    return blocks.groupBy("boot_id", *keys).agg(F.try_divide(gained, F.sum("d_tp")).alias("ap"))
+#: Pieces into which a key's scores are cut at quantiles, so that a key is many tasks; rows of weights held at a time.
+PIECES, TOGETHER = 16, 1024
+
+
+def _sums_by_draw(pos: np.ndarray, every: np.ndarray, draws: pa.Array, n_boot: int) -> np.ndarray:
+    """(2, rows, resamples): positives and all of each row times its group's draws."""
+    of_row = np.repeat(np.arange(len(pos)), np.diff(np.asarray(draws.offsets)))
+    drawn = draws.flatten()
+    w = np.zeros((len(pos), n_boot))
+    w[of_row, np.asarray(drawn.field(0))] = np.asarray(drawn.field(1))
+    return np.stack([pos[:, None] * w, every[:, None] * w])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
+def boot_average_precision(scores: DataFrame, keys: list[str], group: str, n_boot: int, score: str = "score", y: str = "y", weights: DataFrame | None = None) -> DataFrame:
+    """boot_id, keys -> ap with group weights, for the resamples in which the key has rows.
+
+    Rows are summed by (keys, group, score) and ranked once; all resamples of a sum are one array, made in the task from its
+    group's draws. A key's scores are cut into pieces at quantiles: a first pass sums whole pieces, a second runs through
+    each piece in order with what stands above it. So as many rows are shuffled for 1000 resamples as for one, and a task
+    holds a few arrays. The driver gets two arrays for each key and piece.
+    """
+    drawn = boot_weights(scores, group, n_boot) if weights is None else weights
+    drawn = drawn.groupBy(group).agg(F.collect_list(F.struct(F.col("boot_id").cast("int"), F.col("weight").cast("int"))).alias("draws"))  # n_boot at most
+    # One text stands for the keys; nulls and values never meet.
+    key = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys)) if keys else F.lit("")
+    sums = scores.groupBy(*keys, group, F.col(score).cast("double").alias("score")).agg(F.count_if(y).cast("double").alias("pos"), F.count("*").cast("double").alias("every"))
+    sums = sums.withColumn("key", key)
+    cuts = sums.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("rows"), F.percentile_approx("score", [k / PIECES for k in range(1, PIECES)], 1000).alias("cuts"))
+    # Short keys stay whole.
+    piece = F.when(F.col("rows") > TOGETHER, F.size(F.filter("cuts", lambda c: c >= F.col("score")))).otherwise(0)
+    rows = sums.join(small(cuts), F.col("key") == F.col("of")).withColumn("piece", piece).join(small(drawn), group)
+    rows = rows.select("key", "piece", "score", "pos", "every", "draws")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, np.ndarray] = {}
+        for batch in _slices(batches):
+            both = _sums_by_draw(*(np.asarray(batch.column(k)) for k in (3, 4)), batch.column(5), n_boot)
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for name in set(names):
+                own = [i for i, n in enumerate(names) if n == name]
+                found[name] = found.get(name, 0) + both[:, own].sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["key", "piece", "sums"])
+
+    whole: dict[str, dict[int, np.ndarray]] = {}
+    for r in rows.mapInArrow(totals, "key string, piece int, sums binary").toLocalIterator():
+        own = whole.setdefault(r["key"], {})
+        own[r["piece"]] = own.get(r["piece"], 0) + np.frombuffer(r["sums"]).reshape(2, -1)
+    above: dict[tuple, np.ndarray] = {}
+    for name, pieces in whole.items():
+        running = np.zeros((2, n_boot))
+        for p in sorted(pieces):
+            above[name, p], running = running, running + pieces[p]
+    shared = scores.sparkSession.sparkContext.broadcast(above)
+
+    def gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, name, run, gain, block, at = [], None, None, None, None, None
+
+        def close() -> None:
+            nonlocal run, gain
+            run = run + block
+            gain = gain + np.stack([block[0] * np.divide(run[0], run[1], out=np.zeros(n_boot), where=run[1] > 0), *block])
+
+        for batch in _slices(batches):
+            both = _sums_by_draw(*(np.asarray(batch.column(k)) for k in (3, 4)), batch.column(5), n_boot)
+            scored = np.asarray(batch.column(2).fill_null(np.nan))
+            for i, own in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if own != name or not (scored[i] == at or (np.isnan(scored[i]) and np.isnan(at))):
+                    if name is not None:
+                        close()
+                    if own != name:
+                        if name is not None:
+                            out.append((name[0], gain))
+                        name, run, gain = own, shared.value[own], np.zeros((3, n_boot))
+                    block, at = both[:, i].copy(), scored[i]
+                else:
+                    block += both[:, i]
+        if name is not None:
+            close()
+            out.append((name[0], gain))
+        for k, g in out:
+            yield pa.RecordBatch.from_arrays([pa.array([k] * n_boot, pa.string()), pa.array(np.arange(n_boot)), *map(pa.array, g)], names=["key", "boot_id", "gain", "tp", "n"])
+
+    ordered = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", F.desc("score"))
+    found = ordered.mapInArrow(gained, "key string, boot_id long, gain double, tp double, n double").groupBy("key", "boot_id").agg(*(F.sum(c).alias(c) for c in ("gain", "tp", "n")))
+    found = found.filter("n > 0").select("boot_id", "key", F.try_divide("gain", "tp").alias("ap"))
+    names = sums.select("key", *keys).distinct()
+    return found.join(small(names), "key").select("boot_id", *keys, "ap")
 
 
 def interval(values: DataFrame, keys: list[str], value: str) -> DataFrame:
