@@ -109,10 +109,13 @@ def q_topk_drops(spark, sf_dir):
     return d.orderBy("delta", "class", "split_group").limit(10)
 
 
-#: Resamples of the queries that SQL is compared with, then the reference's own: of a run and of a comparison.
-N_BOOT, N_BOOT_RUN, N_BOOT_COMPARE = 40, 500, 1000
-BOOT = f"""g AS (SELECT split_group, row_number() OVER (ORDER BY split_group) - 1 AS place, count(*) OVER () AS g FROM (SELECT DISTINCT split_group FROM units)),
-  draws AS (SELECT b AS boot_id, ('0x' || substr(md5(CAST(b AS VARCHAR) || '-' || CAST(j AS VARCHAR)), 1, 8))::BIGINT % (SELECT max(g) FROM g) AS place FROM range({N_BOOT}) x(b), range((SELECT max(g) FROM g)) y(j)),
+#: Resamples of a run and of a comparison, as many as the reference draws.
+N_BOOT_RUN, N_BOOT_COMPARE = 500, 1000
+
+
+def boot(n: int) -> str:
+    return f"""g AS (SELECT split_group, row_number() OVER (ORDER BY split_group) - 1 AS place, count(*) OVER () AS g FROM (SELECT DISTINCT split_group FROM units)),
+  draws AS (SELECT b AS boot_id, ('0x' || substr(md5(CAST(b AS VARCHAR) || '-' || CAST(j AS VARCHAR)), 1, 8))::BIGINT % (SELECT max(g) FROM g) AS place FROM range({n}) x(b), range((SELECT max(g) FROM g)) y(j)),
   w AS (SELECT boot_id, split_group, count(*) AS weight FROM draws JOIN g USING (place) GROUP BY 1, 2)"""
 
 
@@ -122,62 +125,60 @@ def boot_sql(score: str) -> str:
       FROM units JOIN w USING (split_group) GROUP BY 1, 2, 3) WINDOW o AS (PARTITION BY boot_id, class ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2)"""
 
 
-@query(f"WITH {UNITS}, {BOOT} SELECT boot_id, split_group, weight FROM w")
-def q_boot_weights(spark, sf_dir):
-    return metrics.boot_weights(units(spark, sf_dir), "split_group", N_BOOT)
-
-
-@query(f"WITH {UNITS}, {BOOT} SELECT boot_id, class, round(ap, 9) AS ap FROM {boot_sql('score_a')}")
-def q_boot_ap(spark, sf_dir):
-    return metrics.boot_average_precision(units(spark, sf_dir), ["class"], "split_group", N_BOOT, "score_a").withColumn("ap", F.round("ap", 9))
-
-
-DELTA = f"""{UNITS}, {BOOT}, dd AS (SELECT class, b.ap - a.ap AS d FROM {boot_sql('score_a')} a JOIN {boot_sql('score_b')} b USING (boot_id, class)),
-  delta AS (SELECT class, round(b.ap - a.ap, 8) AS delta, round(quantile_cont(d, 0.025), 8) AS ci_lo, round(quantile_cont(d, 0.975), 8) AS ci_hi FROM {ap_sql('units', 'class')} a JOIN {ap_sql('units', 'class', 'score_b')} b USING (class) JOIN dd USING (class) GROUP BY ALL)"""
+WEIGHTS_SQL = f"WITH {UNITS}, {boot(N_BOOT_RUN)} SELECT boot_id, split_group, weight FROM w"
+BOOT_AP_SQL = f"WITH {UNITS}, {boot(N_BOOT_RUN)} SELECT boot_id, class, round(ap, 9) AS ap FROM {boot_sql('score_a')}"
 
 
-@query()
-def q_boot_weights_run(spark, sf_dir):
-    """q_boot_weights with the resamples of a run."""
+@query(WEIGHTS_SQL)
+def q_boot_weights(spark, sf_dir):
     return metrics.boot_weights(units(spark, sf_dir), "split_group", N_BOOT_RUN)
 
 
-@query()
-def q_boot_ap_run(spark, sf_dir):
-    """q_boot_ap with the resamples of a run."""
+@query(BOOT_AP_SQL)
+def q_boot_ap(spark, sf_dir):
     return metrics.boot_average_precision(units(spark, sf_dir), ["class"], "split_group", N_BOOT_RUN, "score_a").withColumn("ap", F.round("ap", 9))
 
 
-def _delta(spark, sf_dir, n_boot=N_BOOT):
-    d = metrics.paired_delta(units(spark, sf_dir), ["class"], "split_group", n_boot, "score_a", "score_b")
-    return d.select("class", *[F.round(c, 8).alias(c) for c in ("delta", "ci_lo", "ci_hi")], "significant")
+DELTA = f"""{UNITS}, {boot(N_BOOT_COMPARE)}, dd AS (SELECT class, b.ap - a.ap AS d FROM {boot_sql('score_a')} a JOIN {boot_sql('score_b')} b USING (boot_id, class)),
+  delta AS (SELECT class, round(b.ap - a.ap, 8) AS delta, round(quantile_cont(d, 0.025), 8) AS ci_lo, round(quantile_cont(d, 0.975), 8) AS ci_hi FROM {ap_sql('units', 'class')} a JOIN {ap_sql('units', 'class', 'score_b')} b USING (class) JOIN dd USING (class) GROUP BY ALL)"""
+DELTA_SQL = f"WITH {DELTA} SELECT *, ci_lo > 0 OR ci_hi < 0 AS significant FROM delta"
+DECIDE_SQL = f"WITH {DELTA} SELECT round(avg(delta), 7) AS delta, coalesce(min(ci_lo) > 0 AND min(delta) >= -0.05e0, false) AS adopt FROM delta"
 
 
-@query(f"WITH {DELTA} SELECT *, ci_lo > 0 OR ci_hi < 0 AS significant FROM delta")
+@query(DELTA_SQL)
 def q_paired_delta(spark, sf_dir):
-    return _delta(spark, sf_dir)
+    d = metrics.paired_delta(units(spark, sf_dir), ["class"], "split_group", N_BOOT_COMPARE, "score_a", "score_b")
+    return d.select("class", *[F.round(c, 8).alias(c) for c in ("delta", "ci_lo", "ci_hi")], "significant")
 
 
-@query(f"WITH {DELTA} SELECT round(avg(delta), 7) AS delta, coalesce(min(ci_lo) > 0 AND min(delta) >= -0.05e0, false) AS adopt FROM delta")
+@query(DECIDE_SQL)
 def q_decide(spark, sf_dir):
-    return _decision(_delta(spark, sf_dir))
+    d = q_paired_delta(spark, sf_dir).agg(F.avg("delta").alias("delta"), F.min("ci_lo").alias("lo"), F.min("delta").alias("worst"))
+    return d.select(F.round("delta", 7).alias("delta"), metrics.decide(F.col("delta"), F.col("lo"), F.col("worst")).alias("adopt"))
 
 
-def _decision(delta):
-    d = delta.agg(F.avg("delta").alias("delta"), F.min("ci_lo").alias("lo"), F.min("delta").alias("worst"))
-    return d.select(F.round("delta", 7).alias("delta"), metrics.decide(F.col("delta"), F.col("lo"), F.col("worst")).alias("adopt"))
+@query(WEIGHTS_SQL)
+def q_boot_weights_run(spark, sf_dir):
+    """Another name of q_boot_weights, which now draws as many."""
+    return q_boot_weights(spark, sf_dir)
 
 
-@query()
+@query(BOOT_AP_SQL)
+def q_boot_ap_run(spark, sf_dir):
+    """Another name of q_boot_ap, which now draws as many."""
+    return q_boot_ap(spark, sf_dir)
+
+
+@query(DELTA_SQL)
 def q_paired_delta_compare(spark, sf_dir):
-    """q_paired_delta with the resamples of a comparison."""
-    return _delta(spark, sf_dir, N_BOOT_COMPARE)
+    """Another name of q_paired_delta, which now draws as many."""
+    return q_paired_delta(spark, sf_dir)
 
 
-@query()
+@query(DECIDE_SQL)
 def q_decide_compare(spark, sf_dir):
-    """q_decide with the resamples of a comparison."""
-    return _decision(_delta(spark, sf_dir, N_BOOT_COMPARE))
+    """Another name of q_decide, which now draws as many."""
+    return q_decide(spark, sf_dir)
 
 
 #: Units as evaluation takes them (recorder clips without a call are background) and the judged rows.
@@ -253,18 +254,53 @@ def q_headline(spark, sf_dir):
     return _rounded(evaluation.headline(*_judged(spark, sf_dir)), "value")
 
 
-@query()
+def tier_draws(n: int) -> str:
+    """Draws of each tier's groups, by tier, boot_id and split_group."""
+    return f"""tg AS (SELECT tier, split_group, row_number() OVER (PARTITION BY tier ORDER BY split_group) - 1 AS place, count(*) OVER (PARTITION BY tier) AS g
+    FROM (SELECT DISTINCT CASE WHEN domain = 'focal' THEN 'A' ELSE 'B' END AS tier, split_group FROM eu WHERE NOT locked)),
+  td AS (SELECT tier, b AS boot_id, ('0x' || substr(md5(CAST(b AS VARCHAR) || '-' || CAST(j AS VARCHAR)), 1, 8))::BIGINT % g AS place FROM (SELECT tier, g, unnest(range(g)) AS j FROM (SELECT DISTINCT tier, g FROM tg)), range({n}) x(b)),
+  tw AS (SELECT tier, boot_id, split_group, count(*) AS weight FROM td JOIN tg USING (tier, place) GROUP BY ALL)"""
+
+
+def drawn_ap_sql(source: str, keys: str) -> str:
+    by = f"boot_id, {keys}" if keys else "boot_id"
+    own = f"{keys}," if keys else ""
+    return f"""(SELECT {by}, CASE WHEN sum(d_tp) > 0 THEN sum(d_tp * tp / n) / sum(d_tp) END AS ap FROM (SELECT {by}, d_tp, CAST(sum(d_tp) OVER o AS DOUBLE) AS tp, CAST(sum(d_n) OVER o AS DOUBLE) AS n FROM (
+      SELECT {by}, score, CAST(sum(weight * p) AS DOUBLE) AS d_tp, CAST(sum(weight * c) AS DOUBLE) AS d_n FROM (SELECT {own} tier, split_group, score, count(*) FILTER (y) AS p, count(*) AS c FROM {source} GROUP BY ALL) JOIN tw USING (tier, split_group) GROUP BY ALL)
+      WINDOW o AS (PARTITION BY {by} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY {by})"""
+
+
+def headline_sql(j: str, name: str, drawn: bool) -> str:
+    """Common table expressions that end in `name`: headline metrics of judged rows j, by boot_id if drawn."""
+    ap = (lambda source, keys: drawn_ap_sql(source, keys)) if drawn else (lambda source, keys: ap_sql(source, keys, "score"))
+    by, group = ("boot_id,", "GROUP BY boot_id") if drawn else ("", "")
+    part = lambda metric, value, source, more="": f"SELECT {by} {metric} AS metric, {value} AS value FROM {source} {more}"
+    whole = f"{name}_a WHERE part = 'all'"
+    parts = [part("'A_macro_ap'", "avg(ap) FILTER (part = 'all')", f"{name}_a", group), part("'A_macro_ap_leakage_safe'", "avg(ap) FILTER (part = 'leakage_safe')", f"{name}_a", group), part("'A_macro_ap_air'", "avg(ap) FILTER (part = 'air')", f"{name}_a", group)]
+    parts += [part("'A_macro_ap_rare'", "avg(ap)", f"{whole} AND n < 30", f"{group} HAVING count(*) > 0"), part("'A_macro_ap_common'", "avg(ap)", f"{whole} AND n >= 30", f"{group} HAVING count(*) > 0"), part("'A_ap:' || class", "ap", whole)]
+    parts += [part("'B_macro_ap'", "avg(ap)", f"{name}_b", group), part("'B_ap:' || class", "ap", f"{name}_b"), part("'B_detection_ap'", "ap", ap(f"{name}_d", ""))]
+    return f"""{name}_j AS (SELECT k.*, unnest(list_filter(['all', CASE WHEN leakage_safe THEN 'leakage_safe' END, CASE WHEN medium = 'air' THEN 'air' END], lambda x: x IS NOT NULL)) AS part FROM (SELECT x.* FROM {j} x JOIN ev USING (class) WHERE tier = 'A' AND NOT masked_out) k),
+  {name}_a AS (SELECT a.*, n FROM {ap(f"{name}_j", "class, part")} a JOIN ev USING (class)), {name}_b AS (SELECT * FROM {ap(f"(SELECT x.* FROM {j} x JOIN heard USING (class) WHERE tier = 'B' AND NOT masked_out)", "class")}),
+  {name}_d AS (SELECT unit_id, tier, split_group, max(score) AS score, bool_or(kind = 'frog') AS y FROM {j} WHERE tier = 'B' GROUP BY ALL), {name} AS ({" UNION ALL ".join(parts)})"""
+
+
+@query(f"""WITH {JUDGED}, {tier_draws(N_BOOT_RUN)}, {headline_sql("j", "point", False)}, {headline_sql("j", "drawn", True)},
+  ci AS (SELECT metric, quantile_cont(value, 0.025) AS ci_lo, quantile_cont(value, 0.975) AS ci_hi FROM drawn GROUP BY 1)
+  SELECT metric, round(value, 7) AS value, round(ci_lo, 7) AS ci_lo, round(ci_hi, 7) AS ci_hi FROM point LEFT JOIN ci USING (metric)""")
 def q_run_summary(spark, sf_dir):
     """Headline metrics of a run with intervals over its 500 resamples."""
-    return evaluation.summarize(*_judged(spark, sf_dir), N_BOOT_RUN)
+    return _rounded(evaluation.summarize(*_judged(spark, sf_dir), N_BOOT_RUN), "value", "ci_lo", "ci_hi")
 
 
-@query()
+@query(f"""WITH {JUDGED}, j2 AS (SELECT * REPLACE (CASE WHEN y AND unit_id % 3 > 0 THEN (score + 1) / 2 ELSE score END AS score) FROM j), {tier_draws(N_BOOT_COMPARE)}, {headline_sql("j", "one", False)}, {headline_sql("j2", "two", False)},
+  {headline_sql("j", "drawn1", True)}, {headline_sql("j2", "drawn2", True)}, ci AS (SELECT metric, quantile_cont(b.value - a.value, 0.025) AS ci_lo, quantile_cont(b.value - a.value, 0.975) AS ci_hi FROM drawn1 a JOIN drawn2 b USING (boot_id, metric) GROUP BY 1),
+  out AS (SELECT metric, round(two.value - one.value, 7) AS delta, round(ci_lo, 7) AS ci_lo, round(ci_hi, 7) AS ci_hi FROM one JOIN two USING (metric) LEFT JOIN ci USING (metric))
+  SELECT *, coalesce(ci_lo > 0 OR ci_hi < 0, false) AS significant FROM out""")
 def q_compare_runs(spark, sf_dir):
     """Headline deltas of two runs over 1000 resamples."""
     rows, u = _judged(spark, sf_dir)
     better = rows.withColumn("score", F.when(F.col("y") & (F.col("unit_id") % 3 > 0), (F.col("score") + 1) / 2).otherwise(F.col("score")))
-    return evaluation.delta_headline(rows, better, u, N_BOOT_COMPARE)
+    return _rounded(evaluation.delta_headline(rows, better, u, N_BOOT_COMPARE), "delta", "ci_lo", "ci_hi")
 
 
 @query(f"WITH {UNITS}, f AS (SELECT * FROM {ap_sql('units', 'fold, class')}), c AS (SELECT class, avg(ap) AS m, stddev_samp(ap) AS sd FROM f GROUP BY 1) SELECT round(avg(m), 8) AS ap, round(avg(sd), 8) AS sd FROM c")
