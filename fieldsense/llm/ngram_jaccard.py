@@ -210,10 +210,10 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, settings: S
     return links
 
 
-def crossing(opened: DataFrame, seconds: DataFrame, settings: Settings) -> DataFrame:
+def crossing(opened: DataFrame, placed: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """(gid_a, component_a, gid_b, component_b) of groups in different components that share an element where it can
-    matter. opened: token, gid, n, pos, component; seconds: gid, component, other, the prefix and the one element more of
-    each of the group's members in the component: members share the prefix only."""
+    matter. opened: token, gid, n, pos, component; placed: gid, component, cid of a group's members; classes: cid, longer, the
+    prefix and the one element more: members share the prefix only, so second elements come from each of them."""
     t = settings.percent / 100
     side = lambda df, s: df.select(*(F.col(c) if c in ("token", "other") else F.col(c).alias(f"{c}_{s}") for c in df.columns))
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -227,7 +227,10 @@ def crossing(opened: DataFrame, seconds: DataFrame, settings: Settings) -> DataF
     if crowded.isEmpty():
         return side(opened, "a").join(side(opened, "b"), "token").filter(near).select(*pair)
     few = opened.join(crowded, "token", "left_anti")
-    lots = opened.join(crowded, "token", "left_semi").join(seconds, ["gid", "component"]).filter("other <> token")
+    lots = opened.join(crowded, "token", "left_semi")
+    holders = placed.join(lots.select("gid", "component").distinct(), ["gid", "component"], "left_semi")
+    seconds = holders.join(classes.select("cid", "longer"), "cid").select("gid", "component", F.explode("longer").alias("other")).distinct()
+    lots = lots.join(seconds, ["gid", "component"]).filter("other <> token")
     found = side(few, "a").join(side(few, "b"), "token").filter(near)
     twice = side(lots, "a").join(side(lots, "b"), ["token", "other"]).filter(near)
     return found.select(*pair).union(twice.select(*pair))
@@ -278,8 +281,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), carried: t
     # Members of one group share its whole prefix, also where no other group holds any of it.
     unit = lambda s: units.join(several, "gid", "left_semi").select("gid", F.col("component").alias(f"component_{s}"))
     within = unit("a").join(unit("b"), "gid").filter("component_a < component_b")
-    seconds = placed.join(classes.select("cid", "longer"), "cid").select("gid", "component", F.explode("longer").alias("other")).distinct()
-    between = crossing(opened, seconds, settings).union(within.select(F.col("gid").alias("gid_a"), "component_a", F.col("gid").alias("gid_b"), "component_b")).distinct()
+    between = crossing(opened, placed, classes, settings).union(within.select(F.col("gid").alias("gid_a"), "component_a", F.col("gid").alias("gid_b"), "component_b")).distinct()
     side = lambda s, c: placed.select(F.col("gid").alias(f"gid_{s}"), F.col("component").alias(f"component_{s}"), F.col("cid").alias(c))
     second = between.join(side("a", "a"), ["gid_a", "component_a"]).join(side("b", "b"), ["gid_b", "component_b"])
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
