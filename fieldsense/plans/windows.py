@@ -142,3 +142,19 @@ def q_activity_udf(spark, sf_dir):
             yield pdf[["vec_id", "db"]]
 
     return read(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, db array<double>")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding, unnest(range(3)) AS f FROM embeddings WHERE embedding IS NOT NULL), x AS (SELECT vec_id, f, unnest(range(32)) AS k, embedding FROM v),
+  w AS (SELECT vec_id, f, k, CAST(embedding[f * 16 + k + 1] AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * k / 31)) AS a FROM x),
+  p AS (SELECT vec_id, f, b, sum(a * cos(2 * pi() * b * k / 32)) ** 2 + sum(a * sin(2 * pi() * b * k / 32)) ** 2 AS e FROM w, range(2, 11) t(b) GROUP BY 1, 2, 3),
+  levels AS (SELECT vec_id, f * 0.25e0 AS at_s, 10 * log10(sum(e) + 1e-10) AS db FROM p GROUP BY 1, 2),
+  spans AS (SELECT vec_id, i AS window_idx, i * 0.25e0 AS start_s, i * 0.25e0 + 0.5 AS end_s FROM embeddings, range(3) t(i)),
+  tops AS (SELECT s.vec_id, window_idx, quantile_cont(db, 0.95) AS top FROM spans s JOIN levels l ON l.vec_id = s.vec_id AND at_s >= start_s AND at_s < end_s GROUP BY 1, 2)
+  SELECT s.vec_id, CAST(window_idx AS INTEGER) AS window_idx, round(coalesce(top - floor, 0), 5) AS activity_db FROM spans s LEFT JOIN tops USING (vec_id, window_idx) LEFT JOIN (SELECT vec_id, quantile_cont(db, 0.2) AS floor FROM levels GROUP BY 1) USING (vec_id)""")
+def q_activity(spark, sf_dir):
+    """Vectors as sounds of one second: loudness of half-second windows between 4 and 20 Hz."""
+    e = read(spark, sf_dir, "embeddings")
+    levels = windows.frame_levels(e.select("vec_id", F.lit(64).alias("rate"), F.col("embedding").alias("samples")), "vec_id", 32, 16, 4.0, 20.0)
+    spans = windows.frame(e.select("vec_id", F.lit(1.0).alias("duration_s")), 0.5, 0.25)
+    out = windows.activity(spans, levels, "vec_id", 0.5)
+    return out.select("vec_id", F.col("window_idx").cast("int").alias("window_idx"), F.round("activity_db", 5).alias("activity_db"))

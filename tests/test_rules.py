@@ -82,12 +82,15 @@ def test_weak_states(spark):
     assert got == {(1, 0): "pos", (2, 0): "pos", (2, 1): "uncertain", (2, 2): "pos", (3, 0): "pos", (3, 1): "uncertain"}
 
 
-def test_tone_is_louder_than_noise():
+def test_tone_is_louder_than_noise(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 0.01, 32_000)
     x[16_000:] += np.sin(np.arange(16_000) * 2 * np.pi * 1000 / 16_000)
-    quiet, loud = windows.activity_db(x, 16_000, [0.0, 1.0], 1.0)
-    assert loud > quiet + 20 and windows.activity_db(x[:100], 16_000, [0.0], 1.0) == [0.0]
+    sounds = spark.createDataFrame([("a", 16_000, x.tolist()), ("short", 16_000, x[:100].tolist()), ("none", None, None)], "r string, rate int, samples array<double>")
+    spans = spark.createDataFrame([(r, k, float(k), k + 1.0) for r in ("a", "short", "none") for k in (0, 1)], "r string, window_idx int, start_s double, end_s double")
+    got = {(r["r"], r["window_idx"]): r["activity_db"] for r in windows.activity(spans, windows.frame_levels(sounds, "r", together=7), "r").collect()}
+    quiet, loud = got["a", 0], got["a", 1]
+    assert loud > quiet + 20 and all(got[r, k] == 0.0 for r in ("short", "none") for k in (0, 1))
 
 
 def test_merge_labels_and_keep_first(spark):
