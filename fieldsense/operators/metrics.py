@@ -8,17 +8,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from fieldsense.operators.sizes import small
 
-#: Scores are cut into pieces of a thousandth for running sums; scores beyond +-1000 share the outermost pieces.
-PIECES_PER_UNIT, OUTERMOST = 1000, 1_000_000
+#: Pieces to a doubling of a score, or of its distance from 1.
+FINE = 64
 
 
 def piece(score: Column) -> Column:
-    """A whole number that never falls as the score rises; nulls below all, NaN above."""
-    bounded = F.greatest(F.lit(-OUTERMOST), F.least(F.lit(OUTERMOST), F.floor(score * PIECES_PER_UNIT)))
-    return F.when(score.isNull(), -OUTERMOST - 1).when(F.isnan(score.cast("double")), OUTERMOST + 1).otherwise(bounded).cast("int")
+    """A whole number that never falls as the score rises; nulls below all, NaN above.
+
+    Pieces are narrow where probabilities crowd: each doubling of the score has FINE of them up to 1/2 and from 1 up, and
+    each halving of its distance from 1 in between; negative scores mirror the positive ones.
+    """
+    size = F.abs(score.cast("double"))
+    steps = lambda x: F.floor(F.log2(x) * FINE)
+    # From -70,000 (zero) to 70,000 (infinity).
+    grade = F.when(size == 0, -70_000).when(size < 0.5, steps(size)).when(size < 1, -steps(1 - size)).when(size < float("inf"), 4_000 + steps(size)).otherwise(70_000)
+    signed = F.when(score < 0, -140_000 - grade).otherwise(grade)
+    return F.when(score.isNull(), -300_000).when(F.isnan(score.cast("double")), 300_000).otherwise(signed).cast("int")
 
 
 def running_sums(rows: DataFrame, keys: list[str], score: str, sums: dict[str, Column], *ties: str) -> DataFrame:
@@ -122,8 +131,9 @@ def boot_average_precision(scores: DataFrame, keys: list[str], group: str, n_boo
     sums = scores.groupBy(*keys, group, F.col(score).cast("double").alias("score")).agg(F.count_if(y).cast("double").alias("pos"), F.count("*").cast("double").alias("every"))
     sums = sums.withColumn("key", key)
     cuts = sums.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("rows"), F.percentile_approx("score", [k / PIECES for k in range(1, PIECES)], 1000).alias("cuts"))
-    # Short keys stay whole.
-    piece = F.when(F.col("rows") > TOGETHER, F.size(F.filter("cuts", lambda c: c >= F.col("score")))).otherwise(0)
+    # Short keys stay whole; nulls come last.
+    cut = F.when(F.col("score").isNull(), PIECES).otherwise(F.size(F.filter("cuts", lambda c: c >= F.col("score"))))
+    piece = F.when(F.col("rows") > TOGETHER, cut).otherwise(0)
     rows = sums.join(small(cuts), F.col("key") == F.col("of")).withColumn("piece", piece).join(small(drawn), group)
     rows = rows.select("key", "piece", "score", "pos", "every", "draws")
 
@@ -184,11 +194,57 @@ def boot_average_precision(scores: DataFrame, keys: list[str], group: str, n_boo
 
 
 def interval(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys -> ci_lo, ci_hi: the 2.5 and 97.5 percentiles with linear interpolation; nulls are left out."""
+    """keys -> ci_lo, ci_hi: the 2.5 and 97.5 percentiles with linear interpolation; nulls are left out. For resamples, of
+    which a key has a bounded number; `quantiles` is for keys of any size."""
     both = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
     return values.groupBy(*keys).agg(both.alias("ci")).select(*keys, F.col("ci")[0].alias("ci_lo"), F.col("ci")[1].alias("ci_hi"))
 
 
+def quantiles(values: DataFrame, keys: list[str], value: str, shares: list[float], bins: int = 1024) -> DataFrame:
+    """keys -> q0, q1, ...: exact quantiles at these shares with linear interpolation, for keys of many rows.
+
+    Selection by histograms: each rank that is asked for has a range of values that holds it; a round counts the range's
+    values in `bins` bins of equal width and keeps the bin with the rank, from its least to its greatest value, until that is
+    one value. A round is one scan with a map-side sum, and no buffer grows with distinct values. Keys are names: a few
+    numbers for each come to the driver. Nulls, NaN and infinities are left out; a key without values has no row.
+    """
+    number = F.col(value).cast("double")
+    finite = values.select(*keys, number.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") < float("inf")))
+    spark, kinds = values.sparkSession, [finite.schema[k] for k in keys]
+    found = finite.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count("*").alias("n")).collect()
+    ranks: dict[tuple, tuple[float, float, int]] = {}  # key number and rank: range, and how many values lie below
+    for i, r in enumerate(found):
+        for q in shares:
+            at = q * (r["n"] - 1)
+            for rank in {int(at), min(int(at) + 1, r["n"] - 1)}:
+                ranks[i, rank] = (r["lo"], r["hi"], 0)
+    names = StructType([StructField(f"__k{j}", k.dataType) for j, k in enumerate(kinds)] + [StructField("__i", LongType())])
+    named = spark.createDataFrame([(*(r[k] for k in keys), i) for i, r in enumerate(found)], names)
+    same = F.lit(True)
+    for j, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{j}"))
+    numbered = finite.join(small(named), same).select("__i", "__v")
+    while open_ := [(i, rank, lo, hi, below) for (i, rank), (lo, hi, below) in ranks.items() if lo < hi]:
+        asked = spark.createDataFrame(open_, "__of long, rank long, lo double, hi double, below long")
+        met = numbered.join(small(asked), (F.col("__i") == F.col("__of")) & F.col("__v").between(F.col("lo"), F.col("hi")))
+        # Halves keep the width of a range finite.
+        place = F.least(F.lit(bins - 1), F.floor((F.col("__v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins))
+        counted = met.groupBy("__of", "rank", "below", place.alias("bin")).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("__of", "rank").orderBy("bin")) + F.col("below")
+        held = counted.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        for r in held.collect():
+            ranks[r["__of"], r["rank"]] = (r["lo"], r["hi"], r["upto"] - r["n"])
+    rows = []
+    for i, r in enumerate(found):
+        own = []
+        for q in shares:
+            at = q * (r["n"] - 1)
+            low, high = ranks[i, int(at)][0], ranks[i, min(int(at) + 1, r["n"] - 1)][0]
+            own.append(low + (high - low) * (at - int(at)))
+        rows.append((*(r[k] for k in keys), *own))
+    return spark.createDataFrame(rows, StructType([*kinds, *(StructField(f"q{j}", DoubleType()) for j in range(len(shares)))]))
+
+
 def paired_delta(scores: DataFrame, keys: list[str], group: str, n_boot: int, a: str, b: str, y: str = "y") -> DataFrame:
     """keys -> delta, ci_lo, ci_hi, significant for run b against run a over the same resamples."""
     base = lambda s: average_precision(scores, keys, s, y).withColumnRenamed("ap", s)

@@ -260,9 +260,10 @@ def q_pos_share(spark, sf_dir):
 
 @query("""SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.025), 4) AS ci_lo, round(quantile_cont(o_totalprice, 0.975), 4) AS ci_hi FROM orders GROUP BY 1""")
 def q_quantile_ci(spark, sf_dir):
-    from fieldsense.operators.metrics import interval
+    from fieldsense.operators.metrics import quantiles
 
-    return interval(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice").select("o_orderpriority", F.round("ci_lo", 4).alias("ci_lo"), F.round("ci_hi", 4).alias("ci_hi"))
+    found = quantiles(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", [0.025, 0.975])
+    return found.select("o_orderpriority", F.round("q0", 4).alias("ci_lo"), F.round("q1", 4).alias("ci_hi"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
