@@ -41,7 +41,11 @@ SEPARATORS = (" ", "  ", "\n", "\t", "\r\n", " \x0b\x0c ")
 
 
 def splits_at_white_space(tokenizer) -> bool:
+    """Whether no vocabulary entry and no added string holds white space, and probes are encoded alike together and apart."""
     ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    own = [*tokenizer.get_vocab(with_added_tokens=True), *(t.content for t in tokenizer.get_added_tokens_decoder().values())]
+    if any(set(entry) & set("".join(SEPARATORS)) for entry in own):
+        return False
     return all(ids(a + s + b) == ids(a) + ids(b) for a in PROBES for b in PROBES for s in SEPARATORS) and not any(map(ids, SEPARATORS))
 
 

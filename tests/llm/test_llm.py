@@ -254,6 +254,20 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.count_tokens(table(spark, []), path).isEmpty()
 
 
+def test_token_counts_with_added_strings(spark, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    tokenizer.add_tokens(["New York"])
+    tokenizer.add_special_tokens([AddedToken("<end of text>", special=True)])
+    tokenizer.save(path := f"{tmp_path}/added.json")
+    rows = ODD + [(20, "in New York <end of text> and New  York"), (21, "New York")]
+    got = token_counts.count_tokens(table(spark, rows), path).collect()
+    want = [(r[0], len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows]
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter(want)
+    assert not token_counts.splits_at_white_space(tokenizer) and token_counts.splits_at_white_space(Tokenizer.from_file(P.path("word_bpe_49k.json")))
+
+
 @pytest.mark.parametrize("name,splits", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
 def test_token_counts_of_vocabularies_that_cross_white_space(spark, name, splits):
     from tokenizers import Tokenizer
