@@ -13,6 +13,7 @@ from fieldsense.plans import evaluation
 from fieldsense.plans.registry import query, read
 from fieldsense.plans.stand_ins import REC, UNITS, recordings, units
 from fieldsense.plans.windows import FOLD_SQL
+from fieldsense.sources import pages as page_tables
 from fieldsense.sources import readers
 from fieldsense.streaming import events as E
 
@@ -184,6 +185,32 @@ def q_html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.clean(F.regexp_replace("html", "<[^>]*>", " ")).alias("text"))
 
 
+PAGE_TOKENS = r"""shown AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>|[^<]+') AS t FROM pages),
+  each AS (SELECT page_id, url, i - 1 AS pos, t[i] AS token FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM shown)),
+  toks AS (SELECT *, CASE WHEN token LIKE '<%' THEN lower(regexp_extract(token, '^<(/?[a-zA-Z0-9]+)', 1)) END AS name,
+    CASE WHEN token NOT LIKE '<%' THEN trim(regexp_replace(replace(replace(replace(replace(replace(replace(token, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')) END AS text FROM each)"""
+
+
+@query(rf"""WITH {PAGE_TOKENS}, placed AS (SELECT *, sum(CAST(coalesce(name = 'a', false) AS INTEGER)) OVER w AS anchor, sum(CASE WHEN name = 'a' THEN 1 WHEN name = '/a' THEN -1 ELSE 0 END) OVER w AS inside,
+    last_value(CASE WHEN regexp_matches(text, '^[A-Z]') THEN text END IGNORE NULLS) OVER w AS section, last_value(CASE WHEN regexp_matches(text, '[.]$') THEN text END IGNORE NULLS) OVER w AS context FROM toks WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  own AS (SELECT page_id, anchor, trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '[ 	
+]+', ' ', 'g')) AS caption FROM placed WHERE inside > 0 AND text <> '' GROUP BY 1, 2),
+  links AS (SELECT *, trim(regexp_extract(token, '(?i)\shref\s*=\s*"([^"]*)"', 1)) AS target FROM placed WHERE name = 'a' AND regexp_matches(token, '(?i)\shref\s*=\s*"')),
+  whole AS (SELECT *, CASE WHEN regexp_matches(target, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN target WHEN target LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || target
+    ELSE regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || target END AS link FROM links)
+  SELECT page_id, CAST(pos AS INTEGER) AS pos, link, coalesce(caption, '') AS caption, section, context FROM whole LEFT JOIN own USING (page_id, anchor) QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY pos) = 1""")
+def q_page_links(spark, sf_dir):
+    """Links of pages, resolved, first of equal ones, with their text and the last capitalised and last whole sentence before."""
+    return page_tables.page_links(read(spark, sf_dir, "pages"), "page_id", "", {"section": "^[A-Z]", "context": r"[.]$"})
+
+
+@query(rf"""WITH {PAGE_TOKENS} SELECT page_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '[ 	
+]+', ' ', 'g')) AS text FROM toks WHERE text <> '' GROUP BY 1""")
+def q_page_text(spark, sf_dir):
+    """The shown text of pages, without scripts, styles and comments, entities undone."""
+    return page_tables.page_text(read(spark, sf_dir, "pages"), "page_id")
+
+
 def _occurs_sql(pattern: str, of: str = "s") -> str:
     return f"len(list_filter({of}, lambda x: regexp_matches(x, '(?i){pattern}'))) > 0"
 
