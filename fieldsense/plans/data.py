@@ -288,3 +288,35 @@ def q_card_validation(spark, sf_dir):
         except ValueError as e:
             rows.append((card["name"], str(e)))
     return spark.createDataFrame(rows, "name string, verdict string")
+
+
+@query("""WITH e AS (SELECT vec_id, 8000 + 1000 * (vec_id % 3) AS rate, vec_id % 10 AS kind, embedding FROM embeddings WHERE embedding IS NOT NULL)
+  SELECT vec_id, CASE WHEN kind > 1 THEN CAST(rate AS INTEGER) END AS rate, CASE WHEN kind > 1 THEN round(len(embedding) / CAST(rate AS DOUBLE), 9) END AS duration_s, CASE kind WHEN 0 THEN 'data end early' WHEN 1 THEN 'not a RIFF WAVE file' END AS decode_error,
+    CASE WHEN kind > 1 THEN list_sum(list_transform(embedding[5:20], lambda x: CAST(round_even(CAST(x AS DOUBLE) * 10000, 0) AS BIGINT))) END AS total FROM e""")
+def q_sound_probe(spark, sf_dir):
+    """Vectors written as 16-bit WAVE files, some cut short or with another head: probed, and 16 samples of a window added up."""
+    import struct
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldsense.sources import sound
+
+    def written(batches):
+        for batch in batches:
+            out = []
+            for key, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = np.rint(np.asarray(vector.values, np.float64) * 10_000).astype("<i2").tobytes()
+                rate = 8000 + 1000 * (key % 3)
+                content = b"RIFF" + struct.pack("<I4s4sIHHIIHH4sI", 36 + len(data), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(data)) + data
+                out.append(content[:-2] if key % 10 == 0 else b"X" + content if key % 10 == 1 else content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "content"])
+
+    e = read(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", "embedding")
+    files = e.mapInArrow(written, "vec_id long, content binary")
+    probed = sound.probe(files, "vec_id").select("vec_id", "rate", F.round("duration_s", 9).alias("duration_s"), "decode_error")
+    # From the fifth sample on, sixteen at 8 kHz and as many at other rates.
+    rate = 8000 + 1000 * (F.col("vec_id") % 3)
+    windows = sound.cut(files.withColumn("starts", F.array(4 / rate)), 0.002, "vec_id")
+    total = F.round(F.aggregate(F.slice("samples", 1, 16), F.lit(0.0), lambda a, x: a + x * 32768)).cast("long")
+    return probed.join(windows.select("vec_id", total.alias("total")), "vec_id", "left")
