@@ -194,7 +194,8 @@ PAGE_TOKENS = r"""shown AS (SELECT page_id, url, regexp_extract_all(regexp_repla
 @query(rf"""WITH {PAGE_TOKENS}, placed AS (SELECT *, sum(CAST(coalesce(name = 'a', false) AS INTEGER)) OVER w AS anchor, sum(CASE WHEN name = 'a' THEN 1 WHEN name = '/a' THEN -1 ELSE 0 END) OVER w AS inside,
     last_value(CASE WHEN regexp_matches(text, '^[A-Z]') THEN text END IGNORE NULLS) OVER w AS section, last_value(CASE WHEN regexp_matches(text, '[.]$') THEN text END IGNORE NULLS) OVER w AS context FROM toks WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
   own AS (SELECT page_id, anchor, trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '[ 	
-]+', ' ', 'g')) AS caption FROM placed WHERE inside > 0 AND text <> '' GROUP BY 1, 2),
+
+]+', ' ', 'g')) AS caption FROM placed WHERE inside > 0 AND text <> '' GROUP BY 1, 2),
   links AS (SELECT *, trim(regexp_extract(token, '(?i)\shref\s*=\s*"([^"]*)"', 1)) AS target FROM placed WHERE name = 'a' AND regexp_matches(token, '(?i)\shref\s*=\s*"')),
   whole AS (SELECT *, CASE WHEN regexp_matches(target, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN target WHEN target LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || target
     ELSE regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || target END AS link FROM links)
@@ -205,7 +206,8 @@ def q_page_links(spark, sf_dir):
 
 
 @query(rf"""WITH {PAGE_TOKENS} SELECT page_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '[ 	
-]+', ' ', 'g')) AS text FROM toks WHERE text <> '' GROUP BY 1""")
+
+]+', ' ', 'g')) AS text FROM toks WHERE text <> '' GROUP BY 1""")
 def q_page_text(spark, sf_dir):
     """The shown text of pages, without scripts, styles and comments, entities undone."""
     return page_tables.page_text(read(spark, sf_dir, "pages"), "page_id")
@@ -328,10 +330,12 @@ def q_targets(spark, sf_dir):
     return units(spark, sf_dir).select("unit_id", V.targets(F.col("class"), CLASSES).alias("y"), V.target_mask(F.col("masked"), CLASSES).alias("m"))
 
 
-@query(f"WITH {UNITS} SELECT class, round(least(30, greatest(1, sqrt(count(*) FILTER (NOT y) / CAST(greatest(count(*) FILTER (y), 1) AS DOUBLE)))), 9) AS weight FROM units GROUP BY class")
+@query(f"WITH {UNITS}, u AS (SELECT * FROM units WHERE NOT list_contains(masked, class)) SELECT class, round(least(30, greatest(1, sqrt(count(*) FILTER (NOT y) / CAST(greatest(count(*) FILTER (y), 1) AS DOUBLE)))), 9) AS weight FROM u GROUP BY class")
 def q_pos_weights(spark, sf_dir):
+    """Weights of positives by class, over targets that aren't masked."""
     pos, neg = F.count_if("y").cast("double"), F.count_if(~F.col("y")).cast("double")
-    return units(spark, sf_dir).groupBy("class").agg(F.round(V.pos_weight(pos, neg), 9).alias("weight"))
+    open_ = units(spark, sf_dir).filter(~F.array_contains("masked", F.col("class")))
+    return open_.groupBy("class").agg(F.round(V.pos_weight(pos, neg), 9).alias("weight"))
 
 
 @query(f"""WITH {UNITS}, l AS (SELECT class, 4 * score_a - 2 AS z, CAST(y AS INTEGER) AS y, CASE WHEN list_contains(masked, class) THEN 0 ELSE 1 END AS m FROM units)
