@@ -159,8 +159,8 @@ def delta_headline(a: DataFrame, b: DataFrame, units: DataFrame, n_boot: int = 1
 def adopt(deltas: DataFrame) -> DataFrame:
     """One row (primary, delta, adopt): B_macro_ap if it is there, else A_macro_ap_rare decides; no class may lose more than
     0.05."""
-    worst = deltas.agg(F.min(F.when(F.contains("metric", F.lit(":")), F.col("delta"))).alias("worst"))
     order = F.when(F.col("metric") == "B_macro_ap", 0).when(F.col("metric") == "A_macro_ap_rare", 1)
-    best = deltas.withColumn("order", order).filter("order is not null").orderBy("order").limit(1)
-    decided = metrics.decide(F.col("delta"), F.col("ci_lo"), F.coalesce("worst", F.lit(0.0)))
-    return best.crossJoin(F.broadcast(worst)).select(F.col("metric").alias("primary"), "delta", decided.alias("adopt"))
+    worst = F.min(F.when(F.contains("metric", F.lit(":")), F.col("delta")))
+    both = deltas.agg(worst.alias("worst"), F.min_by(F.struct("metric", "delta", "ci_lo"), order).alias("best")).filter("best is not null")
+    decided = metrics.decide(F.col("best.delta"), F.col("best.ci_lo"), F.coalesce("worst", F.lit(0.0)))
+    return both.select(F.col("best.metric").alias("primary"), "best.delta", decided.alias("adopt"))

@@ -292,17 +292,30 @@ def q_run_summary(spark, sf_dir):
     return _rounded(evaluation.summarize(*_judged(spark, sf_dir), N_BOOT_RUN), "value", "ci_lo", "ci_hi")
 
 
-@query(f"""WITH {JUDGED}, j2 AS (SELECT * REPLACE (CASE WHEN y AND unit_id % 3 > 0 THEN (score + 1) / 2 ELSE score END AS score) FROM j), {tier_draws(N_BOOT_COMPARE)}, {headline_sql("j", "one", False)}, {headline_sql("j2", "two", False)},
+COMPARED = f"""WITH {JUDGED}, j2 AS (SELECT * REPLACE (CASE WHEN y AND unit_id % 3 > 0 THEN (score + 1) / 2 ELSE score END AS score) FROM j), {tier_draws(N_BOOT_COMPARE)}, {headline_sql("j", "one", False)}, {headline_sql("j2", "two", False)},
   {headline_sql("j", "drawn1", True)}, {headline_sql("j2", "drawn2", True)}, ci AS (SELECT metric, quantile_cont(b.value - a.value, 0.025) AS ci_lo, quantile_cont(b.value - a.value, 0.975) AS ci_hi FROM drawn1 a JOIN drawn2 b USING (boot_id, metric) GROUP BY 1),
-  out AS (SELECT metric, round(two.value - one.value, 7) AS delta, round(ci_lo, 7) AS ci_lo, round(ci_hi, 7) AS ci_hi FROM one JOIN two USING (metric) LEFT JOIN ci USING (metric))
-  SELECT *, coalesce(ci_lo > 0 OR ci_hi < 0, false) AS significant FROM out""")
-def q_compare_runs(spark, sf_dir):
-    """Headline deltas of two runs over 1000 resamples."""
+  out AS (SELECT metric, round(two.value - one.value, 7) AS delta, round(ci_lo, 7) AS ci_lo, round(ci_hi, 7) AS ci_hi FROM one JOIN two USING (metric) LEFT JOIN ci USING (metric))"""
+
+
+def _compared(spark, sf_dir):
     rows, u = _judged(spark, sf_dir)
     better = rows.withColumn("score", F.when(F.col("y") & (F.col("unit_id") % 3 > 0), (F.col("score") + 1) / 2).otherwise(F.col("score")))
     return _rounded(evaluation.delta_headline(rows, better, u, N_BOOT_COMPARE), "delta", "ci_lo", "ci_hi")
 
 
+@query(f"{COMPARED} SELECT *, coalesce(ci_lo > 0 OR ci_hi < 0, false) AS significant FROM out")
+def q_compare_runs(spark, sf_dir):
+    """Headline deltas of two runs over 1000 resamples."""
+    return _compared(spark, sf_dir)
+
+
+@query(f"""{COMPARED}, worst AS (SELECT min(delta) FILTER (contains(metric, ':')) AS w FROM out), best AS (SELECT * FROM out WHERE metric IN ('B_macro_ap', 'A_macro_ap_rare') ORDER BY metric DESC LIMIT 1)
+  SELECT metric AS "primary", delta, coalesce(ci_lo > 0 AND coalesce(w, 0) >= -0.05, false) AS adopt FROM best, worst""")
+def q_adopt(spark, sf_dir):
+    """Whether the second of two runs is adopted, by its primary metric and its worst class."""
+    return evaluation.adopt(_compared(spark, sf_dir))
+
+
 @query(f"WITH {UNITS}, f AS (SELECT * FROM {ap_sql('units', 'fold, class')}), c AS (SELECT class, avg(ap) AS m, stddev_samp(ap) AS sd FROM f GROUP BY 1) SELECT round(avg(m), 8) AS ap, round(avg(sd), 8) AS sd FROM c")
 def q_learning_curve(spark, sf_dir):
     by_class = _ap(units(spark, sf_dir), ["fold", "class"]).groupBy("class").agg(F.avg("ap").alias("m"), F.stddev_samp("ap").alias("sd"))
