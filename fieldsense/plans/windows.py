@@ -134,14 +134,12 @@ def q_lc_grid(spark, sf_dir):
 
 @query()
 def q_activity_udf(spark, sf_dir):
-    """Loudness of each vector's windows, each vector taken as a short recording at 64 samples a second, repeated."""
-
-    def run(batches):
-        for pdf in batches:
-            pdf["db"] = [windows.activity_db([*v] * 40, 1024, [0.0, 1.0], 1.0) for v in pdf["embedding"]]
-            yield pdf[["vec_id", "db"]]
-
-    return read(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, db array<double>")
+    """Loudness of two windows of a second, each vector repeated 40 times as a recording of 1,024 samples a second."""
+    e = read(spark, sf_dir, "embeddings")
+    levels = windows.frame_levels(e.select("vec_id", F.lit(1024).alias("rate"), F.flatten(F.array_repeat("embedding", 40)).alias("samples")), "vec_id")
+    spans = e.select("vec_id", F.posexplode(F.array(F.lit(0.0), F.lit(1.0))).alias("window_idx", "start_s")).withColumn("end_s", F.col("start_s") + 1)
+    found = windows.activity(spans, levels, "vec_id", 1.0).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("window_idx", "activity_db"))).alias("w"))  # two a vector
+    return found.select("vec_id", F.transform("w", lambda w: w["activity_db"]).alias("db"))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding, unnest(range(3)) AS f FROM embeddings WHERE embedding IS NOT NULL), x AS (SELECT vec_id, f, unnest(range(32)) AS k, embedding FROM v),
