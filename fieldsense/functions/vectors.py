@@ -36,3 +36,9 @@ def bce(logit: Column, y: Column, weight: Column) -> Column:
 def max_at(values: Column, places: Column) -> Column:
     """Largest of the values at these places (from 0)."""
     return F.array_max(F.transform(places, lambda i: F.get(values, i)))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from 0; what becomes 0 keeps its sign, as doubles do elsewhere (round() alone drops it)."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * F.lit(0.0)).otherwise(near)

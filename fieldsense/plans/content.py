@@ -319,7 +319,7 @@ def q_zero_shot(spark, sf_dir):
   SELECT vec_id, list(round((v - m) / (sd + 1e-6), 5) ORDER BY i) AS embedding FROM x JOIN s USING (i) GROUP BY vec_id""")
 def q_standardize(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return V.standardize(e, "embedding", F.col("vec_id") % 5 > 0).select("vec_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
+    return V.standardize(e, "embedding", F.col("vec_id") % 5 > 0).select("vec_id", F.transform("embedding", lambda x: V.rounded(x, 5)).alias("embedding"))
 
 
 CLASSES = ["de", "en", "es", "fr"]
