@@ -45,10 +45,25 @@ def any_case(pattern: str) -> str:
     return f"(?i)(?:{pattern})"
 
 
+def _parts(text: Column) -> Column:
+    return F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
+
+
+def _describes(s: Column) -> Column:
+    return (s != "") & ~s.startswith(CAPTION_START) & ~s.rlike(any_case(RELEASE))
+
+
 def described(text: Column) -> Column:
     """Sentences that describe the call: no captions, no release calls."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
-    return F.filter(parts, lambda s: (s != "") & ~s.startswith(CAPTION_START) & ~s.rlike(any_case(RELEASE)))
+    return F.filter(_parts(text), _describes)
+
+
+def _says(s: Column) -> Column:
+    """Whether a sentence holds any of the words: most sentences don't, and only those that do are looked at by attribute.
+    Patterns that begin words are tried where words begin."""
+    patterns = [*PITCH.values(), QUIET, MODERATE, LOUD, *STRUCTURE.values(), *RISING.values(), UNDERWATER]
+    at_words = "|".join(p.removeprefix(r"\b").replace(r"|\b", "|") for p in patterns)
+    return s.rlike(any_case(rf"\b(?:{at_words})")) | s.rlike(any_case("|".join(p for p, *_ in [*DURATION, (NOTES_PER_SECOND,)])))
 
 
 def _occurs(sentences: Column, pattern: str) -> Column:
@@ -114,21 +129,24 @@ def evidence(df: DataFrame, key: str, sentences: str) -> DataFrame:
     case. Loud words count where no moderate or quiet phrase holds them; of durations, notes and water the first words
     count."""
 
+    said = df.select(key, F.filter(sentences, _says).alias(sentences))
+
     def words(field: str, pattern: str, without: str | None = None) -> Column:
         looked = lambda s: s if without is None else F.regexp_replace(s, any_case(without), " ")
         in_one = lambda s: F.transform(F.regexp_extract_all(looked(s), F.lit(any_case(pattern)), 0), lambda m: F.struct(F.lit(field).alias("field"), m.alias("match"), s.alias("sentence")))
         return F.flatten(F.transform(sentences, in_one))
 
     def first(*lists: Column) -> Column:
-        return F.slice(F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], lists[-1]), 1, 1)
+        return F.slice(F.concat(*lists), 1, 1)
 
     found = [words("pitch", p) for p in PITCH.values()] + [words("loudness", MODERATE), words("loudness", QUIET), words("loudness", LOUD, f"{MODERATE}|{QUIET}")]
     found += [first(*[words("duration_s", p) for p, *_ in DURATION]), first(words("notes_per_s", NOTES_PER_SECOND))]
     found += [words("structure", p) for p in STRUCTURE.values()] + [words("rising_pitch", p) for p in RISING.values()] + [first(words("underwater", UNDERWATER))]
-    once = lambda e: F.array_position(F.transform("all", lambda x: F.struct(x["field"], F.lower(x["match"]), x["sentence"])), F.struct(e["field"], F.lower(e["match"]), e["sentence"]))
-    listed = df.select(key, F.concat(*found).alias("all"))
-    unique = listed.select(key, F.filter("all", lambda e, i: once(e) == i + 1).alias("all"))
-    return unique.select(key, F.posexplode("all").alias("place", "e")).select(key, "place", "e.field", "e.match", "e.sentence")
+    listed = said.select(key, F.concat(*found).alias("all"))
+    names = listed.select(key, "all", F.transform("all", lambda e: F.struct(e["field"], F.lower(e["match"]), e["sentence"])).alias("names"))
+    unique = names.select(key, F.filter("all", lambda e, i: F.array_position("names", F.get("names", i)) == i + 1).alias("all"))
+    # From posexplode() Spark would infer a filter on the array and push it, with all it takes to compute it, below.
+    return unique.select(key, F.posexplode_outer("all").alias("place", "e")).filter("place is not null").select(key, "place", "e.field", "e.match", "e.sentence")
 
 
 def group_attributes(texts: DataFrame, group: str, member: str, text: str) -> DataFrame:

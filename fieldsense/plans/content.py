@@ -9,6 +9,7 @@ from fieldsense.functions import geo
 from fieldsense.functions import text as T
 from fieldsense.functions import vectors as V
 from fieldsense.operators import captions, metrics, pipelines, splits
+from fieldsense.operators.sizes import spread
 from fieldsense.plans import evaluation
 from fieldsense.plans.registry import query, read
 from fieldsense.plans.stand_ins import REC, UNITS, recordings, units
@@ -93,7 +94,7 @@ def _said(key: str):
 
 @query("SELECT p_partkey, CAST(place AS INTEGER) AS place, field, match, sentence FROM part JOIN (VALUES " + ", ".join(map(str, EVIDENCE)) + ") e(k, place, field, match, sentence) ON p_partkey % 5 = k")
 def q_evidence(spark, sf_dir):
-    texts = read(spark, sf_dir, "part").select("p_partkey", A.described(_said("p_partkey")).alias("s"))
+    texts = spread(read(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", A.described(_said("p_partkey")).alias("s"))
     return A.evidence(texts, "p_partkey", "s")
 
 
