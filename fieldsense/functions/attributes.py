@@ -155,13 +155,16 @@ def group_attributes(texts: DataFrame, group: str, member: str, text: str) -> Da
     Each text is judged by itself; of a group only decisions meet: whether any text has a kind of word, and the first
     sentence that counts, by member and place. So a group of any size is a few numbers and sentences in each task.
     """
-    told = texts.select(group, F.col(member).alias("__m"), described(F.col(text)).alias("__s")).filter(F.size("__s") > 0)
-    named = {k: k.replace(":", "__") for k in [*_flags(F.col("__s")), *FIRSTS]}
-    place = lambda p: F.struct("__m", F.array_position(F.col("__s"), _first(F.col("__s"), p)).alias("i"), _first(F.col("__s"), p).alias("s"))
-    found = told.select(group, *(c.alias(named[k]) for k, c in _flags(F.col("__s")).items()), *(F.when(_occurs(F.col("__s"), p), place(p)).alias(named[k]) for k, p in FIRSTS.items()))
-    met = found.groupBy(group).agg(*(F.bool_or(n).alias(n) for k, n in named.items() if k not in FIRSTS), *(F.min(named[k]).alias(named[k]) for k in FIRSTS))
-    values = _values({k: F.col(n) for k, n in named.items() if k not in FIRSTS}, {k: F.col(named[k])["s"] for k in FIRSTS})
-    return met.select(group, *(c.alias(k) for k, c in values.items()))
+    parts = texts.select(group, F.col(member).alias("__m"), _parts(F.col(text)).alias("__p"))
+    told = parts.select(group, "__m", F.exists("__p", _describes).alias("__told"), F.filter("__p", lambda s: _says(s) & _describes(s)).alias("__s"))
+    told = told.select(group, "__told", "__s", F.transform("__s", lambda s, i: F.struct(F.col("__m").alias("m"), i.alias("i"), s.alias("s"))).alias("__at"))
+    flags = _flags(F.col("__s"))
+    named = {k: k.replace(":", "__") for k in [*flags, *FIRSTS]}
+    first = lambda p: F.get(F.filter("__at", lambda e: e["s"].rlike(any_case(p))), F.lit(0))
+    found = told.select(group, "__told", *(c.alias(named[k]) for k, c in flags.items()), *(first(p).alias(named[k]) for k, p in FIRSTS.items()))
+    met = found.groupBy(group).agg(F.bool_or("__told").alias("__told"), *(F.bool_or(named[k]).alias(named[k]) for k in flags), *(F.min(named[k]).alias(named[k]) for k in FIRSTS))
+    values = _values({k: F.col(named[k]) for k in flags}, {k: F.col(named[k])["s"] for k in FIRSTS})
+    return met.filter("__told").select(group, *(c.alias(k) for k, c in values.items()))
 
 
 def reviewed(extracted: Column, approved: Column) -> Column:
