@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldsense.operators import metrics, splits
+from fieldsense.operators.sizes import spread
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,9 @@ def first_weights(width: int, classes: int, seed: int, settings: Settings) -> He
 def _gelu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The value and its derivative."""
     k = np.sqrt(2 / np.pi)
-    t = np.tanh(k * (a + 0.044715 * a**3))
-    return 0.5 * a * (1 + t), 0.5 * (1 + t) + 0.5 * a * (1 - t * t) * k * (1 + 3 * 0.044715 * a * a)
+    square = a * a
+    t = np.tanh(k * a * (1 + 0.044715 * square))
+    return 0.5 * a * (1 + t), 0.5 * (1 + t) + 0.5 * a * (1 - t * t) * k * (1 + 3 * 0.044715 * square)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -80,12 +82,17 @@ def _kept(keys: np.ndarray, width: int, salt: int, dropout: float) -> np.ndarray
     return (h >= np.uint64(int(dropout * 2**64))) / (1 - dropout)
 
 
-def gradient(head: Head, keys: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, epoch: int, dropout: float) -> list[np.ndarray]:
-    """Of the loss summed over the rows: by w1, b1, w2, b2, and the sums of loss and mask."""
+def dropped(head: Head, keys: np.ndarray, epoch: int, dropout: float) -> tuple[np.ndarray | float, np.ndarray | float]:
+    """Factors of dropout on vectors and on hidden units; those of heads with one seed are the same."""
     salt = 2 * (epoch * 1000 + head.seed)
-    x = (x - head.mean) / head.spread * _kept(keys, x.shape[1], salt, dropout)
+    return _kept(keys, head.w1.shape[0], salt, dropout), _kept(keys, head.w1.shape[1], salt + 1, dropout)
+
+
+def gradient(head: Head, keys: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, epoch: int, dropout: float, kept: tuple | None = None) -> list[np.ndarray]:
+    """Of the loss summed over the rows: by w1, b1, w2, b2, and the sums of loss and mask. kept: what `dropped` gives."""
+    keep_x, keep = dropped(head, keys, epoch, dropout) if kept is None else kept
+    x = (x - head.mean) / head.spread * keep_x
     a, slope = _gelu(x @ head.w1 + head.b1)
-    keep = _kept(keys, a.shape[1], salt + 1, dropout)
     z = a * keep
     logit = z @ head.w2 + head.b2
     p = _sigmoid(logit)
@@ -105,44 +112,72 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, n_heads: int, width: int, values, at_once: int) -> np.ndarray:
-    """(heads, width) of values(head number, key, x, y, m), added up over all rows that train the head. Tasks give a number
-    for each place of each head, and Spark adds these up by place, so the driver gets as many numbers as heads hold."""
+    """(heads, width) of values(keys, x, y, m)(head number, rows), added up over all rows that train the head. Tasks give an
+    array for each head, and Spark adds these up by head, so the driver gets as many numbers as heads hold."""
+
+    def arrays(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(totals, pa.int64()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["head", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros((n_heads, width)), np.zeros(n_heads, bool)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
                 part = batch.slice(at, at_once)
                 n = part.num_rows
-                keys, x, y, m = np.asarray(part.column(0)), *(_matrix(part.column(k), n) for k in (1, 2, 3))
+                of = values(np.asarray(part.column(0)), *(_matrix(part.column(k), n) for k in (1, 2, 3)))
                 trains = part.column(4)
                 of_row = np.repeat(np.arange(n), np.diff(np.asarray(trains.offsets)))
                 head_of = np.asarray(trains.flatten())
-                for k in np.unique(head_of):
-                    own = of_row[head_of == k]
-                    total[k] += np.concatenate([np.ravel(v) for v in values(k, keys[own], x[own], y[own], m[own])])
-                    seen[k] = True
-        heads = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(heads, width)), pa.array(np.tile(np.arange(width), len(heads))), pa.array(total[heads].ravel())], names=["head", "place", "v"])
-
-    found = rows.mapInArrow(run, "head long, place long, v double").groupBy("head", "place").agg(F.sum("v").alias("v")).toPandas()
+                order = np.argsort(head_of, kind="stable")
+                starts = np.searchsorted(head_of[order], np.arange(n_heads + 1))
+                for k in np.flatnonzero(np.diff(starts)).tolist():
+                    totals[k] = totals.get(k, 0) + np.concatenate([np.ravel(v) for v in of(k, of_row[order[starts[k] : starts[k + 1]]])])
+        yield arrays(totals)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                totals[k] = totals.get(k, 0) + np.frombuffer(v)
+        yield arrays(totals)
+
+    kind = "head long, v binary"
     out = np.zeros((n_heads, width))
-    out[found["head"].to_numpy(), found["place"].to_numpy()] = found["v"].to_numpy()
+    for r in rows.mapInArrow(run, kind).repartition("head").mapInArrow(add, kind).collect():
+        out[r["head"]] = np.frombuffer(r["v"])
     return out
 
 
+def _moments(keys: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray):
+    return lambda k, own: [[len(own)], x[own].sum(0), (x[own] ** 2).sum(0), (y[own] * m[own]).sum(0), ((1 - y[own]) * m[own]).sum(0)]
+
+
+def _gradients(heads: list[Head], epoch: int, dropout: float, keys: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray):
+    by_seed: dict[int, tuple] = {}
+
+    def of(k: int, own: np.ndarray) -> list[np.ndarray]:
+        head = heads[k]
+        if head.seed not in by_seed:
+            by_seed[head.seed] = dropped(head, keys, epoch, dropout)
+        kept = tuple(f[own] if dropout else f for f in by_seed[head.seed])
+        return gradient(head, keys[own], x[own], y[own], m[own], epoch, dropout, kept)
+
+    return of
+
+
 def fit(rows: DataFrame, n_heads: int, seeds: list[int], settings: Settings = Settings()) -> list[Head]:
     """rows: key long, x, y, m arrays of doubles (m: 0 where a target is masked), trains array<int>, the heads that the row
     trains, numbers from 0; seeds: one for each head. Vectors are standardised and positives weighted by sqrt(neg / pos),
     1 to `most_weight`, over each head's own rows."""
-    used = rows.select("key", "x", "y", "m", "trains").filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("m").isNotNull() & (F.size("trains") > 0)).persist()
+    used = rows.select("key", "x", "y", "m", "trains").filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("m").isNotNull() & (F.size("trains") > 0))
+    used = spread(used, 2).persist()
     try:
         sizes = used.select(F.size("x"), F.size("y")).first()
         if sizes is None:
             return []
         d, c = sizes
         heads = [first_weights(d, c, s, settings) for s in seeds]
-        moments = _summed(used, n_heads, 1 + 2 * d + 2 * c, lambda k, keys, x, y, m: [[len(keys)], x.sum(0), (x * x).sum(0), (y * m).sum(0), ((1 - y) * m).sum(0)], settings.rows)
+        moments = _summed(used, n_heads, 1 + 2 * d + 2 * c, _moments, settings.rows)
         for head, (n, *sums) in zip(heads, moments, strict=True):
             one, two, pos, neg = np.split(np.array(sums), np.cumsum([d, d, c]))
             head.mean = one / max(n, 1)
@@ -152,7 +187,7 @@ def fit(rows: DataFrame, n_heads: int, seeds: list[int], settings: Settings = Se
         moving = [[np.zeros_like(p) for p in h.parts * 2] for h in heads]  # Adam's first and second moments
         for epoch in range(settings.epochs):
             shared = used.sparkSession.sparkContext.broadcast(heads)
-            found = _summed(used, n_heads, bounds[-1] + 2, lambda k, *part: gradient(shared.value[k], *part, epoch, settings.dropout), settings.rows)  # noqa: B023
+            found = _summed(used, n_heads, bounds[-1] + 2, lambda *part: _gradients(shared.value, epoch, settings.dropout, *part), settings.rows)  # noqa: B023
             shared.destroy()
             for head, own, flat in zip(heads, moving, found, strict=True):
                 if flat[-1] <= 0:
@@ -198,15 +233,14 @@ def cross_validate(windows: DataFrame, folds: list[int], seeds: list[int], setti
     rows = windows.withColumn("scored_by", F.coalesce(own, F.array().cast("array<int>")))
     rows = rows.withColumn("trains", F.when(F.col("eligible"), F.array_except(every, F.col("scored_by"))).otherwise(F.array().cast("array<int>")))
     heads = fit(rows, n * len(folds), [s for _ in folds for s in seeds], settings)
-    return unit_scores(predict(rows, heads, ["key", "unit_id", "fold"]), ["unit_id", "fold"])
+    return unit_scores(predict(rows, heads, ["key", "unit_id", "fold"]), ["unit_id", "fold"], heads[0].b2.size if heads else 0)
 
 
-def unit_scores(found: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, scores: by class the mean over a window's heads, then the best window."""
-    long = found.select("key", *keys, F.posexplode("scores").alias("c", "s"))
-    means = long.groupBy("key", *keys, "c").agg(F.avg("s").alias("s"))
-    best = means.groupBy(*keys, "c").agg(F.max("s").alias("s"))
-    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "s"))), lambda e: e["s"]).alias("scores"))  # one element a class
+def unit_scores(found: DataFrame, keys: list[str], classes: int) -> DataFrame:
+    """keys, scores: by class the mean over a window's heads (one of them, if the head is among the keys), then the best window."""
+    each = lambda f: F.array(*(f(F.get("scores", F.lit(c))) for c in range(classes))).alias("scores")
+    means = found if "head" in keys else found.groupBy("key", *keys).agg(each(F.avg))
+    return means.groupBy(*keys).agg(each(F.max))
 
 
 def curve_samples(pool: DataFrame, folds: list[int], repeats: int, points: list[tuple[int, int]], seed: int = 0) -> DataFrame:
@@ -256,15 +290,20 @@ def learning_curve(windows: DataFrame, classes: list[str], folds: list[int], poi
     rows = rows.withColumn("trains", F.when(F.col("pooled"), F.coalesce("drawn", none)).otherwise(F.transform(outside, lambda j: j["n"])))
     rows = rows.withColumn("scored_by", F.when(F.col("tested"), F.transform(inside, lambda j: j["n"])).otherwise(none))
     heads = fit(rows, len(jobs), [seed] * len(jobs), settings)
-    found = unit_scores(predict(rows, heads, ["key", "unit_id", "class"]), ["unit_id", "class", "head"]).withColumnRenamed("class", "own")
+    # Predictions are read for classes and for detection; of the curve, some numbers for each head and class are left.
+    found = unit_scores(predict(rows, heads, ["key", "unit_id", "class"]), ["unit_id", "class", "head"], len(classes)).withColumnRenamed("class", "own").persist()
     long = found.select("unit_id", "own", "head", F.posexplode("scores").alias("c", "score"))
     long = long.withColumn("class", F.get(F.array(*map(F.lit, classes)), F.col("c"))).withColumn("y", F.coalesce(F.col("own") == F.col("class"), F.lit(False)))
-    best = long.groupBy("head", "unit_id").agg(F.max("score").alias("score"), F.max(F.col("own").isNotNull()).alias("y"))
+    best = found.groupBy("head", "unit_id").agg(F.max(F.array_max("scores")).alias("score"), F.max(F.col("own").isNotNull()).alias("y"))
     ap = metrics.average_precision(long, ["head", "class"]).join(metrics.average_precision(best, ["head"]).withColumnRenamed("ap", "detection_ap"), "head")
     of = lambda i: F.get(F.array(*(F.lit(j[i]) for j in jobs)), F.col("head"))
     used = drawn.groupBy("repeat", "fold", "point", "class").agg(F.count("*").alias("clips"))
     out = ap.select(of(0).alias("repeat"), of(1).alias("fold"), of(2).alias("point"), "class", "ap", "detection_ap")
-    return out.join(used, ["repeat", "fold", "point", "class"], "left").withColumn("clips", F.coalesce("clips", F.lit(0)))
+    out = out.join(used, ["repeat", "fold", "point", "class"], "left").withColumn("clips", F.coalesce("clips", F.lit(0)))
+    try:
+        return windows.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        found.unpersist()
 
 
 def curve_summary(curve: DataFrame) -> DataFrame:
