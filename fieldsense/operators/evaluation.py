@@ -7,6 +7,8 @@ units, tier B recorder clips; locked units aren't judged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,49 +40,93 @@ def heard_classes(units: DataFrame) -> DataFrame:
     return units.filter("domain = 'aru' and not locked and kind = 'frog'").select(F.col("own").alias("class")).distinct()
 
 
-def _long(table: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
-    wide = table.groupBy(*by).agg(*[v.alias(k) for k, v in values.items()])
-    return reduce(lambda a, b: a.union(b), [wide.select(*by, F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values])
+def _ranked(rows: DataFrame, ev: DataFrame, heard: DataFrame) -> DataFrame:
+    """What the headline ranks, long: (tier, class, part, of_group, score, y) of evaluable classes in tier A and its parts, of
+    the classes heard in tier B, and as tier D of tier B's units by their best score. Groups are named with their domain."""
+    parts = F.array_compact(F.array(F.lit("all"), F.when(F.col("leakage_safe"), "leakage_safe"), F.when(F.col("medium") == "air", "air")))
+    b = rows.filter("tier = 'B'")
+    best = b.groupBy("unit_id").agg(F.max("score").alias("score"), F.first(F.col("kind") == "frog").alias("y"), F.first("split_group").alias("split_group"))
+    of = lambda df, tier, cls, part, domain: df.select(F.lit(tier).alias("tier"), cls.alias("class"), part.alias("part"), _group(F.lit(domain)).alias("of_group"), F.col("score").cast("double").alias("score"), "y")
+    whole, of_class = F.lit("all"), F.col("class")
+    ranked = of(rows.filter("tier = 'A' and not masked_out").join(ev.select("class"), "class"), "A", of_class, F.explode(parts), "focal")
+    return ranked.union(of(b.filter("not masked_out").join(heard, "class"), "B", of_class, whole, "aru")).union(of(best, "D", F.lit(""), whole, "aru"))
 
 
-def headline(rows: DataFrame, units: DataFrame, n_boot: int | None = None) -> DataFrame:
-    """(metric, value) from judged rows; with n_boot (boot_id, metric, value) for resamples of each tier's groups.
+def _group(domain: Column) -> Column:
+    return F.concat(domain, F.lit(":"), F.col("split_group").cast("string"))
 
-    A_macro_ap over evaluable classes, also of rare and common ones, of leakage-safe and of air recordings only, and A_ap:c;
-    B_macro_ap over the classes heard in clips and B_ap:c; B_detection_ap of frogs against background by the best class
-    score. A metric without a class to average has no row, one whose classes all lack positives is null.
-    """
-    by = [] if n_boot is None else ["boot_id"]
-
-    def precision(table: DataFrame, keys: list[str], domain: str) -> DataFrame:
-        if n_boot is None:
-            return metrics.average_precision(table, keys)
-        groups = units.filter((F.col("domain") == domain) & ~F.col("locked"))
-        return metrics.boot_average_precision(table, keys, "split_group", n_boot, weights=metrics.boot_weights(groups, "split_group", n_boot))
 
-    ev, heard = evaluable(units), heard_classes(units)
-    parts = F.array_compact(F.array(F.lit("all"), F.when(F.col("leakage_safe"), "leakage_safe"), F.when(F.col("medium") == "air", "air")))
-    a = rows.filter("tier = 'A' and not masked_out").join(ev, "class").withColumn("part", F.explode(parts))
-    by_class = precision(a, ["class", "part"], "focal").join(ev, "class")
-    whole = F.col("part") == "all"
+def _metrics(precise: DataFrame, ev: DataFrame, by: list[str], runs: DataFrame | None) -> DataFrame:
+    """(by, metric, value) from (by, tier, class, part, ap); runs: the values of by that have all metrics, those without
+    rows too."""
+    known = precise.join(F.broadcast(ev), "class", "left")  # a row a class
+    a, whole = F.col("tier") == "A", F.col("part") == "all"
     mean = lambda c: F.avg(F.when(c, F.col("ap")))
-    macro = {"A_macro_ap": mean(whole), "A_macro_ap_rare": mean(whole & (F.col("n") < RARE)), "A_macro_ap_common": mean(whole & (F.col("n") >= RARE))}
-    out = _long(by_class, by, macro | {f"A_macro_ap_{p}": mean(F.col("part") == p) for p in ("leakage_safe", "air")})
+    macro = {"A_macro_ap": mean(a & whole), "A_macro_ap_rare": mean(a & whole & (F.col("n") < RARE)), "A_macro_ap_common": mean(a & whole & (F.col("n") >= RARE))}
+    macro |= {f"A_macro_ap_{p}": mean(a & (F.col("part") == p)) for p in ("leakage_safe", "air")}
+    macro |= {"B_macro_ap": mean(F.col("tier") == "B"), "B_detection_ap": F.max(F.when(F.col("tier") == "D", F.col("ap")))}
+    # Of resamples, a tier counts in those that drew rows of it.
+    present = {"A": F.bool_or(a), "B": F.bool_or(F.col("tier") == "B"), "D": F.bool_or(F.col("tier") == "D")}
+    wide = known.groupBy(*by).agg(*[v.alias(k) for k, v in macro.items()], *[v.alias(f"has_{k}") for k, v in present.items()])
+    if runs is not None:
+        wide = runs.join(wide, by, "left")
+    tier_of = lambda k: "D" if k == "B_detection_ap" else k[0]
+    listed = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"), (F.lit(True) if runs is not None else F.col(f"has_{tier_of(k)}")).alias("there")) for k in macro])
+    out = wide.select(*by, F.explode(listed).alias("e")).filter("e.there").select(*by, "e.metric", "e.value")
     sizes = ev.select(F.count_if(F.col("n") < RARE).alias("rare"), F.count_if(F.col("n") >= RARE).alias("common"))
     none = sizes.select(F.explode(F.array_compact(F.array(F.when(F.col("rare") == 0, "A_macro_ap_rare"), F.when(F.col("common") == 0, "A_macro_ap_common")))).alias("metric"))
     out = out.join(F.broadcast(none), "metric", "left_anti").select(*by, "metric", "value")  # two rows at most
-    one = lambda df, tier: df.select(*by, F.concat(F.lit(f"{tier}_ap:"), "class").alias("metric"), F.col("ap").alias("value"))
-    b = rows.filter("tier = 'B'")
-    by_heard = precision(b.filter("not masked_out").join(heard, "class"), ["class"], "aru")
-    best = b.groupBy("unit_id").agg(F.max("score").alias("score"), F.first(F.col("kind") == "frog").alias("y"), F.first("split_group").alias("split_group"))
-    found = precision(best, [], "aru").select(*by, F.lit("B_detection_ap").alias("metric"), F.col("ap").alias("value"))
-    return out.union(one(by_class.filter(whole), "A")).union(_long(by_heard, by, {"B_macro_ap": F.avg("ap")})).union(one(by_heard, "B")).union(found)
+    single = precise.filter(whole & F.col("tier").isin("A", "B")).select(*by, F.concat("tier", F.lit("_ap:"), "class").alias("metric"), F.col("ap").alias("value"))
+    return out.union(single)
+
+
+@contextmanager
+def _headlines(runs: dict[str, DataFrame], units: DataFrame, n_boot: int) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """(run, metric, value) and, with n_boot, (run, boot_id, metric, value) of judged rows by run.
+
+    Rows are read by one job: all that is ranked is summed by class, part, group and score, for all runs and tiers together, and
+    the sums, classes and groups are kept while the block lasts. So the number of jobs doesn't depend on runs and tiers.
+    """
+    spark = units.sparkSession
+    ev, heard = evaluable(units).persist(), heard_classes(units).persist()
+    groups = units.filter(~F.col("locked") & F.col("domain").isin("focal", "aru")).select("domain", "split_group").distinct().persist()
+    keys = ["run", "tier", "class", "part"]
+    every = reduce(lambda x, z: x.union(z), [_ranked(r, ev, heard).select(F.lit(name).alias("run"), "*") for name, r in runs.items()])
+    sums = every.groupBy(*keys, "of_group", "score").agg(F.count_if("y").cast("double").alias("pos"), F.count("*").cast("double").alias("every")).persist()
+    kept = [ev, heard, groups, sums]
+    try:
+        table = spark.createDataFrame([(name,) for name in runs], "run string")
+        point = _metrics(metrics.average_precision_of_sums(sums, keys), ev, ["run"], table)
+        drawn = None
+        if n_boot:
+            draws = [metrics.boot_weights(groups.filter(F.col("domain") == d), "split_group", n_boot).select("boot_id", _group(F.lit(d)).alias("of_group"), "weight") for d in ("focal", "aru")]
+            drawn = _metrics(metrics.boot_average_precision_of_sums(sums, keys, "of_group", n_boot, draws[0].union(draws[1])), ev, ["run", "boot_id"], None)
+        yield point, drawn
+    finally:
+        for table in kept:
+            table.unpersist()
+
+
+def _kept(table: DataFrame) -> DataFrame:
+    """A few numbers a metric, read before what they come from is given back."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
+def headline(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """(metric, value) from judged rows.
+
+    A_macro_ap over evaluable classes, also of rare and common ones, of leakage-safe and of air recordings only, and A_ap:c;
+    B_macro_ap over the classes heard in clips and B_ap:c; B_detection_ap of frogs against background by the best class
+    score. A metric without a class to average has no row, one whose classes all lack positives is null.
+    """
+    with _headlines({"": rows}, units, 0) as (point, _):
+        return _kept(point.select("metric", "value"))
 
 
 def summarize(rows: DataFrame, units: DataFrame, n_boot: int = 500) -> DataFrame:
     """(metric, value, ci_lo, ci_hi): headline metrics with percentile intervals over resamples of each tier's groups."""
-    resampled = headline(rows, units, n_boot)
-    return headline(rows, units).join(metrics.interval(resampled, ["metric"], "value"), "metric", "left")
+    with _headlines({"": rows}, units, n_boot) as (point, drawn):
+        return _kept(point.select("metric", "value").join(metrics.interval(drawn, ["metric"], "value"), "metric", "left"))
 
 
 def _ap(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -147,13 +193,13 @@ def detection(windows: DataFrame) -> DataFrame:
 def delta_headline(a: DataFrame, b: DataFrame, units: DataFrame, n_boot: int = 1000) -> DataFrame:
     """(metric, delta, ci_lo, ci_hi, significant) of judged rows b against a over the same resamples; metrics that one run
     lacks are left out."""
-    point = headline(a, units).withColumnRenamed("value", "before").join(headline(b, units).withColumnRenamed("value", "after"), "metric")
-
-    drawn = lambda rows, name: headline(rows, units, n_boot).withColumnRenamed("value", name)
-    both = drawn(a, "before").join(drawn(b, "after"), ["boot_id", "metric"])
-    spread = metrics.interval(both.withColumn("delta", F.col("after") - F.col("before")), ["metric"], "delta")
-    out = point.select("metric", (F.col("after") - F.col("before")).alias("delta")).join(spread, "metric", "left")
-    return out.withColumn("significant", F.coalesce((F.col("ci_lo") > 0) | (F.col("ci_hi") < 0), F.lit(False)))
+    side = lambda table, run, name: table.filter(F.col("run") == run).drop("run").withColumnRenamed("value", name)
+    with _headlines({"a": a, "b": b}, units, n_boot) as (points, drawn):
+        point = side(points, "a", "before").join(side(points, "b", "after"), "metric")
+        both = drawn.groupBy("boot_id", "metric").pivot("run", ["a", "b"]).agg(F.first("value"))
+        spread = metrics.interval(both.withColumn("delta", F.col("b") - F.col("a")), ["metric"], "delta")
+        out = point.select("metric", (F.col("after") - F.col("before")).alias("delta")).join(spread, "metric", "left")
+        return _kept(out.withColumn("significant", F.coalesce((F.col("ci_lo") > 0) | (F.col("ci_hi") < 0), F.lit(False))))
 
 
 def adopt(deltas: DataFrame) -> DataFrame:

@@ -60,7 +60,16 @@ def score_blocks(scores: DataFrame, keys: list[str], score: str = "score", y: st
 def average_precision(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None) -> DataFrame:
     """keys -> ap: sum over blocks of gained positives times precision at the block's end, over all positives; null
     without positives."""
-    blocks = score_blocks(scores, keys, score, y, weight)
+    return _gained(score_blocks(scores, keys, score, y, weight), keys)
+
+
+def average_precision_of_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from rows that are summed already: keys, score, pos, every."""
+    blocks = sums.groupBy(*keys, "score").agg(F.sum("pos").alias("d_tp"), F.sum("every").alias("d_n"))
+    return _gained(running_sums(blocks, keys, "score", {"tp": F.col("d_tp"), "n": F.col("d_n")}), keys)
+
+
+def _gained(blocks: DataFrame, keys: list[str]) -> DataFrame:
     gained = F.sum(F.col("d_tp") * F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)))
     return blocks.groupBy(*keys).agg(F.try_divide(gained, F.sum("d_tp")).alias("ap"))
 
@@ -125,10 +134,15 @@ def boot_average_precision(scores: DataFrame, keys: list[str], group: str, n_boo
     holds a few arrays. The driver gets two arrays for each key and piece.
     """
     drawn = boot_weights(scores, group, n_boot) if weights is None else weights
+    sums = scores.groupBy(*keys, group, F.col(score).cast("double").alias("score")).agg(F.count_if(y).cast("double").alias("pos"), F.count("*").cast("double").alias("every"))
+    return boot_average_precision_of_sums(sums, keys, group, n_boot, drawn)
+
+
+def boot_average_precision_of_sums(sums: DataFrame, keys: list[str], group: str, n_boot: int, drawn: DataFrame) -> DataFrame:
+    """The same from rows that are summed already (keys, group, score, pos, every) and draws (boot_id, group, weight)."""
     drawn = drawn.groupBy(group).agg(F.collect_list(F.struct(F.col("boot_id").cast("int"), F.col("weight").cast("int"))).alias("draws"))  # n_boot at most
     # One text stands for the keys; nulls and values never meet.
     key = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys)) if keys else F.lit("")
-    sums = scores.groupBy(*keys, group, F.col(score).cast("double").alias("score")).agg(F.count_if(y).cast("double").alias("pos"), F.count("*").cast("double").alias("every"))
     sums = sums.withColumn("key", key)
     cuts = sums.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("rows"), F.percentile_approx("score", [k / PIECES for k in range(1, PIECES)], 1000).alias("cuts"))
     # Short keys stay whole; nulls come last.
@@ -156,7 +170,7 @@ def boot_average_precision(scores: DataFrame, keys: list[str], group: str, n_boo
         running = np.zeros((2, n_boot))
         for p in sorted(pieces):
             above[name, p], running = running, running + pieces[p]
-    shared = scores.sparkSession.sparkContext.broadcast(above)
+    shared = sums.sparkSession.sparkContext.broadcast(above)
 
     def gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, run, gain, block, at = [], None, None, None, None, None
