@@ -65,7 +65,8 @@ def index_keys(line: Column, length: Column, t: int) -> list[Column]:
 
 
 def probe_keys(line: Column, length: Column, shorter: int, t: int) -> list[Column]:
-    """Keys of a line's substrings that can equal a segment of a line `shorter` characters shorter, t edits away.
+    """Keys of a line's substrings that can equal a segment of a line `shorter` characters shorter, t edits away. Those
+    that the line has as index keys are left out.
 
     If segment i is the first that matches, at most i edits lie left of it and t - i right of it, which bounds how far
     it can have moved.
@@ -74,19 +75,30 @@ def probe_keys(line: Column, length: Column, shorter: int, t: int) -> list[Colum
     for i in range(t + 1):
         start, size = segment(other, i, t + 1)
         for moved in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
-            keys.append(F.xxhash64(other, F.lit(i), characters(line, start + moved, size)))
+            if shorter or moved:
+                keys.append(F.xxhash64(other, F.lit(i), characters(line, start + moved, size)))
     return keys
 
 
-def _by_allowance(length: Column, settings: Settings, keys) -> Column:
-    empty = F.array().cast("array<bigint>")
-    out = None
-    for t in range(1, settings.edits + 1):
-        found = keys(t)
-        if found:
-            is_t = (length >= settings.least) & (allowed(length, settings) == t)
-            out = F.when(is_t, F.array(*found)) if out is None else out.when(is_t, F.array(*found))
-    return empty if out is None else out.otherwise(empty)
+def key_columns(line: Column, length: Column, settings: Settings) -> list[Column]:
+    """All keys of a line, edits + 1 index keys first; null where a line has fewer."""
+
+    def for_each(other: Column, by_t: dict[int, list[Column]]) -> list[Column]:
+        if not by_t:
+            return []
+        fits = lambda t: (other >= settings.least) & (allowed(other, settings) == t)
+        return [F.coalesce(*(F.when(fits(t), keys[n]) for t, keys in by_t.items() if n < len(keys))) for n in range(max(map(len, by_t.values())))]
+
+    out = for_each(length, {t: index_keys(line, length, t) for t in range(1, settings.edits + 1)})
+    for shorter in range(settings.edits + 1):
+        out += for_each(length - shorter, {t: probe_keys(line, length, shorter, t) for t in range(max(1, shorter), settings.edits + 1)})
+    return out
+
+
+def compiled_apart(value: Column) -> Column:
+    """The value. Spark compiles a projection that holds a lambda by itself, in many short methods; else it becomes a part
+    of its stage's one method, which the JVM only interprets once it passes 8,000 bytes of code."""
+    return F.get(F.transform(F.array(value), lambda x: x), F.lit(0))
 
 
 def distance_within(a: Column, b: Column, k: int) -> Column:
@@ -192,25 +204,18 @@ def candidates(docs: DataFrame, settings: Settings) -> DataFrame:
     """(a, b), a < b: hashes of different lines that share a segment where it may stand and have about the same letters."""
     # Keys are computed where lines are read: they are shorter than most lines, and only they are shuffled. A line is
     # named by 128 bits of hash here. Both sides use the same columns, so Spark shuffles them once.
-    length, letters = F.char_length("line"), letter_counts(F.col("line"))
-    long_enough = lines(docs).filter(length >= settings.least).select(F.encode("line", "UTF-32").alias("wide"), *line_names(), letters.alias("letters"), length.alias("length"))
-    wide, length = F.col("wide"), F.col("length")
-    own = _by_allowance(length, settings, lambda t: index_keys(wide, length, t))
-    probes = [
-        _by_allowance(length - shorter, settings, lambda t, d=shorter: probe_keys(wide, length, d, t) if d <= t else [])
-        for shorter in range(settings.edits + 1)
-    ]
-    n_own = F.when(allowed(length, settings) > 0, allowed(length, settings) + 1).otherwise(0)
-    keyed = long_enough.select("h1", "h2", "letters", n_own.alias("n_own"), F.concat(own, *probes).alias("keys"))
-    different = keyed.groupBy("h1", "h2").agg(*(F.any_value(c).alias(c) for c in ("letters", "n_own", "keys")))
-    different = different.select("keys", "n_own", "letters", short_name(F.col("h1")).alias("h"))
-    index = different.select(F.slice("keys", F.lit(1), F.col("n_own")).alias("keys"), F.col("letters").alias("letters_i"), F.col("h").alias("h_i"))
-    probe = different.select(F.slice("keys", F.col("n_own") + 1, F.size("keys") - F.col("n_own")).alias("keys"), F.col("letters").alias("letters_p"), F.col("h").alias("h_p"))
+    length = F.char_length("line")
+    long_enough = lines(docs).filter(length >= settings.least).select(F.encode("line", "UTF-32").alias("wide"), *line_names(), letter_counts(F.col("line")).alias("letters"), length.alias("length"))
+    keys = {f"k{n}": key for n, key in enumerate(key_columns(F.col("wide"), F.col("length"), settings))}
+    keyed = long_enough.select(compiled_apart(F.col("h1")).alias("h1"), "h2", "letters", *(key.alias(name) for name, key in keys.items()))
+    # Equal lines have equal keys. Numbers are grouped by hashing, arrays would be by sorting.
+    different = keyed.groupBy("h1", "h2").agg(*(F.max(name).alias(name) for name in ("letters", *keys)))
+    different = different.select(F.array(*keys).alias("keys"), "letters", short_name(F.col("h1")).alias("h"))
     alike = (F.col("h_i") != F.col("h_p")) & (counts_apart(F.col("letters_i"), F.col("letters_p")) <= 2 * settings.edits)
     # From explode() Spark would infer a filter on the arrays and push it, with all it takes to compute them, below
-    # the shuffle; from explode_outer() it doesn't. Lines too short for keys have a null key, which joins nothing.
-    index = index.select(F.explode_outer("keys").alias("key"), "letters_i", "h_i")
-    probe = probe.select(F.explode_outer("keys").alias("key"), "letters_p", "h_p")
+    # the shuffle; from explode_outer() it doesn't. Missing keys are null, which joins nothing.
+    index = different.select(F.explode_outer(F.slice("keys", 1, settings.edits + 1)).alias("key"), F.col("letters").alias("letters_i"), F.col("h").alias("h_i"))
+    probe = different.select(F.explode_outer("keys").alias("key"), F.col("letters").alias("letters_p"), F.col("h").alias("h_p"))
     pairs = index.join(probe, "key").filter(alike)
     return pairs.select(F.least("h_i", "h_p").alias("a"), F.greatest("h_i", "h_p").alias("b")).distinct()
 

@@ -104,6 +104,28 @@ def test_line_dedup_of_common_lines(spark, monkeypatch):
         assert found == brute_lines(rows)
 
 
+def test_line_keys_are_compiled(spark):
+    """The JVM only interprets methods of more than 8,000 bytes of code, which took most of the time of the keys."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = line_dedup.candidates(table(spark, [(1, "x" * 50)]), line_dedup.Settings())
+        stages = found._jdf.queryExecution().debug().codegenToSeq()
+        assert 0 < max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_line_dedup_of_more_edits(spark):
+    rnd = random.Random(7)
+    base = ["".join(rnd.choice("abcdeé ") for _ in range(n)) for n in (20, 39, 40, 41, 59, 60, 61, 62, 63, 80)]
+    rows = [(d, "\n".join(changed(rnd, rnd.choice(base), rnd.choice([0, 1, 2, 3, 4]), "abcdeé ") for _ in range(rnd.randint(1, 4)))) for d in range(60)]
+    for edits in (1, 2, 3):
+        settings = line_dedup.Settings(edits=edits)
+        found = {(r["doc_id"], i) for r in line_dedup.dropped_lines(table(spark, rows), settings).collect() for i in r["dropped"]}
+        assert found == brute_lines(rows, settings) and len(found) > 10
+
+
 def test_line_dedup_stage(spark):
     long = "This line is long enough to be looked at."
     rows = [(1, f"{long}\nshort\n{long}"), (2, f"{long}\nsomething else that is long enough"), (3, long), (4, None), (5, "")]
